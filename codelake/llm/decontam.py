@@ -41,13 +41,10 @@ class Items:
         """Word numbers (rows of 32, padded with the blank) and the item of each passage."""
         rows, item = [], []
         for i, w in enumerate(self.words):
-            for at in range(0, max(1, len(w) - 2 * HALF + HALF // 2), HALF // 2):
+            for at in range(0, max(1, len(w) - HALF), HALF):
                 own = w[at : at + 2 * HALF]
                 rows.append(np.pad(own, (0, 2 * HALF - len(own)), constant_values=len(self.vocab)))
                 item.append(i)
-            if len(w) > HALF:  # the ends alone, for passages that hold half an item
-                rows += [np.pad(e, (0, 2 * HALF - len(e)), constant_values=len(self.vocab)) for e in (w[:HALF], w[-HALF:])]
-                item += [i, i]
         return np.array(rows, np.int64).reshape(-1, 2 * HALF), np.array(item, np.int64)
 
 
@@ -153,7 +150,8 @@ def _sketch(omega: np.ndarray, idf: np.ndarray, narrow: np.dtype):
 
 
 def latent_space(encoded: DataFrame, size: int, idf: np.ndarray, narrow: np.dtype, rank: int, seed: int = 7) -> np.ndarray:
-    """Terms x rank: idf times the leading right singular vectors of the passages' TF-IDF matrix."""
+    """Terms x rank: idf times the leading right singular vectors of the passages' TF-IDF matrix,
+    over their singular values, so that the directions of the most common words don't rule the cosine."""
     width = min(size, rank + 8)
     omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
     shares = encoded.select("words").mapInArrow(_sketch(omega.astype(np.float32), idf, narrow), "term long, y array<double>")
@@ -165,8 +163,9 @@ def latent_space(encoded: DataFrame, size: int, idf: np.ndarray, narrow: np.dtyp
     y += shift * omega
     core = omega.T @ y
     low = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * np.trace(core) / width * np.eye(width))
-    vectors = np.linalg.svd(np.linalg.solve(low, y.T).T, full_matrices=False)[0][:, :rank]
-    return (vectors * idf[:, None]).astype(np.float32)
+    vectors, values, _ = np.linalg.svd(np.linalg.solve(low, y.T).T, full_matrices=False)
+    kept = values[:rank] > 1e-6 * max(values[0], 1e-12)
+    return (vectors[:, :rank][:, kept] / values[:rank][kept] * values[0] * idf[:, None]).astype(np.float32)
 
 
 def common_subsequence(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
@@ -268,7 +267,7 @@ def _search(items: Items, space: np.ndarray, narrow: np.dtype, cosine: float, sh
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.5, share: float = 0.7, share_with_answer: float = 0.5, answer_words: int = 8, min_words: int = 8, rank: int = 48, block_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.65, share: float = 0.7, share_with_answer: float = 0.5, answer_words: int = 8, min_words: int = 8, rank: int = 96, block_items: int = 20_000) -> DataFrame:
     """One row for each document of ``docs(doc_id, text)`` and item of ``benchmark(item_id, text)``
     that leaks into it, at its best place.
 
@@ -301,8 +300,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.5,
                 n_docs = r["n"]
             else:
                 df[r["term"]] = r["n"]
-        idf = np.log((n_docs + 1) / (df + 0.5)) + 0.05
-        idf = np.maximum(idf, 0.05)
+        # the third power: what tells passages apart is rare words, not how often common ones stand in them
+        idf = np.maximum(np.log((n_docs + 1) / (df + 0.5)), 0.05) ** 3
         space = latent_space(encoded, size, idf, narrow, min(rank, size))
         out = out.unionByName(encoded.mapInArrow(_search(block, space, narrow, cosine, share, share_with_answer, answer_words), MATCHES))
     return out

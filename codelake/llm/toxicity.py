@@ -2,7 +2,8 @@
 
 Features: densities of a lexicon (a short seed list, and words that the labelled sample ties
 to label 1), hits near second-person words, hits that appear only once obfuscation is undone,
-capitals, punctuation and obfuscation rates. Documents are scored where they are read; only
+capitals, punctuation and obfuscation rates. The learned lexicon holds words and beginnings of
+words (seven bytes), as languages that inflect and compound spread an insult over many forms. Documents are scored where they are read; only
 the labelled sample, bounded by ``max_train`` rows, moves.
 """
 
@@ -30,6 +31,7 @@ SECOND = "you your yours yourself u ur youre du dich dir dein deine ihr euch tu
 # Usual stand-ins for letters.
 STAND_INS = bytes.maketrans(b"013457@$!|", b"oieastasil")
 
+HEAD = 7
 _EDGE = b".,;:!?\"'()[]{}<>*#%&$_-~/\\|@^+=`"
 _MARKS = b"!?"
 _SYMBOLS = b"*#%&$@_~^|+=<>"
@@ -59,6 +61,11 @@ _JOINED = re.compile(rb"(?<![A-Za-z0-9])(?:[A-Za-z0-9@$!][.*_\- ]){2,}[A-Za-z0-9
 _MIXED = re.compile(rb"[A-Za-z][0-9@$*!|]+[A-Za-z]")
 
 
+def units(kinds: set[bytes]) -> set[bytes]:
+    """What the lexicon counts: the words, and the beginnings of longer ones with a star."""
+    return kinds | {w[:HEAD] + b"*" for w in kinds if len(w) > HEAD}
+
+
 def features(text: str | None, lexicon: dict[bytes, float]) -> list[float]:
     """The values of FEATURES over the whole text; all 0 for null or empty text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -66,14 +73,15 @@ def features(text: str | None, lexicon: dict[bytes, float]) -> list[float]:
     words = [w.strip(_EDGE) for w in low.split()]
     n, size = max(len(words), 1), max(len(raw), 1)
     kinds = set(words)
-    seeds, learned, you = kinds & _SEED, kinds & lexicon.keys(), kinds & _SECOND
+    seeds, learned, you = kinds & _SEED, lexicon.keys() & units(kinds), kinds & _SECOND
     seed = sum(map(words.count, seeds)) if seeds else 0
-    found = {w: words.count(w) for w in learned}
+    hits = [i for i, w in enumerate(words) if w in seeds or w in learned or w[:HEAD] + b"*" in learned] if seeds or learned else []
     near = 0
-    if you and (seeds or learned):
-        hits = [i for i, w in enumerate(words) if w in seeds or w in learned]
+    if you and hits:
         at = np.array([i for i, w in enumerate(words) if w in you])
-        near = int((np.abs(np.array(hits)[:, None] - at[None, :]).min(1) <= 5).sum()) if len(hits) * len(at) < 4e6 else len(hits)
+        right = np.searchsorted(at, hits)
+        gap = np.minimum(np.abs(at[np.minimum(right, len(at) - 1)] - hits), np.abs(at[np.maximum(right - 1, 0)] - hits))
+        near = int((gap <= 5).sum())
     odd = [m.group() for m in _MIXED.finditer(raw)]
     hidden = 0
     if odd:
@@ -88,8 +96,8 @@ def features(text: str | None, lexicon: dict[bytes, float]) -> list[float]:
     capitals = count(UPPER)
     shouted = sum(1 for w in raw.split() if len(w) > 3 and w.isupper()) if capitals > 0.05 * size else 0
     return [
-        1000 * seed / n, len(seeds), 1000 * sum(found.values()) / n, len(found), sum(lexicon[w] for w in found),
-        max((lexicon[w] for w in found), default=0.0), 1000 * near / n, 1000 * sum(map(words.count, you)) / n if you else 0.0, hidden,
+        1000 * seed / n, len(seeds), 1000 * len(hits) / n, len(learned), sum(lexicon[w] for w in learned),
+        max((lexicon[w] for w in learned), default=0.0), 1000 * near / n, 1000 * sum(map(words.count, you)) / n if you else 0.0, hidden,
         capitals / size, shouted / n, count(_MARKS) / size, count(_SYMBOLS) / size, len(odd) / n, float(np.log1p(len(words))),
     ]
 
@@ -110,7 +118,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> DataFra
     return rows.groupBy(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, max_train: int = 8_000, min_docs: int = 6, max_words: int = 300) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, max_train: int = 8_000, min_docs: int = 5, max_words: int = 300) -> Model:
     """Fit the lexicon, the trees and the calibration on the bounded labelled sample."""
     from .store import materialize
 
@@ -120,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_train: int = 8_000, min_doc
         for b in batches:
             words, label = [], []
             for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                kinds = {w.strip(_EDGE) for w in spaced_words(text.as_py())}
+                kinds = units({w.strip(_EDGE) for w in spaced_words(text.as_py())})
                 words += kinds
                 label += [y] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(label, pa.int32())], names=["word", "label"])
