@@ -162,16 +162,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_train: int = 8_000, min_doc
     return model
 
 
-def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns and ``score`` (0 to 1) for every row of ``docs``."""
+def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), result: str = "score") -> DataFrame:
+    """``carry`` columns and ``result`` (0 to 1) for every row of ``docs``."""
     rows = docs.select(*carry, F.col("text").cast("string").alias("_text"))
-    schema = docs.select(*carry).withColumn("score", F.lit(0.0)).schema
+    schema = docs.select(*carry).withColumn(result, F.lit(0.0)).schema
 
     def run(batches):
         for b in batches:
             x = [features(t.as_py(), model.lexicon) for t in b.column(b.num_columns - 1)]
             s = model.score(np.array(x)) if x else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*carry, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*carry, result])
 
     return rows.mapInArrow(run, schema)
 
