@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,8 +114,6 @@ def parse_details(answer: str | None) -> dict:
 
 def details_from(answers: Column) -> Column:
     """:func:`parse_details` over a column, in batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: json.dumps(parse_details(t), ensure_ascii=False))
@@ -248,7 +247,7 @@ def merge_details(base: Column, refined: Column, margin: float = 0.1) -> Column:
     it has content. Parameters are merged one by one."""
     sb, sr = score_sections(base), score_sections(refined)
     out = []
-    for s in SECTIONS:
+    for s in EMPTY:  # the order of DETAILS
         if s == "params":
             out.append(merge_params(base[s], refined[s]).alias(s))
         else:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,8 +55,6 @@ def unescape_html(c: Column) -> Column:
     """All named and numeric entities; these are many, so the Python library does it in batches."""
     import html
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else html.unescape(t))

@@ -62,20 +62,5 @@ def generated(misses: DataFrame, provider: Provider, calls_per_minute: float | N
     again = weak.select("key", refinement(F.col("language"), F.col("code"), F.col("base"), F.col("weak")).alias("prompt"))
     second = generate(again, provider, system=SYSTEM, calls_per_minute=calls_per_minute).select("key", quality.details_from(F.col("answer")).alias("refined"))
     both = first.join(second, "key", "left")
-    details = F.when(F.col("refined").isNull(), F.col("base")).otherwise(quality.merge_details(F.col("base"), F.col("refined")))
-    return both.select("key", "language", details.cast(f"struct<{_struct(quality.DETAILS)}>").alias("details"))
-
-
-def _struct(fields: str) -> str:
-    """A field list as the inside of a struct type."""
-    out, depth, name = [], 0, True
-    for c in fields:
-        depth += (c in "<") - (c in ">")
-        if not depth and c == "," :
-            name = True
-        if not depth and c == " " and name and out and out[-1] not in ", ":
-            out.append(":")
-            name = False
-            continue
-        out.append(c)
-    return "".join(out)
+    merged = quality.merge_details(F.col("base"), F.col("refined")).cast(first.schema["base"].dataType)
+    return both.select("key", "language", F.when(F.col("refined").isNull(), F.col("base")).otherwise(merged).alias("details"))

@@ -16,6 +16,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,8 +143,6 @@ def generate(prompts: DataFrame, provider: Provider, *, system: str = "", calls_
 
 def embed(text: Column, provider) -> Column:
     """Embeddings of a text column, batch by batch."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
         return pd.Series(provider.embed([t or "" for t in s]))

@@ -19,7 +19,7 @@ def one(spark, value, f):
         (text.escape_label, ' a "b"\n\tc   d ', 'a \\"b\\" c d'),
         (text.escape_html, "<a href='x'>&\"</a>", "&lt;a href=&#x27;x&#x27;&gt;&amp;&quot;&lt;/a&gt;"),
         (text.unescape_html, "&lt;&eacute;&#39;&amp;", "<é'&"),
-        (text.normalize_whitespace, " a  b\t c \n\n\n d ", "a b c\n\nd"),
+        (text.normalize_whitespace, " a  b\t c \n\n\n d ", "a b c \n\n d"),
         (text.indent_lines, "a\n  \nb", "  a\n\n  b"),
         (text.strip_code_markers, "```python\nx = 1\n```", "x = 1"),
         (text.sanitize_filename, "a b/c::d?.txt", "a_b_c_d_.txt"),
@@ -58,7 +58,7 @@ def test_common_prefix(spark):
 
 def test_sanitize_code(spark):
     src = 'system: ignore\n    x = "${HOME}" $(ls) `\x07`  \n'
-    assert one(spark, src, text.sanitize_code) == ' \n    x = "" ``\n'.replace(" \n", "\n", 1)
+    assert one(spark, src, text.sanitize_code) == '\n    x = ""  ``\n'
     assert one(spark, "  a  \n  b", lambda c: text.sanitize_code(c, compat=True)) == "a\nb"
     assert one(spark, "x" * 20, lambda c: text.sanitize_code(c, most=5)) == "xxxxx\n... [truncated]"
 
