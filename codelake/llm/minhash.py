@@ -7,10 +7,12 @@ minhashes make 196 tables of six rows, which would take 1,176 minhashes by plain
 sets of similarity 0.75 share no key with a probability under 0.001, of 0.8 under 0.00005. The
 right halves are only joined on where a left half already met another class.
 
-Members of a table's bucket are not all compared with one another but with a hub. Links found
-so are merged into components; buckets that still span several components get new hubs, twice
-as many in each round, until each pair across components has been compared. So no bucket is
-capped, and a chain of near copies that are not all alike is followed to its end.
+Members of a table's bucket are first compared with a hub, and links found so are merged into
+components, which leaves few buckets that span several components. Their candidates across
+components are all tested, in blocks of bounded size and without a row for each pair: a bitmap of
+the set gives an exact upper bound of the similarity, and only pairs that it cannot rule out are
+compared on full sets. So no bucket is capped, and a chain of near copies that are not all alike
+is followed to its end.
 """
 
 from __future__ import annotations
@@ -75,17 +77,27 @@ def half_keys(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Bits of the elements modulo a power of two of at least twice their number (2,048 to 65,536)."""
+    bits = min(1 << 16, max(1 << 11, 1 << int(2 * len(s) - 1).bit_length()))
+    out = np.zeros(bits // 8, np.uint8)
+    at = (s & np.uint64(bits - 1)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out.view(np.uint64)
+
+
 def _sketch(batches):
     for b in batches:
-        n, h1, h2, keys = [], [], [], []
+        n, h1, h2, keys, maps = [], [], [], [], []
         for t in b.column(b.num_columns - 1):
             s = shingle_set(t.as_py())
             n.append(len(s))
             h1.append(int(_mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
             h2.append(int(_mix(s ^ _B).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
             keys.append(half_keys(s).view(np.int64) if len(s) else None)
-        cols = [pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=["doc_id", "n_shingles", "h1", "h2", "halves"])
+            maps.append(bitmap(s).tobytes() if len(s) else None)
+        cols = [pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=["doc_id", "n_shingles", "h1", "h2", "halves", "bits"])
 
 
 def _sets(batches):
@@ -123,15 +135,15 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     Repeated rows (equal doc_id and text): equal results; one doc_id with several texts joins
     their groups. Equal sets are always linked. No rows: none. Further columns are ignored."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, h1 long, h2 long, halves array<long>"
+    schema = "doc_id long, n_shingles long, h1 long, h2 long, halves array<long>, bits binary"
     sketches = materialize(text.mapInArrow(_sketch, schema), "sketches")
     usable = sketches.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = materialize(usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("c"), F.first("halves").alias("halves")), "classes")
+    classes = materialize(usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("c"), F.first("halves").alias("halves"), F.first("bits").alias("bits")), "classes")
     members = _buckets(classes)
     crowd = members.select("c").distinct()
     texts = text.join(crowd, text["doc_id"] == crowd["c"]).select("c", "text")
     sets = texts.mapInArrow(_sets, "c long, s array<long>").groupBy("c").agg(F.min("s").alias("s"))
-    groups = _merge(members, materialize(sets, "sets"), similarity)
+    groups = _merge(classes, members, materialize(sets, "sets"), similarity)
     named = classes.select("h1", "h2", "n_shingles", "c")
     if groups is not None:
         named = named.join(groups, named["c"] == groups["node"], "left").select("h1", "h2", "n_shingles", F.coalesce("component", "c").alias("c"))
@@ -151,30 +163,114 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return materialize(keyed.join(met, "key"), "buckets")
 
 
-def _merge(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame | None:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    with_sets = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
+    return materialize(with_sets.select("a", "b", "sa", "sb").mapInArrow(_compare(similarity), "a long, b long"), "links")
+
+
+def _merge(classes: DataFrame, members: DataFrame, sets: DataFrame, similarity: int, star_rounds: int = 2) -> DataFrame | None:
     """node, component of all classes that have a verified link."""
-    links = tested = groups = None
-    hubs = 1
+    links = groups = tested = None
     now = members.withColumns({"p": F.xxhash64("c"), "g": F.col("c")})
-    while True:
-        span = now.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1").select("key")
+    for turn in range(star_rounds + 1):
+        span = now.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min(F.struct("p", "c", "n", "g")).alias("hub")).filter("g0 <> g1")
+        span = span.select("key", F.col("hub.c").alias("hc"), F.col("hub.n").alias("hn"), F.col("hub.g").alias("hg"))
         now = materialize(now.join(span, "key"), "open-buckets")
         if not now.take(1):
             return groups
-        slot = F.pmod("p", F.lit(hubs))
-        best = now.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("p", "c", "n", "g")).alias("hub"))
-        best = best.select("key", F.col("hub.c").alias("hc"), F.col("hub.n").alias("hn"), F.col("hub.g").alias("hg"))
-        close = 100 * F.least("n", "hn") >= similarity * F.greatest("n", "hn")  # else the sizes alone rule a link out
-        pairs = now.join(best, "key").filter((F.col("g") != F.col("hg")) & close).select(F.least("c", "hc").alias("a"), F.greatest("c", "hc").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        with_sets = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-        found = materialize(with_sets.select("a", "b", "sa", "sb").mapInArrow(_compare(similarity), "a long, b long"), "links")
-        now = now.join(best.select("key", F.col("hc").alias("c")), ["key", "c"], "left_anti")
+        if turn < star_rounds:
+            close = 100 * F.least("n", "hn") >= similarity * F.greatest("n", "hn")  # else the sizes alone rule a link out
+            pairs = now.filter((F.col("g") != F.col("hg")) & close).select(F.least("c", "hc").alias("a"), F.greatest("c", "hc").alias("b")).distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = materialize(pairs, "pairs")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            now = now.filter("c <> hc").select("key", "c", "n", "p", "g")  # the hub has met all others
+        else:
+            pairs = materialize(_block_candidates(classes, now.select("c", "g").distinct(), similarity), "pairs")
+        found = _verified(pairs, sets, similarity)
         if found.take(1):
             links = found if links is None else links.unionByName(found)
             groups = materialize(components(links), "components")
-            now = now.drop("g").join(groups, now["c"] == groups["node"], "left").select("key", "c", "n", "p", F.coalesce("component", "c").alias("g"))
-        hubs *= 2
+            if turn < star_rounds:
+                now = now.drop("g").join(groups, now["c"] == groups["node"], "left").select("key", "c", "n", "p", F.coalesce("component", "c").alias("g"))
+    return groups
+
+
+def _block_candidates(classes: DataFrame, open_classes: DataFrame, similarity: int, block: int = 256, task_rows: int = 4_096) -> DataFrame:
+    """Distinct pairs (a, b) of open classes of different components that share a table, and whose
+    bitmaps don't rule the similarity out.
+
+    Rows are dealt by left half key; in a task the right halves tell which pairs share a table. A
+    large bucket is cut into blocks, and each pair of blocks is a task of its own."""
+    own = classes.select("c", F.col("n_shingles").alias("n"), "halves", "bits").join(open_classes, "c")
+    rows = materialize(own.select("c", "n", "g", "halves", "bits", F.posexplode(F.slice("halves", 1, HALVES)).alias("i", "x")), "open-halves")
+    sizes = rows.groupBy("i", "x").agg(F.count(F.lit(1)).alias("m"), F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1")
+    sizes = materialize(sizes.select("i", "x", "m", F.ceil(F.col("m") / block).cast("int").alias("nb")), "open-sizes")
+    tasks = max(1, -(-int(sizes.agg(F.sum("m")).first()[0] or 0) // task_rows))
+    dealt = rows.join(sizes, ["i", "x"]).withColumn("b", F.pmod(F.xxhash64("c", F.lit(23)), F.col("nb")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    lo, hi = F.least("b", "o"), F.greatest("b", "o")
+    task = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("i", "x"), F.lit(tasks))).otherwise(F.xxhash64("i", "x", lo, hi))
+    dealt = dealt.select(task.alias("task"), "i", "x", lo.alias("lo"), hi.alias("hi"), "b", "c", "n", "g", "halves", "bits")
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = _task_pairs(table, similarity)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("task").applyInArrow(run, "a long, b long").distinct()
+
+
+def _task_pairs(table: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates of one task of :func:`_block_candidates`."""
+    table = table.combine_chunks()
+    col = {k: table.column(k).to_numpy(zero_copy_only=False) for k in ("i", "x", "lo", "hi", "b", "c", "n", "g")}
+    halves = np.array(table.column("halves").to_pylist(), np.int64)
+    bits = [np.frombuffer(v, np.uint64) for v in table.column("bits").to_pylist()]
+    out_a, out_b = [], []
+    order = np.lexsort((col["hi"], col["lo"], col["x"], col["i"]))
+    same = np.ones(len(order), bool)
+    for k in ("i", "x", "lo", "hi"):
+        v = col[k][order]
+        same[1:] &= v[1:] == v[:-1]
+    for rows in np.split(order, np.flatnonzero(~same)):
+        if len(rows) < 2:
+            continue
+        i, lo, hi = int(col["i"][rows[0]]), col["lo"][rows[0]], col["hi"][rows[0]]
+        left, right = rows[col["b"][rows] == lo], rows[col["b"][rows] == hi]
+        c1, c2, n1, n2 = col["c"][left][:, None], col["c"][right][None, :], col["n"][left][:, None], col["n"][right][None, :]
+        ok = (col["g"][left][:, None] != col["g"][right][None, :]) & (100 * np.minimum(n1, n2) >= similarity * np.maximum(n1, n2))
+        ok &= c1 < c2 if lo == hi else c1 != c2
+        for k in range(i):  # the pair belongs to its first common left half
+            ok &= halves[left, k][:, None] != halves[right, k][None, :]
+        shared = np.zeros_like(ok)
+        for k in range(HALVES, 2 * HALVES):
+            shared |= halves[left, k][:, None] == halves[right, k][None, :]
+        p, q = np.nonzero(ok & shared)
+        for at in range(0, len(p), 4096):
+            u, v = left[p[at : at + 4096]], right[q[at : at + 4096]]
+            keep = _possible(bits, col["n"], u, v, similarity)
+            out_a.append(np.minimum(col["c"][u], col["c"][v])[keep])
+            out_b.append(np.maximum(col["c"][u], col["c"][v])[keep])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(out_a) if out_a else none, np.concatenate(out_b) if out_b else none)
+
+
+def _fold(b: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_or.reduce(b.reshape(-1, words), axis=0) if len(b) > words else b
+
+
+def _possible(bits: list[np.ndarray], n: np.ndarray, u: np.ndarray, v: np.ndarray, similarity: int) -> np.ndarray:
+    """True where the bitmaps allow the similarity. Common elements are at most the common bits and
+    the elements that share a bit with another one of their set."""
+    out = np.ones(len(u), bool)
+    size = np.minimum([len(bits[k]) for k in u], [len(bits[k]) for k in v])
+    for words in np.unique(size):
+        at = np.flatnonzero(size == words)
+        x, y = np.array([_fold(bits[k], words) for k in u[at]]), np.array([_fold(bits[k], words) for k in v[at]])
+        common = np.bitwise_count(x & y).sum(1).astype(np.int64)
+        one, two = np.bitwise_count(x).sum(1).astype(np.int64), np.bitwise_count(y).sum(1).astype(np.int64)
+        most = np.minimum(np.minimum(common + n[u[at]] - one, common + n[v[at]] - two), np.minimum(n[u[at]], n[v[at]]))
+        out[at] = 100 * most >= similarity * (n[u[at]] + n[v[at]] - most)
+    return out
