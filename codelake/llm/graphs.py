@@ -8,31 +8,47 @@ from pyspark.sql import functions as F
 from .store import mark, materialize, release
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, component (smallest node reachable) for every node of ``edges(a, b)``.
+def _small(df: DataFrame, tag: str, rows: int) -> DataFrame:
+    """A shared table in as many files as its rows ask for."""
+    return materialize(df.coalesce(max(8, rows // 500_000)), tag, "uncompressed")
+
+
+def _mark(stars: DataFrame) -> tuple:
+    """Number of rows and checksums of the rows, which don't depend on their order."""
+    h = F.xxhash64("a", "b")
+    return tuple(stars.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first())
+
+
+def components(edges: DataFrame, known: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+    """node, component (smallest node reachable) for every node of ``edges(a, b)``, and of
+    ``known``, an earlier result whose components are to be extended.
 
     Alternating large-star and small-star steps: each hooks a node's neighbours to the smallest
     one, so the number of rounds grows with the logarithm of the longest path. Rounds are
     written to shared tables. A node with very many neighbours is aggregated before the
     exchange; joins on it are left to adaptive skew handling."""
     spark = edges.sparkSession
+    if known is not None:
+        edges = edges.select("a", "b").unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    stars = materialize(edges.select(high.alias("a"), low.alias("b")).filter("a <> b").distinct(), "links")
+    stars = materialize(edges.select(high.alias("a"), low.alias("b")).filter("a <> b").distinct(), "star-links", "uncompressed")
+    seen = _mark(stars)
     for _ in range(max_rounds):
         at = mark()
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = materialize(large, "large-star")
+        large = _small(large, "large-star", seen[0])
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        small = materialize(small, "small-star")
-        gone = stars.exceptAll(small).limit(1).count() + small.exceptAll(stars).limit(1).count()
+        small = _small(small, "small-star", seen[0])
         release(spark, at, at + 1)
+        now = _mark(small)
         stars = small
-        if not gone:
+        if now == seen:
             break
+        seen = now
     else:
         raise RuntimeError(f"links did not settle within {max_rounds} rounds")
     tops = stars.select("b").distinct()

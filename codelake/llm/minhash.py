@@ -166,17 +166,17 @@ def _buckets(classes: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     with_sets = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-    return materialize(with_sets.select("a", "b", "sa", "sb").mapInArrow(_compare(similarity), "a long, b long"), "links")
+    return materialize(with_sets.select("a", "b", "sa", "sb").mapInArrow(_compare(similarity), "a long, b long"), "links", "uncompressed")
 
 
 def _merge(classes: DataFrame, members: DataFrame, sets: DataFrame, similarity: int, star_rounds: int = 2) -> DataFrame | None:
     """node, component of all classes that have a verified link."""
-    links = groups = tested = None
+    groups = tested = None
     now = members.withColumns({"p": F.xxhash64("c"), "g": F.col("c")})
     for turn in range(star_rounds + 1):
         span = now.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min(F.struct("p", "c", "n", "g")).alias("hub")).filter("g0 <> g1")
         span = span.select("key", F.col("hub.c").alias("hc"), F.col("hub.n").alias("hn"), F.col("hub.g").alias("hg"))
-        now = materialize(now.join(span, "key"), "open-buckets")
+        now = materialize(now.join(span, "key"), "open-buckets", "uncompressed")
         if not now.take(1):
             return groups
         if turn < star_rounds:
@@ -184,15 +184,14 @@ def _merge(classes: DataFrame, members: DataFrame, sets: DataFrame, similarity:
             pairs = now.filter((F.col("g") != F.col("hg")) & close).select(F.least("c", "hc").alias("a"), F.greatest("c", "hc").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = materialize(pairs, "pairs")
+            pairs = materialize(pairs, "pairs", "uncompressed")
             tested = pairs if tested is None else tested.unionByName(pairs)
             now = now.filter("c <> hc").select("key", "c", "n", "p", "g")  # the hub has met all others
         else:
-            pairs = materialize(_block_candidates(classes, now.select("c", "g").distinct(), similarity), "pairs")
+            pairs = materialize(_block_candidates(classes, now.select("c", "g").distinct(), similarity), "pairs", "uncompressed")
         found = _verified(pairs, sets, similarity)
         if found.take(1):
-            links = found if links is None else links.unionByName(found)
-            groups = materialize(components(links), "components")
+            groups = materialize(components(found, groups), "components", "uncompressed")
             if turn < star_rounds:
                 now = now.drop("g").join(groups, now["c"] == groups["node"], "left").select("key", "c", "n", "p", F.coalesce("component", "c").alias("g"))
     return groups
@@ -205,9 +204,9 @@ def _block_candidates(classes: DataFrame, open_classes: DataFrame, similarity: i
     Rows are dealt by left half key; in a task the right halves tell which pairs share a table. A
     large bucket is cut into blocks, and each pair of blocks is a task of its own."""
     own = classes.select("c", F.col("n_shingles").alias("n"), "halves", "bits").join(open_classes, "c")
-    rows = materialize(own.select("c", "n", "g", "halves", "bits", F.posexplode(F.slice("halves", 1, HALVES)).alias("i", "x")), "open-halves")
+    rows = materialize(own.select("c", "n", "g", "halves", "bits", F.posexplode(F.slice("halves", 1, HALVES)).alias("i", "x")), "open-halves", "uncompressed")
     sizes = rows.groupBy("i", "x").agg(F.count(F.lit(1)).alias("m"), F.min("g").alias("g0"), F.max("g").alias("g1")).filter("g0 <> g1")
-    sizes = materialize(sizes.select("i", "x", "m", F.ceil(F.col("m") / block).cast("int").alias("nb")), "open-sizes")
+    sizes = materialize(sizes.select("i", "x", "m", F.ceil(F.col("m") / block).cast("int").alias("nb")), "open-sizes", "uncompressed")
     tasks = max(1, -(-int(sizes.agg(F.sum("m")).first()[0] or 0) // task_rows))
     dealt = rows.join(sizes, ["i", "x"]).withColumn("b", F.pmod(F.xxhash64("c", F.lit(23)), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
