@@ -1,0 +1,83 @@
+import re
+
+from codelake.llm import pii
+from codelake.llm.queries import op10_pii
+
+TEXTS = [
+    "Mail ann.lee@corp.example.org or call +1 (415) 555-0132 now",
+    "again ann.lee@corp.example.org, and bob@corp.example.org",
+    "host 10.20.30.40 and 10.20.30.41, not 1.2.3 or 999.1.1.1",
+    "card 4111 1111 1111 1111 and 4539578763621486; ssn 123-45-6789",
+    'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" and 2ABC3FF2CA8FB1E4C565A0EB63815530A948BDDE',
+    "Mr. John Smith met Mrs. Ann Smith and Frau Müller; господин Иван Петров",
+    "no data here 12 345", None, "",
+]
+
+
+def run(spark, texts, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r for r in pii.pseudonymise(df, **options).collect()}
+
+
+def test_kinds_and_formats(spark):
+    got = run(spark, TEXTS)
+    found = {i: [s["kind"] for s in r["spans"]] for i, r in got.items()}
+    assert found == {0: ["email", "phone"], 1: ["email", "email"], 2: ["ip", "ip"], 3: ["card", "card", "ssn"], 4: ["secret", "secret"], 5: ["name"] * 4, 6: [], 7: [], 8: []}
+    for i, r in got.items():
+        for s in r["spans"]:
+            value = TEXTS[i][s["start"] : s["start"] + s["length"]]
+            assert value != s["surrogate"] and value not in (r["text"] or "").split(s["surrogate"])[0][-len(value) :]
+            shape = lambda x: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", x)))
+            if s["kind"] in ("card", "ssn", "phone", "email"):
+                assert shape(value) == shape(s["surrogate"])
+    assert got[0]["spans"][0]["surrogate"] == got[1]["spans"][0]["surrogate"] != got[1]["spans"][1]["surrogate"]
+    assert all(pii.luhn(re.sub(r"\D", "", s["surrogate"])) for s in got[3]["spans"][:2])
+    names = [s["surrogate"] for s in got[5]["spans"]]
+    assert names[0].split()[1] in pii.GIVEN["m", "latin"] and names[1].split()[1] in pii.GIVEN["f", "latin"]
+    assert names[2].startswith("Frau ") and len(names[2].split()) == 2 and re.search("[а-яё]", names[3])
+    assert got[7]["text"] is None and got[8]["text"] == "" and got[6]["text"] == TEXTS[6]
+    assert got[0]["text"].startswith("Mail ") and got[0]["text"].endswith(" now")
+
+
+def test_distinct_over_small_formats(spark):
+    """Many values of a short format: all surrogates differ, none is a real value."""
+    values = [f"{a}-{b:02d}-{c:04d}" for a in range(100, 110) for b in range(10) for c in (1, 2)]
+    got = run(spark, ["id " + v for v in values])
+    made = [r["spans"][0]["surrogate"] for r in got.values()]
+    assert len(set(made)) == len(values) and not set(made) & set(values)
+    titles = run(spark, [f"Mr {chr(65 + i)}{chr(97 + j)}xy" for i in range(26) for j in range(26)])
+    names = [r["spans"][0]["surrogate"] for r in titles.values()]
+    assert len(set(names)) == 26 * 26
+
+
+def test_keyed(spark):
+    a, b, c = (run(spark, TEXTS[:2], key=k)[0]["text"] for k in (b"1", b"1", b"2"))
+    assert a == b != c
+
+
+def test_odd_rows(spark, odd, none, clashing):
+    rows = pii.pseudonymise(clashing(odd)).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in rows) == sorted((str(r["doc_id"]), str(r["text"])) for r in odd.collect())
+    assert pii.pseudonymise(none).count() == 0
+    twice = spark.createDataFrame([(1, "x@y.org"), (1, "x@y.org"), (None, "é🙂 x@y.org!"), (None, None)], "doc_id long, text string")
+    out = pii.pseudonymise(twice).collect()
+    assert len(out) == 4 and len({s["surrogate"] for r in out for s in r["spans"]}) == 1
+    assert any(r["text"] and r["text"].startswith("é🙂 ") and r["text"].endswith("!") for r in out)
+
+
+def test_query(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op10_pii(spark, sf).collect()
+    assert len(rows) == len(texts)
+    seen = {}
+    for r in rows:
+        want = pii.detect(texts[r["doc_id"]])
+        assert [(s["start"], s["length"], s["kind"]) for s in r["spans"]] == [w[:3] for w in want]
+        text, shift = texts[r["doc_id"]], 0
+        for s, (start, n, kind, value) in zip(r["spans"], want, strict=True):
+            assert seen.setdefault((kind, value), s["surrogate"]) == s["surrogate"]
+            text = text[: start + shift] + s["surrogate"] + text[start + shift + n :]
+            shift += len(s["surrogate"]) - n
+        assert text == r["text"]
+    assert len(set(seen.values())) == len(seen) > 20
