@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .store import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows of a shared line that its occurrences are joined with, by document.
+SALTS = 32
 #: Stripped at both ends of a line: space and \x09-\x0D.
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -42,7 +44,10 @@ def drop_words(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataF
     first = keyed.select("h1", "h2", "doc_id", "pos").repartitionByRange("h1", "h2", "doc_id").withColumn("nth", F.row_number().over(streamed)).filter("nth = 1")
     shared = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
     shared = shared.filter(F.col("n_docs") >= min_docs).drop("n_docs")
-    dropped = keyed.join(shared, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # a line that a third of all documents hold meets its one row in SALTS places
+    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    dropped = salted.join(shared, ["h1", "h2", "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     word = F.shiftright("pos", 6).alias("word")
     bit = F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits")
     words = dropped.groupBy("doc_id", "_hash", word).agg(bit)
