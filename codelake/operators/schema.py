@@ -32,6 +32,11 @@ def bad_function(f: Column) -> Column:
     return f["name"].isNull() | params | returns
 
 
+def missing_keys(json: Column, required: list[str]) -> Column:
+    """Which of the required keys an object lacks, in their order."""
+    return F.array_except(F.array(*[F.lit(k) for k in required]), F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")))
+
+
 def errors(json: Column) -> Column:
     """Why a document is invalid; empty if it is valid. Lists that are none, and missing keys."""
     files = parse(json)["files"]

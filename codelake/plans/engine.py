@@ -138,6 +138,59 @@ def code_analysis(p: Project, files: int = 10) -> str:
     return "\n".join(out)
 
 
+def component_breakdown(p: Project, files: int = 12) -> str:
+    """The most important files in detail: classes with attributes and public methods, public
+    functions with parameters, external and internal imports, each up to a number."""
+    top = rank.top_files(p.summaries, files)
+    chosen = F.broadcast(top.select("path"))
+
+    def listed(df: DataFrame, order: str, cols: list[str], keys: list[str]) -> dict:
+        """Rows in order by key; only the chosen files' rows are collected."""
+        rows = df.join(chosen, "path", "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("rows"))
+        return {tuple(r[k] for k in keys): r["rows"] for r in rows.collect()}
+
+    names = F.transform("parameters", lambda x: x["name"]).alias("params")
+    shown = p.symbols.select("path", "class_name", "ord", "name", "signature", "description", F.col("returns.type").alias("returns"), names)
+    fields = ["name", "signature", "description", "returns", "params"]
+    classes = listed(p.classes, "ord", ["name", "description", "extends"], ["path"])
+    methods = listed(shown.filter("class_name is not null"), "ord", fields, ["path", "class_name"])
+    functions = listed(shown.filter("class_name is null"), "ord", fields, ["path"])
+    attributes = listed(p.variables.filter("kind = 'attribute'"), "line", ["name"], ["path", "owner"])
+    imports = listed(p.classified_imports, "line", ["module", "kind"], ["path"])
+    out = ["\n## DETAILED COMPONENT BREAKDOWN\n"]
+    for r in top.collect():
+        key = (r["path"],)
+        out.append(f"\n### Component: {r['path'].rpartition('/')[2]} (`{'/'.join(r['path'].split('/')[-3:])}`)")
+        if r["summary"]:
+            out.append(f"\n**Purpose**: {r['summary'][:300]}")
+        if key in classes:
+            out.append(f"\n**Classes ({len(classes[key])}):**\n")
+            for c in classes[key][:3]:
+                base = f" extends {c['extends']}" if c["extends"] else ""
+                out.append(f"- **`{c['name']}`**{base}: {(c['description'] or '')[:150]}")
+                own = attributes.get((r["path"], c["name"]), [])
+                if own:
+                    out.append("  - Attributes: " + ", ".join(a["name"] for a in own[:5]))
+                members = methods.get((r["path"], c["name"]), [])
+                if members:
+                    out.append("  - Key Methods:")
+                    out += [f"    - `{m['name']}{m['signature']}`: {(m['description'] or '')[:80]}" for m in members[:4] if not m["name"].startswith("_")]
+        public = [f for f in functions.get(key, []) if not f["name"].startswith("_")]
+        if public:
+            out.append(f"\n**Public Functions ({len(public)}):**\n")
+            for f in public[:6]:
+                out.append(f"- **`{f['name']}{f['signature']}`** → `{f['returns']}`")
+                if f["description"]:
+                    out.append(f"  - {f['description'][:150]}")
+                if f["params"]:
+                    out.append("  - Parameters: " + ", ".join(f["params"][:4]))
+        for kind, title in (("external", "External Dependencies"), ("internal", "Internal Dependencies")):
+            used = [i["module"] for i in imports.get(key, []) if i["kind"] == kind]
+            if used:
+                out.append(f"\n**{title}**: " + ", ".join(used[:4]))
+    return "\n".join(out)
+
+
 def readme_prompt(p: Project) -> str:
     """What a provider is told about the project."""
     arch, stats, deps, tests = (p.tables[t].first() for t in ("architecture", "statistics", "dependencies", "testing"))
@@ -153,12 +206,16 @@ def readme_prompt(p: Project) -> str:
     m.add_lines("**Dependencies:**", _bullets(deps["external_packages"][:15], str) or "- No external dependencies", "")
     m.add_lines("**Configuration:**", _bullets(config, lambda r: f"`{r['file']}`: {r['description']}") or "- No configuration files detected", "")
     m.add_lines("**Testing:**", f"- Framework: {', '.join(tests['frameworks']) or 'none detected'}", f"- Test Files: {tests['test_count']}", "")
-    m.add_heading("DETAILED CODE ANALYSIS").add_line(code_analysis(p))
+    m.add_heading("DETAILED CODE ANALYSIS").add_line(code_analysis(p)).add_line(component_breakdown(p))
     sections = ["Project Header", "What Is This?", "Architecture [Architecture Diagram]", "Project Structure [Folder Structure]", "Key Components", "Getting Started", "API / Usage Examples", *(["Testing"] if tests["test_count"] else []), "Development"]
     m.add_heading("REQUIRED SECTIONS").add_lines(*(f"{i}. {s}" for i, s in enumerate(sections, 1)))
     return m.build()
 
 
+#: When not even the facts can be read.
+FALLBACK = "# Project README\n\n## Overview\n\nGenerated automatically.\n\n## License\n\nSee the LICENSE file.\n"
+
+
 def template(p: Project) -> str:
     """A README from the facts alone, for runs without a provider."""
     arch, stats = p.architecture.first(), p.statistics.first()
@@ -184,7 +241,9 @@ def readme(p: Project, provider: Provider | None = None, stamp=None) -> DataFram
             text = provider.generate("You write READMEs.", readme_prompt(p), 0.2)
         except Exception:
             text = ""
-    made = p.spark.createDataFrame([(p.name, text or template(p))], "name string, text string")
+    if not text:
+        text = template(p) if p.summaries.take(1) else FALLBACK
+    made = p.spark.createDataFrame([(p.name, text)], "name string, text string")
     drawn = all_diagrams(p)
     for key in rewrite.DIAGRAM_MARKS:
         made = made.join(F.broadcast(drawn[key].withColumnRenamed("content", f"d_{key}")))  # one row each

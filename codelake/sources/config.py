@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import copy
+import logging
 import os
+import sys
 from typing import Any
 
 from ..functions.tables import PRUNED
@@ -103,3 +105,19 @@ class Config:
 def least_timeout(model: str) -> float:
     """Seconds that a model of this size needs at least; 0 for small ones."""
     return next((s for words, s in SLOW_MODELS if any(w in model.lower() for w in words)), 0)
+
+
+def setup_logging(config: Config) -> logging.Logger:
+    """A logger that writes to standard output and to the configured file."""
+    log = logging.getLogger("codelake")
+    log.setLevel(config.get("logging.level").upper())
+    for old in list(log.handlers):
+        log.removeHandler(old)
+        old.close()
+    handlers: list[logging.Handler] = [logging.StreamHandler(sys.stdout)]
+    if config.get("logging.file"):
+        handlers.append(logging.FileHandler(config.get("logging.file"), encoding="utf-8", delay=True))
+    for h in handlers:
+        h.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(h)
+    return log

@@ -185,6 +185,11 @@ def test_schema(spark):
     assert of("{}")["n"]["project_name"] == "Unnamed Project" and of("{}")["n"]["files"] == []
 
 
+def test_missing_keys(spark):
+    of = lambda j: spark.createDataFrame([(j,)], "j string").select(schema.missing_keys(F.col("j"), ["a", "b", "c"]).alias("m")).first()["m"]
+    assert of('{"b": 1}') == ["a", "c"] and of("[]") == ["a", "b", "c"] and of(None) == ["a", "b", "c"]
+
+
 def test_ranks(spark):
     files = spark.createDataFrame([("a/main.py", 0, 0, 0), ("tests/x.py", 9, 9, 1), ("a/util.py", 1, 1, 2), ("api/r.py", 0, 5, 3)], "path string, n_classes int, n_functions int, file_ord int")
     assert [(r["path"], r["score"]) for r in rank.top_files(files, 3).collect()] == [("api/r.py", 55), ("a/main.py", 50), ("tests/x.py", 35)]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from codelake.plans import diagrams, engine
 from codelake.plans.markdown import Markdown, page, render_file, to_html
-from codelake.sources.config import Config, least_timeout, merge
+from codelake.sources.config import Config, least_timeout, merge, setup_logging
 from codelake.sources.providers import NullProvider
 from codelake.sources.tree import MOST, decoded, read_tree
 from codelake.streaming.ingest import watch, windowed_counts
@@ -142,6 +142,8 @@ def test_readme(spark, project, tmp_path):
     path = engine.save_readme(project, str(tmp_path))
     assert path.endswith("Shop_Project/README.md")
     prompt = engine.readme_prompt(project)
+    assert "### Component: core.py (`shop/core.py`)" in prompt and "- **`Box`** extends Base" in prompt and "  - Attributes: size" in prompt and "    - `open()`: " in prompt
+    assert "- **`fetch(u, *, n=1)`** → `Coroutine[str]`" in prompt and "**External Dependencies**: flask" in prompt
     assert "- Total Files: 11" in prompt and "`shop/api/api_server.py`" in prompt and "Testing" in prompt
 
     class Fixed:
@@ -175,6 +177,9 @@ def test_config(tmp_path):
             Config(over=bad)
     env = Config().with_environment(env={"CODELAKE_MODEL": "big:14b", "CODELAKE_TIMEOUT": "60"})
     assert env.get("llm.model") == "big:14b" and env.get("llm.timeout") == 300 and least_timeout("x:30b") == 480 and least_timeout("x:7b") == 0
+    log = setup_logging(Config(over={"logging": {"file": str(tmp_path / "run.log"), "level": "debug"}}))
+    log.debug("hello")
+    assert "hello" in (tmp_path / "run.log").read_text(encoding="utf-8")
     base = {"a": {"b": 1}}
     assert merge(base, {"a": {"c": 2}}) == {"a": {"b": 1, "c": 2}} and base == {"a": {"b": 1}}
 
@@ -187,3 +192,9 @@ def test_streaming(spark, tree, tmp_path):
     assert rows.count() == 1 and spark.read.parquet(f"{out}/diagnostics").count() == 1
     events = spark.createDataFrame([("2020-01-01 00:01:00", "a"), ("2020-01-01 00:04:00", "a"), ("2020-01-01 00:06:00", "b")], "t string, k string").withColumn("t", F.col("t").cast("timestamp"))
     assert sorted((r["k"], r["n"]) for r in windowed_counts(events, "t", "k").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_empty_project(spark, tmp_path):
+    p = engine.build(spark, str(tmp_path), "Nothing")
+    assert p.files.count() == 0 and engine.readme(p).first()["text"].startswith("# Project README")
+    assert p.statistics.first()["total_files"] == 0 and engine.artifacts(p).count() == 8
