@@ -163,8 +163,8 @@ def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc
                 f = model.decide([part[i] for i in own]).astype(np.float64)
                 e = np.exp(3 * (f - f.max(1, keepdims=True)))
                 e /= e.sum(1, keepdims=True)
-                for i, k in zip(own, f.argmax(1), strict=True):
-                    lang[lo + i], sure[lo + i] = model.langs[k], e[own.index(i) if len(own) != len(part) else i, k]
+                for r, (i, k) in enumerate(zip(own, f.argmax(1), strict=True)):
+                    lang[lo + i], sure[lo + i] = model.langs[k], e[r, k]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names=[*carry, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import pack, unpack
 from .store import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,10 +66,14 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Dat
     smaller than any other. Repeated rows: one document to the counts; each row gets its
     answer. No rows: none. Further columns are carried along, whatever their names, but for
     names in this result, which are replaced. If ``text`` isn't used later, it isn't shuffled."""
+    own = "_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = drop_words(docs.select("doc_id", "text"), min_docs, min_chars)
-    words = words.select(F.col("doc_id").alias("_doc"), F.col("_hash").alias("_text"), "drop").hint("shuffle_hash")
-    rows = _lines(docs.drop("drop", "n_lines", "n_dropped", "_doc", "_text", "_hash")).withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
-    rows = rows.join(words, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_text")), "left").drop("_doc", "_text", "_hash")
+    words = words.select(F.col("doc_id").alias(f"{own}doc"), F.col("_hash").alias(f"{own}hash"), "drop").hint("shuffle_hash")
+    rows = docs.drop("drop", "n_lines", "n_dropped").withColumns({"text": text, f"{own}text": F.xxhash64(text), "n_lines": F.size(F.split(text, "\n")).cast("long")})
+    rows = rows.join(words, F.col("doc_id").eqNullSafe(F.col(f"{own}doc")) & (F.col(f"{own}text") == F.col(f"{own}hash")), "left").drop(f"{own}doc", f"{own}hash", f"{own}text")
     n = F.aggregate(F.coalesce("drop", F.array().cast("array<struct<word:int,bits:bigint>>")), F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x["bits"]))
     return rows.withColumn("n_dropped", n)
 
@@ -82,4 +87,5 @@ def kept_text() -> Column:
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``."""
-    return keep_bitmaps(docs, min_docs, min_chars).withColumn("text", kept_text()).select(docs.columns)
+    rows = keep_bitmaps(pack(docs), min_docs, min_chars).withColumn("text", kept_text())
+    return unpack(rows, docs.columns)

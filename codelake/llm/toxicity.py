@@ -164,14 +164,15 @@ def learn(docs: DataFrame, labels: DataFrame, *, max_train: int = 8_000, min_doc
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), result: str = "score") -> DataFrame:
     """``carry`` columns and ``result`` (0 to 1) for every row of ``docs``."""
-    rows = docs.select(*carry, F.col("text").cast("string").alias("_text"))
-    schema = docs.select(*carry).withColumn(result, F.lit(0.0)).schema
+    at = carry.index("text") if "text" in carry else len(carry)
+    rows = docs.select(*carry) if at < len(carry) else docs.select(*carry, F.col("text").cast("string"))
+    schema = docs.select(*carry).schema.add(result, "double")
 
     def run(batches):
         for b in batches:
-            x = [features(t.as_py(), model.lexicon) for t in b.column(b.num_columns - 1)]
+            x = [features(t.as_py(), model.lexicon) for t in b.column(at)]
             s = model.score(np.array(x)) if x else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*carry, result])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carry)], pa.array(s, pa.float64())], names=[*carry, result])
 
     return rows.mapInArrow(run, schema)
 
