@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codelake.llm import decontam, line_dedup, minhash, packing, store, toxicity
+from codelake.llm import decontam, line_dedup, minhash, packing, rows, store, toxicity
 from codelake.llm.queries import tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -42,8 +42,9 @@ def _with_size(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.learn(docs, labels), carry=tuple(docs.columns), result="_score")
-    return scored.filter(F.col("_score") < 0.5).drop("_score")
+    model = toxicity.learn(docs.select("doc_id", "text"), labels)
+    scored = toxicity.score(rows.pack(docs), model, carry=("doc_id", "text", "rest"))
+    return rows.unpack(scored.filter(F.col("score") < 0.5), docs.columns)
 
 
 @_stage
@@ -57,18 +58,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document with the smallest doc_id of each near-duplicate group; rows without a doc_id stay."""
     groups = minhash.near_duplicates(docs.select("doc_id", "text"))
     kept = groups.filter("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi")
-    once = known.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("_nth = 1").drop("_nth")
-    return once.select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    packed = rows.pack(docs)
+    known = packed.join(kept, "doc_id", "left_semi")
+    once = known.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("nth = 1").drop("nth")
+    return rows.unpack(once.select(packed.columns).unionByName(packed.filter("doc_id is null")), docs.columns)
 
 
 @_stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    leaks = decontam.contaminated(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark)
-    return keyed.join(leaks.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(docs.columns)
+    keyed = rows.pack(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+    leaks = decontam.contaminated(keyed.select(F.col("row").alias("doc_id"), "text"), benchmark)
+    clean = keyed.join(leaks.select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti")
+    return rows.unpack(clean, docs.columns)
 
 
 @_stage
