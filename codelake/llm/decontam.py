@@ -230,6 +230,8 @@ def _search(items: Items, space: np.ndarray, narrow: np.dtype, cosine: float, sh
         target = table[rows].sum(1)
         length = np.linalg.norm(target, axis=1, keepdims=True)
         target = np.ascontiguousarray((target / np.maximum(length, 1e-12)).T)
+        # a short passage fills only a part of the document's passage around it
+        least = (cosine * np.sqrt((rows < blank).sum(1) / (2 * HALF))).astype(np.float32)
         names = [c.split()[0] for c in MATCHES.split(", ")]
         for b in batches:
             out: list[tuple] = []
@@ -242,7 +244,7 @@ def _search(items: Items, space: np.ndarray, narrow: np.dtype, cosine: float, sh
                 hits: dict[tuple[int, int], dict[int, float]] = {}
                 for lo in range(0, len(both), 8192):
                     near = both[lo : lo + 8192] @ target
-                    r, c = np.nonzero(near >= cosine)
+                    r, c = np.nonzero(near >= least)
                     for row, col in zip(r + lo, c, strict=True):
                         k = int(np.searchsorted(ends, row, side="right"))
                         start = int(row - (ends[k - 1] if k else 0)) * HALF
@@ -267,12 +269,13 @@ def _search(items: Items, space: np.ndarray, narrow: np.dtype, cosine: float, sh
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.65, share: float = 0.7, share_with_answer: float = 0.5, answer_words: int = 8, min_words: int = 8, rank: int = 96, block_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.55, share: float = 0.7, share_with_answer: float = 0.5, answer_words: int = 8, min_words: int = 8, rank: int = 96, block_items: int = 20_000) -> DataFrame:
     """One row for each document of ``docs(doc_id, text)`` and item of ``benchmark(item_id, text)``
     that leaks into it, at its best place.
 
     Columns: doc_id, item_id, first_word and n_words (the place, in words), cosine, lcs_share
     (share of the item's words found in order), answer, exact (the whole item word by word).
+    Candidates have a ``cosine`` of that much, less for passages under 32 words.
     Confirmed are ``share`` of the words, or ``share_with_answer`` and the last ``answer_words``
     words in one piece, within a stretch of at most twice the item's words.
 

@@ -42,7 +42,7 @@ PATTERNS = [
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d.-])(?:\d{4}[ -]){3}\d{1,7}(?![\d-])|(?<![\d.-])\d{13,19}(?![\d-])"),
-    ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"),
+    ("phone", r"\+\d{1,3}[\s.-]?(?:\(\d{1,4}\)[\s.-]?)?\d{2,4}(?:[\s.-]?\d{2,4}){1,4}(?!\d)|(?<![\d+])\(\d{3}\)\s?\d{3}[\s.-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"),
     ("name", r"(?<!\w)(?:%s)\.? (?:[A-ZÀ-ÞА-ЯЁ][\w'’-]+)(?: [A-ZÀ-ÞА-ЯЁ][\w'’-]+)?" % "|".join(sorted(TITLES, key=len, reverse=True))),
 ]
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))

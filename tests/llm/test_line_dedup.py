@@ -51,6 +51,8 @@ def test_odd_rows(spark, odd, none, clashing):
     assert run(none) == []
     kept = line_dedup.dedup_lines(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count()
+    named = clashing(odd)
+    assert line_dedup.dedup_lines(named).columns == named.columns
 
 
 def test_query_is_native(spark):

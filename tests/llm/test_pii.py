@@ -50,6 +50,11 @@ def test_distinct_over_small_formats(spark):
     assert len(set(names)) == 26 * 26
 
 
+def test_broken_lines():
+    assert [x[:3] for x in pii.detect("a +1 (377)\n555-0271 b")] == [(2, 17, "phone")]
+    assert pii.surrogate(b"k", "phone", "+1 (377)\n555-0271").startswith("+1 (") and "\n" in pii.surrogate(b"k", "phone", "+1 (377)\n555-0271")
+
+
 def test_keyed(spark):
     a, b, c = (run(spark, TEXTS[:2], key=k)[0]["text"] for k in (b"1", b"1", b"2"))
     assert a == b != c

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from .test_line_dedup import key
-from .test_minhash import shingles
+from .test_minhash import brute as near_groups
 from .test_packing import check
 
 
@@ -61,12 +61,8 @@ def test_stages(spark, folder):
     holders = [d for d, t in left.items() if key(shared) in map(key, (t or "").split("\n"))]
     lines = {r["doc_id"]: r["text"] for r in results["line_dedup"]}
     assert [d for d, t in lines.items() if shared in t] == [max(holders)]
-    groups = {}
-    for d, t in sorted(lines.items()):
-        s = frozenset(shingles(t))
-        groups.setdefault(s if s else d, d)
     near = {r["doc_id"]: r["text"] for r in results["near_dedup"]}
-    assert set(near) == set(groups.values())
+    assert set(near) == {d for d, _, _, kept in near_groups(sorted(lines.items())) if kept} and len(near) < len(lines)
     leaked = {d for d, t in near.items() if any(i in (t or "") for i in items)}
     rest = {r["doc_id"]: r["text"] for r in results["decontamination"]}
     assert set(rest) == set(near) - leaked and leaked
@@ -77,3 +73,15 @@ def test_run(spark, folder):
     got = corpus_pipeline.run(spark, str(folder[0])).toPandas()
     assert (got.groupby("doc_id").length.sum() == got.groupby("doc_id").doc_tokens.first()).all()
     assert np.array_equal(got.ids.map(len).to_numpy(), 4 * got.length.to_numpy())
+
+
+def test_odd_rows(spark, folder, odd, none, clashing):
+    """Every filtering stage keeps the columns, whatever their names, and the rows it has no reason to drop."""
+    docs = clashing(odd).withColumnsRenamed({"score": "nth", "rank": "rest", "key": "row"})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(folder[0]))
+        assert got.columns == docs.columns
+        assert got.count() == docs.count() - (name == "near_dedup") * 2
+        assert stage(spark, none, str(folder[0])).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(folder[0])).filter("doc_id = 1").count() == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, none, str(folder[0])).count() == 0

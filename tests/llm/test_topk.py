@@ -42,7 +42,7 @@ def test_unusable_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     ints = topk.integers(df)
     assert sorted(r["vec_id"] for r in ints.collect()) == [0, 0, 5]
-    assert sorted(map(tuple, topk.top_k(ints, ints.filter("vec_id = 0"), 5).collect())) == [(0, 1, 5, 64)]
+    assert sorted(map(tuple, topk.top_k(ints, ints.filter("vec_id = 0"), 5).collect())) == [(0, 1, 5, 16384)]
     none = topk.integers(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(none, none, 5).count() == 0
 
