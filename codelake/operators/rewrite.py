@@ -64,10 +64,11 @@ def dedup_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", hea
     """``key`` and ``text`` without sections whose heading occurred before in the document.
 
     A repeated heading line goes, and what follows it until the next new heading. ``heading``: a
-    condition on the column ``line`` (default: it starts with ``##``). Documents are windows by key
-    and position; only heading lines are ranked."""
+    condition on the column ``line`` (default: it starts with ``##``). Documents are dealt by key
+    once, before their lines are made; both windows and the aggregate keep that partitioning."""
     heading = F.startswith("line", F.lit("##")) if heading is None else heading
-    lines = docs.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line")).withColumn("h", heading)
+    dealt = docs.select(key, text).repartition(key)
+    lines = dealt.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line")).withColumn("h", heading)
     nth = F.row_number().over(Window.partitionBy(key, "line", "h").orderBy("pos"))
     lines = lines.withColumn("keep", F.when(F.col("h"), nth == 1))
     state = F.coalesce(F.last("keep", ignorenulls=True).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), F.lit(True))
