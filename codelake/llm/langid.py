@@ -85,16 +85,22 @@ class Model:
         return out
 
 
-def fit(texts: list[str], langs: list[str], *, landmarks: int = 160, orders: int = 4, bits: int = 16, ridge: float = 1e-2) -> Model:
-    """Nyström map from ``landmarks`` texts, spread evenly over the languages, and ridge weights."""
+def fit(texts: list[str], langs: list[str], *, orders: int = 4, bits: int = 16, **options) -> Model:
+    """:func:`fit_slots` on texts."""
+    return fit_slots([slots(t, orders, bits) for t in texts], langs, orders=orders, bits=bits, **options)
+
+
+def fit_slots(got: list[list[np.ndarray]], langs: list[str], *, orders: int, bits: int, landmarks: int = 160, ridge: float = 1e-2) -> Model:
+    """Nyström map from ``landmarks`` texts, spread evenly over the languages, and ridge weights.
+
+    ``got``: for each text the slots of each order."""
     names = sorted(set(langs))
-    got = [slots(t, orders, bits) for t in texts]
     turn: dict[str, int] = {}
     rank = []
     for x in langs:
         turn[x] = turn.get(x, 0) + 1
         rank.append(turn[x])
-    marks = sorted(range(len(texts)), key=lambda i: (rank[i], i))[:landmarks]
+    marks = sorted(range(len(got)), key=lambda i: (rank[i], i))[:landmarks]
     used = [np.unique(np.concatenate([got[i][p] for i in marks])) for p in range(orders)]
 
     def matrix(rows, p):
@@ -110,22 +116,24 @@ def fit(texts: list[str], langs: list[str], *, landmarks: int = 160, orders: int
     value, vector = np.linalg.eigh(kmm)
     keep = value > 1e-6 * max(value.max(), 1e-12)
     root = vector[:, keep] / np.sqrt(value[keep])  # Nyström: phi(x) = k(x, landmarks) root
-    phi = np.zeros((len(texts), int(keep.sum())))
-    for i in range(0, len(texts), 256):
-        rows = range(i, min(i + 256, len(texts)))
+    phi = np.zeros((len(got), int(keep.sum())))
+    for i in range(0, len(got), 256):
+        rows = range(i, min(i + 256, len(got)))
         phi[i : i + 256] = sum(matrix(rows, p) @ bases[p].T for p in range(orders)) @ root
     target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    weight = np.array([1 / langs.count(x) for x in langs]) * len(texts) / len(names)
+    weight = np.array([1 / langs.count(x) for x in langs]) * len(got) / len(names)
     mean = np.average(phi, 0, weight)
     centred, shift = phi - mean, np.average(target, 0, weight)
-    gram = (centred * weight[:, None]).T @ centred + ridge * len(texts) * np.eye(phi.shape[1]) * max(1e-9, np.trace(kmm) / len(marks)) * 0.01
+    gram = (centred * weight[:, None]).T @ centred + ridge * len(got) * np.eye(phi.shape[1]) * max(1e-9, np.trace(kmm) / len(marks)) * 0.01
     beta = np.linalg.solve(gram, (centred * weight[:, None]).T @ (target - shift))
     dual = root @ beta
     return Model(names, orders, bits, used, [(b.T @ dual).astype(np.float32) for b in bases], (shift - mean @ beta).astype(np.float32))
 
 
-def learn(docs: DataFrame, *, per_lang: int = 400, **options) -> Model | None:
-    """Fit on about ``per_lang`` texts a language, chosen by a hash of the text; equal texts count once."""
+def learn(docs: DataFrame, *, per_lang: int = 400, orders: int = 4, bits: int = 16, **options) -> Model | None:
+    """Fit on about ``per_lang`` texts a language, chosen by a hash of the text; equal texts count once.
+
+    Only the n-gram slots of the sample, at most ``2**bits`` an order, reach the driver."""
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -138,12 +146,19 @@ def learn(docs: DataFrame, *, per_lang: int = 400, **options) -> Model | None:
     near = near.groupBy("lang", mixed.alias("h")).agg(F.min("text").alias("text"))
     ordered = Window.partitionBy("lang").orderBy("h")
     sample = materialize(near.withColumn("nth", F.row_number().over(ordered)).filter(F.col("nth") <= per_lang).drop("nth"), "lang-train")
-    texts, langs = [], []
-    for r in sample.orderBy("lang", "h").toLocalIterator():
-        if has_letter(r["text"]):
-            texts.append(r["text"])
-            langs.append(r["lang"])
-    return fit(texts, langs, **options) if texts else None
+
+    def described(batches):
+        for b in batches:
+            found = [slots(t, orders, bits) if has_letter(t) else None for t in b.column(2).to_pylist()]
+            packed = [[s.astype("<i4").tobytes() for s in f] if f else None for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.list_(pa.binary()))], names=["lang", "h", "s"])
+
+    known = sample.select("lang", "h", "text").mapInArrow(described, "lang string, h long, s array<binary>").filter("s is not null")
+    got, langs = [], []
+    for r in known.orderBy("lang", "h").toLocalIterator():
+        got.append([np.frombuffer(x, "<i4").astype(np.int64) for x in r["s"]])
+        langs.append(r["lang"])
+    return fit_slots(got, langs, orders=orders, bits=bits, **options) if got else None
 
 
 def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc_id",), block: int = 64) -> DataFrame:
