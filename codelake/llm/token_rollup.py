@@ -9,11 +9,12 @@ before the rename counts not at all.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import materialize, shared_dir
@@ -93,45 +94,66 @@ class Rollup:
         return sums.filter("n_docs <> 0 or n_tokens <> 0")
 
 
+#: A piece between white space that holds no letter, digit or underscore.
+MARKS = re.compile(r"(?<!\S)[^\w\s]+(?!\S)")
+
+
 def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, source, lang, n_words, n_tokens of the whole text (null: 0) for every row."""
+    """doc_id, source, lang, n_pieces (between white space), n_words (those with a letter or digit)
+    and n_tokens of the whole text (null: 0) for every row."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(3).to_pylist()
-            words = [len((t or "").split()) for t in texts]
-            tokens = [len(encode(tokenizer, t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.array(words, np.int64)), pa.array(np.array(tokens, np.int64))], names=["doc_id", "source", "lang", "n_words", "n_tokens"])
+            texts = [t or "" for t in b.column(3).to_pylist()]
+            pieces = np.array([len(t.split()) for t in texts], np.int64)
+            marks = np.array([len(MARKS.findall(t)) for t in texts], np.int64)
+            tokens = np.array([len(encode(tokenizer, t)) for t in texts], np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(pieces), pa.array(pieces - marks), pa.array(tokens)], names=["doc_id", "source", "lang", "n_pieces", "n_words", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, source string, lang string, n_words long, n_tokens long")
+    return rows.mapInArrow(run, "doc_id long, source string, lang string, n_pieces long, n_words long, n_tokens long")
+
+
+def change(op: str, version: str, *, old: str | None = None, new: str | None = None, old_lang: Column | None = None, new_lang: Column | None = None) -> list[Column]:
+    """The columns of CHANGE over rows of :func:`count_tokens`; ``old`` and ``new`` name their counts."""
+    none, count = F.lit(None).cast("string"), F.lit(None).cast("long")
+    lang = F.col("lang")
+    return [
+        F.lit(op).alias("op"),
+        F.col("doc_id"),
+        F.col("source"),
+        (lang if new_lang is None else new_lang).alias("lang"),
+        F.lit(version).alias("tokenizer"),
+        (F.col(new) if new else count).alias("n_tokens"),
+        (F.col("source") if old else none).alias("old_source"),
+        ((lang if old_lang is None else old_lang) if old else none).alias("old_lang"),
+        (F.lit(version) if old else none).alias("old_tokenizer"),
+        (F.col(old) if old else count).alias("old_n_tokens"),
+    ]
 
 
 def corpus_rollup(docs: DataFrame, labels: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
-    """A rollup over the whole corpus, by four batches: a load counted by words (version
-    ``words``), a load by the vocabulary (``bpe``) that is sent twice, a revision that moves the
-    words of unlabelled-language rows (lang null) to ``und``, and the deletion of documents whose
-    label quality is 0. Returns its totals: source, lang, tokenizer, n_docs, n_tokens.
+    """A rollup over the whole corpus, by four batches. Returns its totals: source, lang, tokenizer,
+    n_docs, n_tokens.
+
+    Loads: pieces between white space (version ``words``), and ids of the vocabulary (``bpe``), a
+    batch that is sent twice. A revision: ``words`` without pieces that are marks only, and under
+    ``und`` where the language is null. A deletion: documents with a label of quality 0.
 
     Null text counts 0 tokens. Repeated rows count each. A document is deleted if any label row
     of its doc_id has quality 0; null doc_ids are never deleted. No rows: no totals."""
     spark = docs.sparkSession
     counts = materialize(count_tokens(docs, tokenizer), "token-counts")
-    none = F.lit(None).cast("string")
-
-    def changes(rows: DataFrame, op: str, version: str, count: str, lang=None) -> DataFrame:
-        n = F.col(count)
-        return rows.select(F.lit(op).alias("op"), "doc_id", "source", (F.col("lang") if lang is None else lang).alias("lang"), F.lit(version).alias("tokenizer"), n.alias("n_tokens"), F.col("source").alias("old_source"), F.col("lang").alias("old_lang") if op != "insert" else none.alias("old_lang"), F.lit(version).alias("old_tokenizer"), n.alias("old_n_tokens"))
-
+    named = F.coalesce("lang", F.lit("und"))
+    bad = labels.filter("quality = 0 and doc_id is not null").select("doc_id").distinct()
+    gone = counts.join(bad, "doc_id", "left_semi")
     rollup = Rollup(spark, path or f"{shared_dir(spark)}/codelake-rollup-{uuid.uuid4().hex}")
-    load = changes(counts, "insert", "bpe", "n_tokens")
-    rollup.commit("load-words", changes(counts, "insert", "words", "n_words"))
+    rollup.commit("load-words", counts.select(change("insert", "words", new="n_pieces")))
+    load = counts.select(change("insert", "bpe", new="n_tokens"))
     rollup.commit("load-bpe", load)
     rollup.commit("load-bpe", load)  # sent again: no effect
-    unknown = counts.filter("lang is null")
-    rollup.commit("revise-unknown", changes(unknown, "revise", "words", "n_words", F.lit("und")))
-    bad = labels.filter("quality = 0 and doc_id is not null").select("doc_id").distinct()
-    gone = counts.join(bad, "doc_id", "left_semi")
-    words = changes(gone, "delete", "words", "n_words").withColumn("old_lang", F.coalesce("old_lang", F.lit("und")))
-    rollup.commit("delete-low-quality", words.unionByName(changes(gone, "delete", "bpe", "n_tokens")))
+    wrong = counts.filter("lang is null or n_words <> n_pieces")
+    rollup.commit("revise-words", wrong.select(change("revise", "words", old="n_pieces", new="n_words", new_lang=named)))
+    deleted = gone.select(change("delete", "words", old="n_words", old_lang=named))
+    rollup.commit("delete-low-quality", deleted.unionByName(gone.select(change("delete", "bpe", old="n_tokens"))))
     return rollup.totals()

@@ -46,7 +46,7 @@ def brute(docs, bad):
     for d, t, lang, source in docs:
         if d in bad:
             continue
-        words[source, lang or "und", "words"] += len((t or "").split())
+        words[source, lang or "und", "words"] += sum(any(c.isalnum() or c == "_" for c in w) for w in (t or "").split())
         bpe[source, lang, "bpe"] += len(encode(tokenizer_path(), t))
         n_words[source, lang or "und", "words"] += 1
         n_bpe[source, lang, "bpe"] += 1
@@ -60,6 +60,10 @@ def test_query(spark):
     assert rows(op7_token_counts(spark, sf)) == brute(docs, bad)
 
 
+def test_marks():
+    assert tr.MARKS.findall("a | b -- c- -d ...\n| é 🙂 _") == ["|", "--", "...", "|", "🙂"]
+
+
 def test_odd_rows(spark, odd, none, clashing):
     labels = spark.createDataFrame([(5, 0, 0), (None, 0, 0), (5, 1, 1), (6, None, 1)], "doc_id long, quality int, toxic int")
     docs = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in odd.collect()]
