@@ -59,12 +59,16 @@ class Scanner:
         """(number of words, exact places [(word, label)], near spans [(label, word, words, edits, text)])."""
         words = alnum_words(text)
         flat = b" " + b" ".join(words) + b" "
-        exact = []
+        found = []
         for phrase, label in self.base:
             at = flat.find(phrase)
             while at >= 0:
-                exact.append((flat.count(b" ", 0, at + 1) - 1, label))
+                found.append((at, label))
                 at = flat.find(phrase, at + 1)
+        exact, word, upto = [], -1, 0
+        for at, label in sorted(found):  # counted on from place to place
+            word, upto = word + flat.count(b" ", upto, at + 1), at + 1
+            exact.append((word, label))
         near = set()
         for phrase, label, edits, parts, pattern in self.notices:
             reach, regions, offset = len(phrase) + edits, [], 0
@@ -74,7 +78,7 @@ class Scanner:
                     regions.append((max(0, at - offset - edits), min(len(flat), at - offset + reach + edits)))
                     at = flat.find(part, at + 1)
                 offset += len(part)
-            upto = -1
+            upto, word, counted = -1, -1, 0
             for lo, hi in sorted(regions):
                 if hi <= upto:
                     continue
@@ -85,7 +89,9 @@ class Scanner:
                     if flat[a : a + 1] == b" ":
                         a += 1
                     if (flat[a - 1 : a] == b" ") and flat[b : b + 1] in (b" ", b""):
-                        near.add((flat.count(b" ", 0, a) - 1, label, flat.count(b" ", a, b) + 1, sum(m.fuzzy_counts), flat[a:b].strip()))
+                        word += flat.count(b" ", counted, a) if a >= counted else -flat.count(b" ", a, counted)
+                        counted = a
+                        near.add((word, label, flat.count(b" ", a, b) + 1, sum(m.fuzzy_counts), flat[a:b].strip()))
         spans = [(label, w, n, e, t.decode("utf-8", "replace")) for w, label, n, e, t in sorted(near)]
         return len(words), sorted(exact), spans
 

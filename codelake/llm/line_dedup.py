@@ -79,10 +79,15 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Dat
 
 
 def kept_text() -> Column:
-    """The lines that stay, joined by newlines, from the columns text and drop."""
-    words = F.map_from_entries("drop")
-    stays = lambda _, i: F.coalesce(F.try_element_at(words, F.shiftright(i, 6)), F.lit(0).cast("long")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i.bitwiseAND(F.lit(63)))) == 0
-    return F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), stays), "\n"))
+    """The lines that stay, joined by newlines, from the columns text and drop.
+
+    The sparse words are spread to one flag a line first, so that each line is looked at once."""
+    none = F.array().cast("array<bigint>")
+    dense = F.aggregate("drop", none, lambda a, w: F.concat(a, F.array_repeat(F.lit(0).cast("bigint"), w["word"] - F.size(a)), F.array(w["bits"])))
+    flags = F.flatten(F.transform(dense, lambda w: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.call_function("getbit", w, b))))
+    # array_join leaves nulls out
+    kept = F.zip_with(F.split("text", "\n"), flags, lambda line, gone: F.when(F.coalesce(gone, F.lit(0)) == 0, line))
+    return F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
