@@ -212,7 +212,10 @@ def _runs(item: np.ndarray, region: np.ndarray) -> bool:
 def verify(item: np.ndarray, words: np.ndarray, at: int, share: float, share_with_answer: float, answer_words: int):
     """(share, answer, exact, first word, words) if the item is confirmed around word ``at``, else None."""
     lo, hi = max(0, at - len(item) - HALF), min(len(words), at + 2 * HALF + len(item) + HALF)
-    region = words[lo:hi]
+    region = words[lo:hi].astype(np.int64)
+    known = np.sort(region)  # words of the item that the region lacks altogether bound its share
+    if (known[np.minimum(np.searchsorted(known, item), len(known) - 1)] == item).sum() < share_with_answer * len(item):
+        return None
     got, first, end = common_subsequence(item, region)
     if got < share_with_answer * len(item) or end - first > 2 * len(item):
         return None
@@ -256,7 +259,7 @@ def _search(items: Items, space: np.ndarray, narrow: np.dtype, cosine: float, sh
                     for at in sorted(places):
                         if at < covered:
                             continue
-                        found = verify(items.words[i], words.astype(np.int64), at, share, share_with_answer, answer_words)
+                        found = verify(items.words[i], words, at, share, share_with_answer, answer_words)
                         if found:
                             covered = found[3] + found[4]
                             if best is None or found[0] > best[0]:
