@@ -4,7 +4,7 @@ A text's set holds the hashes of its distinct five-word shingles. Equal sets are
 from the start. Two small collections of ``HALVES`` half keys, of ``ROWS`` minhashes each, are
 computed for each class. Every (left, right) pair of half keys is the key of a table, so 84
 minhashes make 196 tables of six rows, which would take 1,176 minhashes by plain banding. Two
-sets of similarity 0.75 share no key with a probability under 0.001, of 0.8 under 0.00005. The
+sets of similarity 0.75 share no key with a probability under 0.001, of 0.8 under 0.0001. The
 right halves are only joined on where a left half already met another class.
 
 Members of a table's bucket are first compared with a hub, and links found so are merged into
