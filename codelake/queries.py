@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import paths, quality, tables, text
+from .functions import paths, quality, text
 from .operators import facts, graph, joins, metrics, rank, rewrite
 from .plans import diagrams
 
