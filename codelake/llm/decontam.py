@@ -200,29 +200,64 @@ def common_subsequence(item: np.ndarray, region: np.ndarray) -> tuple[int, int,
     return best, end - (back.index(best) + 1), end
 
 
-def _runs(item: np.ndarray, region: np.ndarray) -> bool:
-    """True if ``item`` stands in ``region`` word by word."""
-    n = len(item)
-    for at in np.flatnonzero(region[: len(region) - n + 1] == item[0]) if len(region) >= n else ():
-        if (region[at : at + n] == item).all():
-            return True
-    return False
-
-
-def verify(item: np.ndarray, words: np.ndarray, at: int, share: float, share_with_answer: float, answer_words: int):
-    """(share, answer, exact, first word, words) if the item is confirmed around word ``at``, else None."""
-    lo, hi = max(0, at - len(item) - HALF), min(len(words), at + 2 * HALF + len(item) + HALF)
+def _starts(item: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """Places of ``region`` where ``item`` stands word by word."""
+    at = np.arange(max(0, len(region) - len(item) + 1))
+    for k, w in enumerate(item):
+        at = at[region[at + k] == w]
+    return at
+
+
+def verify(item: np.ndarray, words: np.ndarray, lo: int, hi: int, share: float, share_with_answer: float, answer_words: int):
+    """(share, answer, exact, first word, words) of the item's best place of at most twice its words
+    in ``words[lo:hi]``, None if none is confirmed."""
+    lo, span = max(0, lo), 2 * len(item)
     region = words[lo:hi].astype(np.int64)
+    if not len(region):
+        return None
     known = np.sort(region)  # words of the item that the region lacks altogether bound its share
     if (known[np.minimum(np.searchsorted(known, item), len(known) - 1)] == item).sum() < share_with_answer * len(item):
         return None
-    got, first, end = common_subsequence(item, region)
-    if got < share_with_answer * len(item) or end - first > 2 * len(item):
-        return None
-    answer = _runs(item[-answer_words:], region[first : end + answer_words])
-    if got < share * len(item) and not answer:
+    top, first, end = common_subsequence(item, region)
+    if top < share_with_answer * len(item):
         return None
-    return got / len(item), answer, _runs(item, region[first:end]), lo + first, end - first
+    tail = item[-answer_words:]
+    runs = _starts(tail, region)
+
+    def answered(first: int, end: int) -> bool:
+        return bool(((runs >= first) & (runs + len(tail) <= end + answer_words)).any())
+
+    answer = answered(first, end)
+    if end - first <= span and (top >= share * len(item) or answer):
+        best = top, first, end, answer
+    else:
+        # the longest one takes stray words from afar, or lacks the answer: the best one of each stretch
+        best = None
+        inside = np.isin(region, item)
+        upto = np.concatenate([[0], np.cumsum(inside)])
+        starts = np.flatnonzero(inside)
+        held = upto[np.minimum(starts + span, len(region))] - upto[starts]
+        near = np.zeros(len(starts), bool)  # stretches that may have the answer
+        for at in runs:
+            near |= (starts <= at) & (starts + span + answer_words >= at + len(tail))
+        least = np.where(near, share_with_answer, share) * len(item)
+        if top < share * len(item):
+            least[~near] = np.inf
+        for at, n, need in zip(starts.tolist(), held.tolist(), least.tolist(), strict=True):
+            if n < need or best and n <= best[0]:
+                continue
+            got, first, end = common_subsequence(item, region[at : at + span])
+            first, end = at + first, at + end
+            if got >= need and (best is None or got > best[0]):
+                answer = answered(first, end)
+                if got >= share * len(item) or answer:
+                    best = got, first, end, answer
+                    if got == top:
+                        break
+        if best is None:
+            return None
+    got, first, end, answer = best
+    return got / len(item), answer, bool(len(_starts(item, region[first:end]))), lo + first, end - first
 
 
 def _search(items: Items, space: np.ndarray, narrow: np.dtype, cosine: float, share: float, share_with_answer: float, answer_words: int):
@@ -259,7 +294,8 @@ def _search(items: Items, space: np.ndarray, narrow: np.dtype, cosine: float, sh
                     for at in sorted(places):
                         if at < covered:
                             continue
-                        found = verify(items.words[i], words, at, share, share_with_answer, answer_words)
+                        reach = len(items.words[i]) + HALF
+                        found = verify(items.words[i], words, at - reach, at + 2 * HALF + reach, share, share_with_answer, answer_words)
                         if found:
                             covered = found[3] + found[4]
                             if best is None or found[0] > best[0]:

@@ -71,6 +71,29 @@ def test_subsequence():
         assert lcs(a.tolist(), b[first:end].tolist()) == n
 
 
+def test_stray_words():
+    """An edge word that was replaced and recurs nearby does not hide the copy."""
+    rng = random.Random(6)
+    item = np.arange(10)
+    words = np.full(80, 99)
+    words[41:50] = item[1:]
+    words[26] = item[0]  # 15 words before the second one
+    assert decontam.verify(item, words, 14, 74, 0.7, 0.5, 8) == (0.9, True, False, 41, 9)
+    for _ in range(150):
+        n = rng.randint(10, 40)
+        item, words = np.arange(n), np.full(8 * n + 32, 999)
+        at, gone = 2 * n + rng.randint(0, n), rng.sample(range(n), rng.randint(1, n // 4))
+        words[at : at + n] = item
+        words[at + np.array(gone)] = 998
+        for w in gone:  # strays before and after the copy
+            words[at - rng.randint(n // 2, n + 16) if rng.random() < 0.5 else at + n + rng.randint(n // 2, n + 15)] = w
+        lo, hi = max(0, at - n - 16), at + 2 * n + 16
+        top = max(lcs(item.tolist(), words[s : s + 2 * n].tolist()) for s in range(lo, hi - 2 * n + 1))
+        got = decontam.verify(item, words, lo, hi, 0.7, 0.5, 8)
+        assert got and abs(got[0] - top / n) < 1e-9 and got[4] <= 2 * n
+        assert lcs(item.tolist(), words[got[3] : got[3] + got[4]].tolist()) == top
+
+
 def test_odd_rows(spark, odd, none, clashing):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (None, "x " * 20), (4, "a text without an id that is long enough to count"), (4, "a text without an id that is long enough to count"), (5, "long " * 30)], "item_id long, text string")
     got = [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(clashing(odd), clashing(bench)).collect()]
