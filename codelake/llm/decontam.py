@@ -5,7 +5,9 @@
    the words, and a randomised SVD of all passages' TF-IDF rows gives the latent space: each
    partition adds up its share of ``A'(A Omega)``, the shares are summed by Spark, and the driver
    solves the small rest (Nystroem form, one pass).
-3. Passages of documents and of items that are near by cosine in that space are candidates.
+3. Passages of documents and of items that are near by cosine in that space are candidates. So
+   are all places that hold as many of an item's rarest words as a copy must hold, or the rarest
+   ones of its answer: no copy that step 4 accepts is missed, whichever words were replaced.
 4. A candidate is confirmed by the longest common subsequence of the item and the words around
    the passage, or a shorter one if the item's answer, its last words, stands there word by word.
 
@@ -260,7 +262,74 @@ def verify(item: np.ndarray, words: np.ndarray, lo: int, hi: int, share: float,
     return got / len(item), answer, bool(len(_starts(item, region[first:end]))), lo + first, end - first
 
 
-def _search(items: Items, space: np.ndarray, narrow: np.dtype, cosine: float, share: float, share_with_answer: float, answer_words: int):
+class RareWords:
+    """Finds every place where a copy of an item can be, by a few of its rarest words.
+
+    A copy holds ``least`` of the n words of an item, so it lacks n - ``least`` of them at most, and
+    has ``FEW`` of any n - ``least`` + ``FEW`` words: the rarest are looked up. A copy with the answer
+    has all words of that, so any ``FEW`` of these."""
+
+    FEW = 5
+
+    def __init__(self, words: list[np.ndarray], df: np.ndarray, share: float, answer_words: int):
+        need, within, reach, word, rule = [], [], [], [], []
+        for w in words:
+            tail = w[-answer_words:]
+            least = max(1, int(np.ceil(share * len(w) - 1e-9)))
+            for own, all_, span in ((w, least, 2 * len(w)), (tail, len(tail), len(tail))):
+                few = min(self.FEW, all_)
+                rare = own[np.argsort(df[own], kind="stable")[: len(own) - all_ + few]]
+                word.append(rare)
+                rule.append(np.full(len(rare), len(need)))
+                need.append(few)
+                within.append(span)
+                reach.append(2 * len(w) + answer_words)
+        flat, rule = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (word, rule))
+        self.rule = rule[np.argsort(flat, kind="stable")]
+        self.count = np.bincount(flat, minlength=len(df) + 1)  # the blank is in no item
+        self.first = np.cumsum(self.count) - self.count
+        self.need, self.within, self.reach = np.array(need), np.array(within), np.array(reach)
+
+    def places(self, part):
+        """(place in the list, item, from, to) in ``part``, a list of (_, words): all copies lie in one of them."""
+        ends = np.cumsum([len(w) for _, w in part])
+        flat = np.concatenate([w for _, w in part]).astype(np.int64)
+        at = np.flatnonzero(self.count[flat])
+        n = self.count[flat[at]]
+        pos = np.repeat(at, n)
+        rule = self.rule[np.repeat(self.first[flat[at]] - (np.cumsum(n) - n), n) + np.arange(len(pos))]
+        doc = np.searchsorted(ends, pos, side="right")
+        order = np.lexsort((pos, rule, doc))
+        pos, rule, doc = pos[order], rule[order], doc[order]
+        last = np.arange(len(pos)) + self.need[rule] - 1
+        safe = np.minimum(last, len(pos) - 1)
+        full = (last == safe) & (doc[safe] == doc) & (rule[safe] == rule) & (pos[safe] - pos < self.within[rule])
+        pos, upto, rule, doc = pos[full], pos[safe[full]], rule[full], doc[full]
+        start = (ends - [len(w) for _, w in part])[doc]
+        lo, hi = np.maximum(upto - self.reach[rule] - start, 0), pos + self.reach[rule] + 1 - start
+        if len(pos):
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rule[1:] != rule[:-1]) | (lo[1:] > hi[:-1])]))
+            upto = np.concatenate([new[1:], [len(pos)]]) - 1
+            yield from zip(doc[new].tolist(), (rule[new] // 2).tolist(), lo[new].tolist(), hi[upto].tolist(), strict=True)
+
+
+def _pieces(places: list[tuple[int, int]], n: int):
+    """The places joined where they overlap, and cut into pieces of ``4 * n`` words at most, so that
+    each stretch of ``2 * n`` words, and the answer behind it, is within one."""
+    joined: list[list[int]] = []
+    for lo, hi in sorted(places):
+        if joined and lo <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], hi)
+        else:
+            joined.append([lo, hi])
+    for lo, hi in joined:
+        while hi - lo > 4 * n:
+            yield lo, lo + 4 * n
+            lo += 2 * n
+        yield lo, hi
+
+
+def _search(items: Items, space: np.ndarray, df: np.ndarray, narrow: np.dtype, cosine: float, share: float, share_with_answer: float, answer_words: int):
     def run(batches):
         blank = len(items.vocab)
         table = np.vstack([space, np.zeros((1, space.shape[1]), np.float32)])
@@ -270,6 +339,7 @@ def _search(items: Items, space: np.ndarray, narrow: np.dtype, cosine: float, sh
         target = np.ascontiguousarray((target / np.maximum(length, 1e-12)).T)
         # a short passage fills only a part of the document's passage around it
         least = (cosine * np.sqrt((rows < blank).sum(1) / (2 * HALF))).astype(np.float32)
+        rare = RareWords(items.words, df, share, answer_words)
         names = [c.split()[0] for c in MATCHES.split(", ")]
         for b in batches:
             out: list[tuple] = []
@@ -279,27 +349,30 @@ def _search(items: Items, space: np.ndarray, narrow: np.dtype, cosine: float, sh
                 both = _pass(blocks, joins, table)
                 both /= np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-12)
                 ends = np.cumsum([-(-len(w) // HALF) for _, w in part])
-                hits: dict[tuple[int, int], dict[int, float]] = {}
+                hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
                 for lo in range(0, len(both), 8192):
                     near = both[lo : lo + 8192] @ target
                     r, c = np.nonzero(near >= least)
                     for row, col in zip(r + lo, c, strict=True):
                         k = int(np.searchsorted(ends, row, side="right"))
                         start = int(row - (ends[k - 1] if k else 0)) * HALF
-                        places = hits.setdefault((k, int(owner[col])), {})
-                        places[start] = max(places.get(start, 0.0), float(near[row - lo, col]))
+                        reach = len(items.words[owner[col]]) + HALF
+                        hits.setdefault((k, int(owner[col])), []).append((max(0, start - reach), start + 2 * HALF + reach))
+                for k, i, lo, hi in rare.places(part):
+                    hits.setdefault((k, i), []).append((lo, hi))
                 for (k, i), places in sorted(hits.items()):
                     pos, words = part[k]
-                    best, covered = None, -1
-                    for at in sorted(places):
-                        if at < covered:
-                            continue
-                        reach = len(items.words[i]) + HALF
-                        found = verify(items.words[i], words, at - reach, at + 2 * HALF + reach, share, share_with_answer, answer_words)
-                        if found:
-                            covered = found[3] + found[4]
-                            if best is None or found[0] > best[0]:
-                                best = (*found, places[at])
+                    best = None
+                    for lo, hi in _pieces(places, len(items.words[i]) + answer_words):
+                        found = verify(items.words[i], words, lo, hi, share, share_with_answer, answer_words)
+                        if found and (best is None or found[0] > best[0]):
+                            best = found
+                            if found[0] == 1:
+                                break
+                    if best:
+                        base = int(ends[k - 1]) if k else 0
+                        around = both[base + max(0, best[3] // HALF - 1) : base + (best[3] + best[4] - 1) // HALF + 1]
+                        best = (*best, float((around @ target[:, owner == i]).max()))
                     if best:
                         out.append((docs[pos], items.ids[i], best[3], best[4], best[5], best[0], best[1], best[2]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_())
@@ -314,7 +387,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.55,
 
     Columns: doc_id, item_id, first_word and n_words (the place, in words), cosine, lcs_share
     (share of the item's words found in order), answer, exact (the whole item word by word).
-    Candidates have a ``cosine`` of that much, less for passages under 32 words.
+    Candidates have a ``cosine`` of that much, less for passages under 32 words, or enough of an
+    item's rarest words (:class:`RareWords`), so that no confirmed place is missed.
     Confirmed are ``share`` of the words, or ``share_with_answer`` and the last ``answer_words``
     words in one piece, within a stretch of at most twice the item's words.
 
@@ -345,5 +419,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.55,
         # the third power: what tells passages apart is rare words, not how often common ones stand in them
         idf = np.maximum(np.log((n_docs + 1) / (df + 0.5)), 0.05) ** 3
         space = latent_space(encoded, size, idf, narrow, min(rank, size))
-        out = out.unionByName(encoded.mapInArrow(_search(block, space, narrow, cosine, share, share_with_answer, answer_words), MATCHES))
+        out = out.unionByName(encoded.mapInArrow(_search(block, space, df, narrow, cosine, share, share_with_answer, answer_words), MATCHES))
     return out

@@ -71,6 +71,43 @@ def test_subsequence():
         assert lcs(a.tolist(), b[first:end].tolist()) == n
 
 
+def brute_share(item, words):
+    """The largest share of the item's words found in order within twice its words."""
+    span = 2 * len(item)
+    return max(lcs(item, words[s : s + span]) for s in range(max(1, len(words) - span + 1))) / len(item)
+
+
+def test_rarest_words_replaced(spark, vocabulary):
+    """Copies without their rarest words are found: brute force over all places."""
+    rng = random.Random(11)
+    common = lambda n: rng.choices(vocabulary[:60], weights=range(60, 0, -1), k=n)
+    items, docs = [], []
+    for i in range(40):
+        n = rng.randint(16, 50)
+        words = common(n)
+        for k in rng.sample(range(n), n // 3):
+            words[k] = f"rare{i}x{k}"
+        items.append((i, words))
+        rare = [k for k, w in enumerate(words) if w.startswith("rare")]
+        for part in (0.1, 0.2, 0.28):
+            copy = list(words)
+            for k in rare[: int(part * n)]:
+                copy[k] = f"unknown{k}"
+            docs.append((len(docs), common(rng.randint(20, 120)) + copy + common(rng.randint(20, 120))))
+        copy = [f"unknown{k}" if k in rare else w for k, w in enumerate(words)]  # 2/3 of the words, with the answer
+        copy[-8:] = words[-8:]
+        docs.append((len(docs), common(60) + copy + common(60)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string").repartition(4), bench).collect()}
+    want = {(4 * i + k, i) for i in range(40) for k in range(4)}
+    assert want <= got
+    for d, i in got - want:
+        assert brute_share(items[i][1], docs[d][1]) >= 0.5
+    for d, w in docs[::3]:
+        for i, item in items[::3]:
+            assert (d, i) in got or brute_share(item, w) < 0.7
+
+
 def test_stray_words():
     """An edge word that was replaced and recurs nearby does not hide the copy."""
     rng = random.Random(6)
