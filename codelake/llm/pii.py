@@ -47,8 +47,8 @@ PATTERNS = [
     ("name", r"(?<!\w)(?:%s)\.? (?:[A-ZÀ-ÞА-ЯЁ][\w'’-]+)(?: [A-ZÀ-ÞА-ЯЁ][\w'’-]+)?" % "|".join(sorted(TITLES, key=len, reverse=True))),
 ]
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
-# A text without one of these cannot hold any entity, and is passed by quickly.
-_HINT = re.compile(r"@|\d\d|[0-9a-fA-F]:|(?:%s)[. ]|sk-|gh[pos]_" % "|".join(TITLES))
+# A text without one of these cannot hold any entity, and is passed by quickly: every match of a pattern has one.
+_HINT = re.compile(r"@|\d\d|\d\.\d|[0-9a-fA-F]:|(?:%s)[. ]|sk-|gh[pos]_|AKIA|ASIA|[0-9a-f]{32}|[0-9A-F]{32}" % "|".join(TITLES))
 SPAN = "struct<start:int,length:int,kind:string,value:string>"
 
 
