@@ -3,8 +3,8 @@
 A notice of n characters with at most k edits keeps at least one of k + 1 pieces of it
 unchanged (pigeonhole). The pieces are searched exactly, which is a fast scan of the whole
 text; only around a piece that is found does the ``regex`` library match the notice with up
-to k insertions, deletions or substitutions, and report the span. Texts are matched as words
-joined by single spaces, so punctuation and line breaks are no edits.
+to k insertions, deletions or substitutions between two word ends, and report the span. Texts are
+matched as words joined by single spaces, so punctuation and line breaks are no edits.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ class Scanner:
 
     def __init__(self, base: dict[str, str], notices: list[tuple[str, str, int]]):
         self.base = [(f" {p} ".encode(), label) for p, label in base.items()]
-        self.notices = [(p.encode(), label, e, pieces(p, e), regex.compile(rf"(?b)(?:{regex.escape(p)}){{e<={e}}}".encode())) for p, label, e in notices]
+        self.notices = [(p.encode(), label, e, pieces(p, e), regex.compile(rf"(?b)(?<= )(?:{regex.escape(p)}){{e<={e}}}(?= )".encode())) for p, label, e in notices]
 
     def scan(self, text: str | None):
         """(number of words, exact places [(word, label)], near spans [(label, word, words, edits, text)])."""
@@ -84,14 +84,11 @@ class Scanner:
                     continue
                 lo = max(lo, upto - reach) if upto > lo else lo
                 upto = hi
-                for m in pattern.finditer(flat, lo, hi):
+                for m in pattern.finditer(flat, max(0, lo - 1), min(len(flat), hi + 1)):  # a space on either side
                     a, b = m.start(), m.end()
-                    if flat[a : a + 1] == b" ":
-                        a += 1
-                    if (flat[a - 1 : a] == b" ") and flat[b : b + 1] in (b" ", b""):
-                        word += flat.count(b" ", counted, a) if a >= counted else -flat.count(b" ", a, counted)
-                        counted = a
-                        near.add((word, label, flat.count(b" ", a, b) + 1, sum(m.fuzzy_counts), flat[a:b].strip()))
+                    word += flat.count(b" ", counted, a) if a >= counted else -flat.count(b" ", a, counted)
+                    counted = a
+                    near.add((word, label, flat.count(b" ", a, b) + 1, sum(m.fuzzy_counts), flat[a:b]))
         spans = [(label, w, n, e, t.decode("utf-8", "replace")) for w, label, n, e, t in sorted(near)]
         return len(words), sorted(exact), spans
 

@@ -64,6 +64,55 @@ def test_seeds_lose_nothing():
         assert bool(scanner.scan(text)[2]) >= bool(whole)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def least_edits(notice, text):
+    """Edits of the nearest run of whole words."""
+    w = [x.decode() for x in alnum_words(text)]
+    n = len(notice.split())
+    return min((distance(notice, " ".join(w[a:b])) for a in range(len(w)) for b in range(a + max(1, n - 3), min(len(w), a + n + 3) + 1)), default=99)
+
+
+def test_word_ends():
+    """Notices whose last or first letter is lost or added are found, with the least edits."""
+    import random
+
+    scanner = licenses.Scanner(licenses.BASE, licenses.NOTICES)
+    for text, label, edits in (
+        ("under the gnu lesser general public licens as published", "lgpl", 1),
+        ("gnu lesser general public licenses", "lgpl", 1),
+        ("the mozilla public licens v 2", "mpl", 1),
+        ("all rights reserve by us", "proprietary", 1),
+        ("overall rights reserved", "proprietary", 3),
+    ):
+        found = [s for s in scanner.scan(text)[2] if s[0] == label]
+        assert (min(s[3] for s in found) == edits) if edits < 3 else not found, text
+    rng = random.Random(5)
+    for notice, label, most in licenses.NOTICES:
+        own = licenses.Scanner({}, [(notice, label, most)])
+        for _ in range(12):
+            s = list(notice)
+            for _ in range(rng.randint(0, most + 1)):
+                at = rng.choice((0, len(s) - 1, rng.randrange(len(s))))
+                s[at : at + rng.randint(0, 1)] = rng.choice(("", "a", "s", "x"))
+            if rng.random() < 0.5:
+                s += rng.choice(("s", "x", "", ""))
+            text = "words before " + "".join(s) + " as after"
+            want = least_edits(notice, text)
+            spans = own.scan(text)[2]
+            assert bool(spans) == (want <= most), (text, want, spans)
+            assert not spans or min(x[3] for x in spans) == want, (text, want, spans)
+            for x in spans:
+                assert distance(notice, x[4]) == x[3] and x[4] in " ".join(w.decode() for w in alnum_words(text))
+
+
 def test_odd_rows(spark, odd, none, clashing):
     rows = licenses.scan_licenses(clashing(odd)).collect()
     assert len(rows) == odd.count()
