@@ -7,6 +7,7 @@ short and a lost executor costs no round.
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -64,18 +65,19 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     return loops.unionByName(back).distinct()
 
 
-def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """cycle: each elementary cycle of up to ``max_length`` nodes once, from its smallest node on,
-    closed by it again. Paths only visit nodes above their start, so no rotation arises twice."""
+def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """cycle: each elementary cycle once, from its smallest node on, closed by it again; only those
+    of up to ``max_length`` nodes if that is given. Paths only visit nodes above their start, so no
+    rotation arises twice, and none visits a node twice, so the search ends."""
     links = _cut(edges.select("src", "dst").distinct())
     paths = links.filter("src <= dst").select(F.array("src", "dst").alias("path"))
     found = None
-    for _ in range(max_length):
+    for n in itertools.count(1):
         paths = _cut(paths)
         closed = paths.filter(F.element_at("path", -1) == F.col("path")[0])
         found = closed if found is None else found.unionByName(closed)
         open_ = paths.filter(F.element_at("path", -1) != F.col("path")[0])
-        if not open_.take(1):
+        if n == max_length or not open_.take(1):
             break
         step = open_.select("path", F.element_at("path", -1).alias("src")).join(links, "src")
         fresh = (F.col("dst") == F.col("path")[0]) | ((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst")))

@@ -37,6 +37,14 @@ def test_graph(spark, edges, nodes):
     assert rows(graph.cycles(loop)) == [(["x", "x"],)] and rows(graph.closure(loop)) == [("x", "y")]
 
 
+def test_all_cycles(spark):
+    """No cycle is too long: a ring of nine nodes, and all 89 cycles of five nodes that all meet."""
+    ring = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 9}") for i in range(9)], "src string, dst string")
+    assert rows(graph.cycles(ring)) == [([*(f"n{i}" for i in range(9)), "n0"],)]
+    full = spark.createDataFrame([(a, b) for a in "abcde" for b in "abcde"], "src string, dst string")
+    assert graph.cycles(full).count() == 89 and graph.cycles(full, 4).count() == 65
+
+
 def test_levels_and_chains(spark):
     dag = spark.createDataFrame([("p", "q"), ("q", "r"), ("p", "r")], "src string, dst string")
     assert rows(graph.topological_levels(dag)) == [("p", 2), ("q", 1), ("r", 0)]
