@@ -2,10 +2,10 @@
 
 Every document is tokenised once. Its whole windows are sequences by themselves; what
 is left (the tail, shorter than a window) is packed by a plan: shallow combinations of
-tail lengths that fill a window exactly are enumerated, non-negative least squares finds
-how often to repeat each one so that the histogram of tails is met, the counts are
-rounded down, and the remaining tails are packed greedily, longest first, being cut at
-window ends. Only the histogram (one count for each length below the window) reaches the
+tail lengths (up to three different ones, a short one also many times) that fill a window
+exactly are enumerated, non-negative least squares finds how often to repeat each one so
+that the histogram of tails is met, the counts are rounded down, and the remaining tails
+are packed greedily, longest first, being cut at window ends. Only the histogram (one count for each length below the window) reaches the
 driver. A tail finds its place from its rank among the tails of its length, which comes
 from per-chunk counts, so a length that a third of all documents share needs no large group.
 """
@@ -23,13 +23,17 @@ from .store import materialize
 from .words import encode
 
 BLOCKS = "doc_id long, start long, length int, doc_tokens long, chunk int, nth long, ids binary"
+#: Tokens that a worker hands over at a time.
+BLOCK_TOKENS = 1 << 23
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def combinations(present: np.ndarray, window: int, depth: int) -> np.ndarray:
-    """All multisets of up to ``depth`` (2 or 3) present lengths that sum to ``window``.
+def combinations(present: np.ndarray, window: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Combinations of up to ``depth`` (2 or 3) present lengths that sum to ``window``: rows of three
+    lengths, zero-padded, and how often each one occurs.
 
-    Rows of three lengths, zero-padded and in ascending order."""
+    All multisets of ``depth`` lengths, and, for short lengths, as many copies of one as leave room
+    for up to two others."""
     has = np.zeros(window + 1, bool)
     has[present] = True
     small = present[present <= window // 2]
@@ -40,10 +44,21 @@ def combinations(present: np.ndarray, window: int, depth: int) -> np.ndarray:
             b = present[(present >= a) & (present <= (window - a) // 2)]
             b = b[has[window - a - b]]
             out.append(np.stack([np.full_like(b, a), b, window - a - b], 1))
-    return np.concatenate(out)
+    times = [np.ones((sum(map(len, out)), 3), np.int64)]
+    for a in present[present <= window // 3]:
+        for n in range(max(2, window // a - 3), window // a + 1):
+            left = window - n * a
+            b = present[(present <= left // 2) & (present != a)] if depth >= 3 else present[:0]
+            b = b[has[left - b]]
+            if left == 0 or has[left] and left != a:
+                b = np.concatenate([[0], b])
+            out.append(np.stack([np.full_like(b, a), b, left - b], 1))
+            times.append(np.stack([np.full_like(b, n), np.ones_like(b), np.ones_like(b)], 1))
+    lengths, counts = np.concatenate(out), np.concatenate(times)
+    return lengths, np.where(lengths > 0, counts, 0)
 
 
-def solve_nnls(combos: np.ndarray, hist: np.ndarray, rounds: int = 14, step: int = 96) -> np.ndarray:
+def solve_nnls(combos: np.ndarray, times: np.ndarray, hist: np.ndarray, rounds: int = 14, step: int = 192) -> np.ndarray:
     """Repeat counts x >= 0 with ``A x ~ hist``, where column j of A counts the lengths of combo j.
 
     Active-set method: columns enter in blocks by their gradient, the passive set is solved
@@ -55,15 +70,17 @@ def solve_nnls(combos: np.ndarray, hist: np.ndarray, rounds: int = 14, step: int
         return x
     weight = np.sqrt(np.arange(n) / n + 0.05)
     valid = combos > 0
+    length = np.sqrt((times**2 * weight[combos] ** 2).sum(1))
+    main = np.take_along_axis(combos, np.argmax(times * (combos + 1), 1)[:, None], 1)[:, 0]
     passive = np.zeros(m, bool)
-    passive[combos[:, 0] == 0] = True
+    passive[(combos[:, 0] == 0) & (times.sum(1) == 2)] = True
     for _ in range(rounds):
         for _ in range(12):
             cols = np.flatnonzero(passive)
             a = np.zeros((n, len(cols)))
             for k in range(combos.shape[1]):
                 ok = valid[cols, k]
-                np.add.at(a, (combos[cols, k][ok], np.flatnonzero(ok)), 1.0)
+                np.add.at(a, (combos[cols, k][ok], np.flatnonzero(ok)), times[cols, k][ok].astype(float))
             a *= weight[:, None]
             gram = a.T @ a
             gram[np.diag_indices_from(gram)] += 1e-6
@@ -73,13 +90,16 @@ def solve_nnls(combos: np.ndarray, hist: np.ndarray, rounds: int = 14, step: int
             passive[cols[s <= 0]] = False
         x[:] = 0
         x[cols] = np.maximum(s, 0)
-        got = np.bincount(combos[valid], weights=np.repeat(x, valid.sum(1)), minlength=n)
+        got = np.bincount(combos[valid], weights=(x[:, None] * times)[valid], minlength=n)
         miss = weight**2 * (hist - got)
-        gradient = np.where(valid, miss[combos], 0).sum(1)
+        gradient = (times * miss[combos]).sum(1)
         gradient[passive] = 0
-        best = np.argsort(-gradient)[:step]
-        best = best[gradient[best] > 1e-3 * max(1.0, hist.max())]
-        if not len(best) or passive.sum() + len(best) > n:
+        steep = gradient / length  # by column norm, or combinations of many copies would always lead
+        order = np.argsort(-steep, kind="stable")[: 64 * step]
+        order = order[gradient[order] > 1e-3 * max(1.0, hist.max())]
+        best = order[np.unique(main[order], return_index=True)[1]]  # one for each length, so that a round serves many
+        best = best[np.argsort(-steep[best], kind="stable")][: min(step, n - int(passive.sum()))]
+        if not len(best):
             break
         passive[best] = True
     return x
@@ -130,16 +150,22 @@ def make_plan(hist: np.ndarray, window: int, depth: int = 3) -> Plan:
     """``hist[n]``: number of tails of n tokens, 0 < n < window."""
     hist = hist.astype(np.int64)
     present = np.flatnonzero(hist)
-    combos = combinations(present, window, depth) if len(present) else np.zeros((0, 3), np.int64)
-    x = solve_nnls(combos, hist.astype(float))
+    combos, times = combinations(present, window, depth) if len(present) else (np.zeros((0, 3), np.int64),) * 2
+    x = solve_nnls(combos, times, hist.astype(float))
     count = np.floor(x + 1e-9).astype(np.int64)
     left = hist.copy()
+
+    def parts(j: int) -> tuple[np.ndarray, np.ndarray]:
+        """The lengths of a combination, ascending, and how often each occurs."""
+        lens, at = np.unique(combos[j][combos[j] > 0], return_inverse=True)
+        return lens, np.bincount(at, weights=times[j][combos[j] > 0]).astype(np.int64)
+
     for j in np.flatnonzero(count):  # damping can leave a combination a little too frequent
-        lens, mult = np.unique(combos[j][combos[j] > 0], return_counts=True)
+        lens, mult = parts(j)
         count[j] = min(count[j], int((left[lens] // mult).min()))
         left[lens] -= count[j] * mult
-    for j in np.argsort(-(x - np.floor(x)))[: 4 * window]:
-        lens, mult = np.unique(combos[j][combos[j] > 0], return_counts=True)
+    for j in np.argsort(-(x - np.floor(x)), kind="stable")[: 4 * window]:
+        lens, mult = parts(j)
         if x[j] > 0.05 and (left[lens] >= mult).all():
             count[j] += 1
             left[lens] -= mult
@@ -147,8 +173,7 @@ def make_plan(hist: np.ndarray, window: int, depth: int = 3) -> Plan:
     planned, seq = np.zeros(window, np.int64), 0
     for j in np.flatnonzero(count):
         place = 0
-        for n in np.unique(combos[j][combos[j] > 0])[::-1]:
-            mult = int((combos[j] == n).sum())
+        for n, mult in zip(*(v[::-1].tolist() for v in parts(j)), strict=True):
             rows[int(n)].append((int(planned[n]), mult, place, seq))
             planned[n] += mult * count[j]
             place += mult * int(n)
@@ -171,33 +196,45 @@ def make_plan(hist: np.ndarray, window: int, depth: int = 3) -> Plan:
 
 def _tokenise(path: str, window: int, eos: int, narrow: bool):
     kind = np.dtype("<u2" if narrow else "<u4")
+    step = window * max(1, BLOCK_TOKENS // window)
 
     def run(batches):
         from pyspark import TaskContext
 
         chunk, ranks, whole = TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
+        cols: list[list] = [[] for _ in range(6)]
+        parts: list[np.ndarray] = []
+
+        def block() -> pa.RecordBatch:
+            ends = np.zeros(len(cols[2]) + 1, np.int64)
+            np.cumsum(np.array(cols[2], np.int64) * kind.itemsize, out=ends[1:])
+            data = pa.Array.from_buffers(pa.binary(), len(cols[2]), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.concatenate(parts))])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), data], names=[f.split()[0] for f in BLOCKS.split(", ")])
+
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            parts = []
+            held = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(encode(path, text.as_py()), np.uint32(eos)).astype(kind)
-                parts.append(ids)
                 n = len(ids)
-                for start in range(0, n, window):
-                    size = min(window, n - start)
-                    if size == window:
-                        nth, whole = whole, whole + 1
-                    else:
-                        nth = int(ranks[size])
-                        ranks[size] += 1
-                    for c, v in zip(cols, (doc, start, size, n, chunk, nth), strict=True):
-                        c.append(v)
+                for lo in range(0, n, step):  # blocks of bounded size, whatever a text's length
+                    parts.append(ids[lo : lo + step])
+                    for start in range(lo, min(n, lo + step), window):
+                        size = min(window, n - start)
+                        if size == window:
+                            nth, whole = whole, whole + 1
+                        else:
+                            nth = int(ranks[size])
+                            ranks[size] += 1
+                        for c, v in zip(cols, (doc, start, size, n, chunk, nth), strict=True):
+                            c.append(v)
+                    held += len(parts[-1])
+                    if held >= step:
+                        yield block()
+                        cols, parts, held = [[] for _ in range(6)], [], 0
             if parts:
-                ends = np.zeros(len(cols[2]) + 1, np.int32)
-                np.cumsum(np.array(cols[2]) * kind.itemsize, out=ends[1:])
-                data = pa.Array.from_buffers(pa.binary(), len(cols[2]), [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(parts))])
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), data], names=[f.split()[0] for f in BLOCKS.split(", ")])
+                yield block()
+                cols, parts = [[] for _ in range(6)], []
 
     return run
 
