@@ -2,13 +2,19 @@
 
 A notice of n characters with at most k edits keeps at least one of k + 1 pieces of it
 unchanged (pigeonhole). The pieces are searched exactly, which is a fast scan of the whole
-text; only around a piece that is found does the ``regex`` library match the notice with up
-to k insertions, deletions or substitutions between two word ends, and report the span. Texts are
-matched as words joined by single spaces, so punctuation and line breaks are no edits.
+text; from each word that a piece puts at the start of a notice, the ``regex`` library matches the
+notice with up to k insertions, deletions or substitutions up to a word's end, and reports the span.
+Ends that no k edits reach are passed over, by the edit distances of the stretch, and equal
+stretches are matched once, so that a text full of seeds takes linear time. Texts are matched as
+words joined by single spaces, so punctuation and line breaks are no edits.
+
+Of the stretches that match a notice, those with the fewest edits come first, then the
+first in the text, then the shortest; one that overlaps an earlier choice is left out.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -48,12 +54,75 @@ def pieces(notice: str, edits: int) -> list[bytes]:
     return [notice[a:b].encode() for a, b in zip(ends, ends[1:], strict=False)]
 
 
+def ends_within(notice: bytes, window: bytes, edits: int) -> list[int]:
+    """Ends of words of ``window`` up to which it is within ``edits`` of ``notice``; bit-parallel
+    columns of the edit distance table."""
+    masks: dict[int, int] = {}
+    for i, c in enumerate(notice):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, last = (1 << len(notice)) - 1, 1 << len(notice) - 1
+    up, down, score, out = full, 0, len(notice), []
+    for j, c in enumerate(window):
+        if c == 0x20 and score <= edits:
+            out.append(j)
+        eq = masks.get(c, 0)
+        zero = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | (full & ~(zero | up)), up & zero
+        score += 1 if plus & last else -1 if minus & last else 0
+        plus, minus = plus << 1 & full | 1, minus << 1 & full
+        up, down = minus | (full & ~(zero | plus)), plus & zero
+    if score <= edits:
+        out.append(len(window))
+    return out
+
+
+class Notice:
+    """A notice: its seeds, and the stretches from a given place that match it."""
+
+    MEMORY = 20_000
+
+    def __init__(self, phrase: str, label: str, edits: int):
+        self.phrase, self.label, self.edits, self.parts = phrase.encode(), label, edits, pieces(phrase, edits)
+        self.pattern = regex.compile(rf"(?b)(?:{regex.escape(phrase)}){{e<={edits}}}".encode())
+        self.known: dict[bytes, list[tuple[int, int]]] = {}
+
+    def starts(self, flat: bytes) -> set[int]:
+        """Starts of words from which a stretch can match: a piece of it stands where it must, give
+        or take the edits."""
+        out: set[int] = set()
+        offset = 1  # the blank before the word
+        for part in self.parts:
+            at = flat.find(part)
+            while at >= 0:
+                lo, hi = max(0, at - offset - self.edits), at - offset + self.edits + 1
+                blank = flat.find(b" ", lo, hi)
+                while blank >= 0:
+                    out.add(blank + 1)
+                    blank = flat.find(b" ", blank + 1, hi)
+                at = flat.find(part, at + 1)
+            offset += len(part)
+        return out
+
+    def matches(self, flat: bytes, start: int) -> list[tuple[int, int]]:
+        """(length, edits) of each stretch of whole words from ``start`` that the pattern matches."""
+        window = flat[start : start + len(self.phrase) + self.edits + 1]
+        window = window[: window.rfind(b" ")]
+        found = self.known.get(window)
+        if found is None:
+            whole = ((end, self.pattern.fullmatch(window, 0, end)) for end in ends_within(self.phrase, window, self.edits))
+            found = [(end, sum(m.fuzzy_counts)) for end, m in whole if m]
+            if len(self.known) >= self.MEMORY:
+                self.known.clear()
+            self.known[window] = found
+        return found
+
+
 class Scanner:
     """Compiled notices; ``scan`` gives the exact and the near places in a text."""
 
     def __init__(self, base: dict[str, str], notices: list[tuple[str, str, int]]):
         self.base = [(f" {p} ".encode(), label) for p, label in base.items()]
-        self.notices = [(p.encode(), label, e, pieces(p, e), regex.compile(rf"(?b)(?<= )(?:{regex.escape(p)}){{e<={e}}}(?= )".encode())) for p, label, e in notices]
+        self.notices = [Notice(*n) for n in notices]
 
     def scan(self, text: str | None):
         """(number of words, exact places [(word, label)], near spans [(label, word, words, edits, text)])."""
@@ -69,26 +138,22 @@ class Scanner:
         for at, label in sorted(found):  # counted on from place to place
             word, upto = word + flat.count(b" ", upto, at + 1), at + 1
             exact.append((word, label))
-        near = set()
-        for phrase, label, edits, parts, pattern in self.notices:
-            reach, regions, offset = len(phrase) + edits, [], 0
-            for part in parts:
-                at = flat.find(part)
-                while at >= 0:
-                    regions.append((max(0, at - offset - edits), min(len(flat), at - offset + reach + edits)))
-                    at = flat.find(part, at + 1)
-                offset += len(part)
-            upto, word, counted = -1, -1, 0
-            for lo, hi in sorted(regions):
-                if hi <= upto:
-                    continue
-                lo = max(lo, upto - reach) if upto > lo else lo
-                upto = hi
-                for m in pattern.finditer(flat, max(0, lo - 1), min(len(flat), hi + 1)):  # a space on either side
-                    a, b = m.start(), m.end()
-                    word += flat.count(b" ", counted, a) if a >= counted else -flat.count(b" ", a, counted)
-                    counted = a
-                    near.add((word, label, flat.count(b" ", a, b) + 1, sum(m.fuzzy_counts), flat[a:b]))
+        near: set[tuple[int, str, int, int, bytes]] = set()
+        blanks = None
+        for notice in self.notices:
+            options = [(edits, s, s + n) for s in notice.starts(flat) for n, edits in notice.matches(flat, s)]
+            if not options:
+                continue
+            if blanks is None:
+                blanks = np.flatnonzero(np.frombuffer(flat, np.uint8) == 0x20)
+            options.sort()
+            first = np.searchsorted(blanks, [s - 1 for _, s, _ in options]).tolist()
+            upto = np.searchsorted(blanks, [e for _, _, e in options]).tolist()
+            taken = bytearray(len(words))
+            for (edits, s, e), a, b in zip(options, first, upto, strict=True):
+                if not any(taken[a:b]):
+                    taken[a:b] = b"\1" * (b - a)
+                    near.add((a, notice.label, b - a, edits, flat[s:e]))
         spans = [(label, w, n, e, t.decode("utf-8", "replace")) for w, label, n, e, t in sorted(near)]
         return len(words), sorted(exact), spans
 
@@ -98,7 +163,7 @@ def license_spans(docs: DataFrame, base: dict[str, str] | None = None, notices:
 
     exact: array of (label, first_word, ...) for each place where the words of a base phrase
     stand one after another; near: the same for notices within their number of edits, with the
-    edits and the matched text. Words count from 0.
+    edits and the matched text; spans of one notice don't overlap. Words count from 0.
 
     Null or empty text: no words, empty arrays. Equal places of two notices: one span for each
     label. Repeated rows: equal results. No rows: none. Further columns are ignored."""

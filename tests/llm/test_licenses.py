@@ -45,25 +45,6 @@ def test_pieces_make_up_the_notice():
         assert b"".join(parts).decode() == p and len(parts) == e + 1 and all(parts)
 
 
-def test_seeds_lose_nothing():
-    """Seeded matching finds what matching everywhere finds."""
-    import random
-
-    import regex
-
-    rng = random.Random(1)
-    scanner = licenses.Scanner({}, [("mozilla public license", "mpl", 2)])
-    pattern = regex.compile(r"(?b)(?:mozilla public license){e<=2}")
-    for _ in range(150):
-        s = list("mozilla public license")
-        for _ in range(rng.randint(0, 4)):
-            s[rng.randrange(len(s))] = rng.choice("abcxyz ")
-        text = "some words before " + "".join(s) + " and after"
-        flat = " " + b" ".join(alnum_words(text)).decode() + " "
-        whole = [m for m in pattern.finditer(flat) if flat[m.start() - 1] == " " and flat[m.end()] in " "]
-        assert bool(scanner.scan(text)[2]) >= bool(whole)
-
-
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -113,6 +94,85 @@ def test_word_ends():
                 assert distance(notice, x[4]) == x[3] and x[4] in " ".join(w.decode() for w in alnum_words(text))
 
 
+def everywhere(text, notices):
+    """The spans by the edit distance of every run of whole words, and the choice that the module states."""
+    w = [x.decode() for x in alnum_words(text)]
+    out = []
+    for notice, label, most in notices:
+        n = len(notice.split())
+        options = []
+        for a in range(len(w)):
+            for b in range(a + 1, min(len(w), a + n + most + 1) + 1):
+                run = " ".join(w[a:b])
+                if abs(len(run) - len(notice)) <= most and (d := distance(notice, run)) <= most:
+                    options.append((d, a, b))
+        taken = set()
+        for d, a, b in sorted(options):
+            if not taken & set(range(a, b)):
+                taken |= set(range(a, b))
+                out.append((label, a, b - a, d, " ".join(w[a:b])))
+    return sorted(out)
+
+
+def test_spans_are_those_of_matching_everywhere(spark):
+    """Several notices, changed ones beside whole ones, against edit distances everywhere."""
+    import random
+
+    rng = random.Random(11)
+    notices = [n for n in licenses.NOTICES if len(n[0]) < 40]
+    texts = ["mozila public licens mozilla public license", "mozilla public license mozila public licens", "gnu gnu general public license license", "all rights reserved all rights reserved all right reserved"]
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            notice, _, most = rng.choice(notices)
+            s = list(notice)
+            for _ in range(rng.randint(0, most)):
+                at = rng.randrange(len(s))
+                s[at : at + rng.randint(0, 1)] = rng.choice(("", "a", " ", "x", "ll"))
+            parts += ["".join(s), *rng.choice(([], ["and"], ["the", "license"]))]
+        texts.append(" ".join(parts))
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), notices=notices).collect()
+    for r in rows:
+        text = texts[r["doc_id"]]
+        want = everywhere(text, notices)
+        near = sorted((s["label"], s["first_word"], s["n_words"], s["edits"], s["matched"]) for s in r["near"])
+        assert near == want, text
+        base = brute(text)
+        assert r["labels"] == ",".join(sorted({x[0] for x in want} | set(filter(None, base[4].split(","))))), text
+        assert abs(r["score"] - (1.0 if base[1] else max((1 - d / len(t) for _, _, _, d, t in want), default=0.0))) < 1e-12, text
+
+
+def test_regex_and_table_agree():
+    """The filter by edit distances passes over no end that the regex library matches."""
+    import random
+
+    rng = random.Random(2)
+    for notice, label, most in licenses.NOTICES:
+        own = licenses.Notice(notice, label, most)
+        for _ in range(6):
+            s = list(notice)
+            for _ in range(rng.randint(0, most + 1)):
+                s[rng.randrange(len(s))] = rng.choice("abx ")
+            window = ("".join(s) + rng.choice(("", " v", " as"))).encode()
+            ends = [i for i in range(1, len(window) + 1) if i == len(window) or window[i] == 32]
+            assert licenses.ends_within(notice.encode(), window, most) == [e for e in ends if own.pattern.fullmatch(window, 0, e)]
+
+
+def test_texts_full_of_seeds_take_linear_time():
+    import time
+
+    scanner = licenses.Scanner(licenses.BASE, licenses.NOTICES)
+    for unit, n in (("license ", 120_000), ("permission is hereby ", 45_000), ("gnu general public license ", 36_000), ("mozila public licens ", 45_000)):
+        start = time.process_time()
+        words, exact, near = scanner.scan(unit * n)
+        assert time.process_time() - start < 30
+        assert words == len(unit.split()) * n
+        if "gnu" in unit:
+            assert len(exact) == n and len([s for s in near if s[0] == "gpl"]) == n
+        if "mozila" in unit:
+            assert len(near) == n and all(s[2] == 3 and s[3] == 2 for s in near)
+
+
 def test_odd_rows(spark, odd, none, clashing):
     rows = licenses.scan_licenses(clashing(odd)).collect()
     assert len(rows) == odd.count()
