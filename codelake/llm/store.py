@@ -30,14 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str = "zstd", rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` as a shared Parquet table and read it back.
 
-    Loops over small tables pass ``uncompressed``: a codec's native buffers are only freed as the
+    ``rows_per_file`` bounds what a reader takes at a time, where rows are large. Loops over small tables pass ``uncompressed``: a codec's native buffers are only freed as the
     JVM collects garbage, and thousands of small files would pile them up."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codelake-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, maxRecordsPerFile=rows_per_file).parquet(path)
     _LIVE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
