@@ -25,8 +25,8 @@ def components(edges: DataFrame, known: DataFrame | None = None, max_rounds: int
 
     Alternating large-star and small-star steps: each hooks a node's neighbours to the smallest
     one, so the number of rounds grows with the logarithm of the longest path. Rounds are
-    written to shared tables. A node with very many neighbours is aggregated before the
-    exchange; joins on it are left to adaptive skew handling."""
+    written to shared tables. Nodes with a 64th of all links or more, 128 of them at most, are
+    sent to the links instead, so that no task gets all links of a hub."""
     spark = edges.sparkSession
     if known is not None:
         edges = edges.select("a", "b").unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -36,8 +36,12 @@ def components(edges: DataFrame, known: DataFrame | None = None, max_rounds: int
     for _ in range(max_rounds):
         at = mark()
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "a"))
+        hubs = F.broadcast(least.filter(F.col("n") >= max(64, seen[0] // 64)).select("a", F.col("m").alias("hub_m")))
+        upward = both.filter("b > a").join(hubs, "a", "left")
+        large = upward.filter("hub_m is not null").select("b", F.col("hub_m").alias("m"))
+        large = large.unionByName(upward.filter("hub_m is null").join(least, "a").select("b", "m"))
+        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = _small(large, "large-star", seen[0])
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")

@@ -1,7 +1,7 @@
 """Near-duplicate groups: MinHash with tensored banding, every link verified on full sets.
 
 A text's set holds the hashes of its distinct five-word shingles. Equal sets are one class
-from the start. Two small collections of ``HALVES`` half keys, of ``ROWS`` minhashes each, are
+from the start, known by two 64-bit sums over its elements and its size. Two small collections of ``HALVES`` half keys, of ``ROWS`` minhashes each, are
 computed for each class. Every (left, right) pair of half keys is the key of a table, so 84
 minhashes make 196 tables of six rows, which would take 1,176 minhashes by plain banding. Two
 sets of similarity 0.75 share no key with a probability under 0.001, of 0.8 under 0.0001. The
@@ -97,7 +97,7 @@ def _sketch(batches):
             keys.append(half_keys(s).view(np.int64) if len(s) else None)
             maps.append(bitmap(s).tobytes() if len(s) else None)
         cols = [pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=["doc_id", "n_shingles", "h1", "h2", "halves", "bits"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=["doc_id", "t", "n_shingles", "h1", "h2", "halves", "bits"])
 
 
 def _sets(batches):
@@ -124,6 +124,43 @@ def _compare(similarity: int):
     return run
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, t (a hash of the text) and text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"), text.alias("text"))
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """``classes`` with c, a number of its own for each (h1, h2, n_shingles): a hash, drawn again
+    if two classes should share one."""
+    for turn in range(16):
+        out = classes.withColumn("c", F.xxhash64("h1", "h2", "n_shingles", F.lit(turn)))
+        if not out.groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").take(1):
+            return out
+    raise RuntimeError("classes found no numbers of their own")
+
+
+def _linked(docs: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Rows doc_id, t, n_shingles, h1, h2 of all documents, and classes h1, h2, n_shingles, first (its
+    smallest doc_id and t) and g (the smallest class number reachable over links)."""
+    text = _keyed(docs)
+    schema = "doc_id long, t long, n_shingles long, h1 long, h2 long, halves array<long>, bits binary"
+    sketches = materialize(text.mapInArrow(_sketch, schema), "sketches")
+    usable = sketches.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    first = F.min(F.struct("doc_id", "t")).alias("first")
+    classes = materialize(usable.groupBy("h1", "h2", "n_shingles").agg(first, F.first("halves").alias("halves"), F.first("bits").alias("bits")), "classes")
+    classes = _numbered(classes)
+    members = _buckets(classes)
+    crowd = classes.select("c", F.col("first.doc_id").alias("doc_id"), F.col("first.t").alias("t")).join(members.select("c").distinct(), "c", "left_semi")
+    texts = text.join(crowd, ["doc_id", "t"]).select("c", "text")
+    sets = texts.mapInArrow(_sets, "c long, s array<long>").groupBy("c").agg(F.first("s").alias("s"))  # equal rows have equal sets
+    groups = _merge(classes, members, materialize(sets, "sets"), similarity)
+    named = classes.select("h1", "h2", "n_shingles", "first", "c")
+    if groups is not None:
+        named = named.join(groups, named["c"] == groups["node"], "left").withColumn("c", F.coalesce("component", "c"))
+    return sketches.select("doc_id", "t", "n_shingles", "h1", "h2"), materialize(named.select("h1", "h2", "n_shingles", "first", F.col("c").alias("g")), "groups")
+
+
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs(doc_id, text)``.
 
@@ -132,26 +169,38 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     Null, empty or blank text: an empty set, linked with nothing. Fewer than five words: the
     whole sequence is one shingle. Null doc_id: never linked, component_id null, kept true.
-    Repeated rows (equal doc_id and text): equal results; one doc_id with several texts joins
-    their groups. Equal sets are always linked. No rows: none. Further columns are ignored."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, h1 long, h2 long, halves array<long>, bits binary"
-    sketches = materialize(text.mapInArrow(_sketch, schema), "sketches")
-    usable = sketches.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = materialize(usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("c"), F.first("halves").alias("halves"), F.first("bits").alias("bits")), "classes")
-    members = _buckets(classes)
-    crowd = members.select("c").distinct()
-    texts = text.join(crowd, text["doc_id"] == crowd["c"]).select("c", "text")
-    sets = texts.mapInArrow(_sets, "c long, s array<long>").groupBy("c").agg(F.min("s").alias("s"))
-    groups = _merge(classes, members, materialize(sets, "sets"), similarity)
-    named = classes.select("h1", "h2", "n_shingles", "c")
-    if groups is not None:
-        named = named.join(groups, named["c"] == groups["node"], "left").select("h1", "h2", "n_shingles", F.coalesce("component", "c").alias("c"))
-    out = sketches.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
+    Repeated rows (equal doc_id and text): equal results; one doc_id with several texts is one
+    document, so it joins their groups. Equal sets are always linked. No rows: none. Further
+    columns are ignored."""
+    rows, named = _linked(docs, similarity)
+    key = ["h1", "h2", "n_shingles"]
+    several = rows.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.min(F.struct(*key)).alias("x"), F.max(F.struct(*key)).alias("y"))
+    several = materialize(several.filter("x <> y").select("doc_id"), "repeated-ids", "uncompressed")
+    if several.take(1):  # texts of one doc_id are linked by it
+        held = rows.join(several, "doc_id", "left_semi").join(named, key).select("doc_id", "g").distinct()
+        links = held.join(held.groupBy("doc_id").agg(F.min("g").alias("b")), "doc_id").select(F.col("g").alias("a"), "b").filter("a <> b")
+        links = materialize(links, "id-links", "uncompressed")
+        if links.take(1):
+            joined = components(links)
+            named = named.join(joined, named["g"] == joined["node"], "left").withColumn("g", F.coalesce("component", "g")).drop("node", "component")
+    least = named.groupBy("g").agg(F.min("first.doc_id").alias("least"))
+    named = named.join(least, "g").select(*key, "least")
+    out = rows.drop("t").join(named, key, "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
+def representatives(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id and t (``xxhash64`` of the text, null as empty) of the one document that stays of each
+    group of linked texts, that of the smallest doc_id; each pair once.
+
+    Texts are told apart under one doc_id, too. Documents without words stay; rows without a doc_id
+    are left out here."""
+    rows, named = _linked(docs, similarity)
+    first = named.groupBy("g").agg(F.min("first").alias("x")).select("x.doc_id", "x.t")
+    return first.unionByName(rows.filter("n_shingles = 0 and doc_id is not null").select("doc_id", "t").distinct())
+
+
 def _buckets(classes: DataFrame) -> DataFrame:
     """key, c, n for every table bucket that holds two classes or more."""
     right = F.slice("halves", HALVES + 1, HALVES).alias("right")

@@ -104,6 +104,25 @@ def test_query(spark):
     assert sorted(map(tuple, op8_near_dedup(spark, "/root/testdata/sf0.001").collect()), key=str) == brute(docs)
 
 
+def test_repeated_ids(spark, vocabulary):
+    """One doc_id with several texts is one document: it joins the groups of all its texts."""
+    rng = random.Random(21)
+    a, b, c = ([rng.choice(vocabulary) for _ in range(60)] for _ in range(3))
+    docs = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a, "x", "y"])), (9, " ".join([*b, "x", "y"])), (9, " ".join([*b, "x", "y"])), (11, " ".join(c)), (12, ""), (12, " ".join([*c, "z"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert run(df) == brute(docs)
+    assert {r[0]: r[2] for r in run(df)}[9] == 5
+    kept = sorted((r["doc_id"], r["t"]) for r in minhash.representatives(df).collect())
+    hashes = {(r["doc_id"], r["text"]): r["t"] for r in df.selectExpr("doc_id", "text", "xxhash64(text) as t").collect()}
+    assert kept == sorted((d, hashes[d, t]) for d, t in (docs[0], docs[1], docs[5], docs[6]))
+
+
+def test_links_of_the_test_table_are_all_found(spark):
+    """No pair of texts of similarity 0.75 or more of a whole test table lies in two components."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, op8_near_dedup(spark, "/root/testdata/sf0.01").collect()), key=str) == brute(docs)
+
+
 def test_bitmap_never_rules_out_a_link():
     rng = np.random.default_rng(2)
     sets = []
@@ -131,6 +150,15 @@ def test_tables_find_similar_sets():
     assert met >= 297
 
 
+def test_components_with_hubs(spark):
+    """Nodes with most of all links, and hubs that are linked with each other."""
+    rng = random.Random(3)
+    edges = [(0, i) for i in range(1, 500)] + [(1000, i) for i in range(1001, 1600)] + [(1599, 499)] + [(i, 5000) for i in range(2000, 2300)]
+    rng.shuffle(edges)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(c == (0 if n < 1600 else 2000) for n, c in got.items()) and len(got) == 500 + 600 + 301
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 80)] + [(200, 150), (150, 300), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

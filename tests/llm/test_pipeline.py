@@ -85,3 +85,14 @@ def test_odd_rows(spark, folder, odd, none, clashing):
         assert stage(spark, none, str(folder[0])).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(folder[0])).filter("doc_id = 1").count() == 1
     assert corpus_pipeline.STAGES[-1][1](spark, none, str(folder[0])).count() == 0
+
+
+def test_near_copies_under_one_id(spark, folder, vocabulary):
+    """Different texts under one doc_id both stay, equal rows and linked texts stay once."""
+    rng = random.Random(2)
+    a, b = (" ".join(rng.choice(vocabulary) for _ in range(50)) for _ in range(2))
+    rows = [(5, a), (5, b), (5, b), (7, a + " x y"), (9, b + " x y"), (None, a), (None, a), (8, ""), (8, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs, str(folder[0])).collect()), key=str)
+    assert [x for x in got if x[0] != 8] == sorted([(5, a), (5, b), (None, a), (None, a)], key=str)
+    assert len([x for x in got if x[0] == 8]) == 1
