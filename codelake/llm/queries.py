@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +64,9 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+    """The key is that of ``spark.codelake.pii.key``; without one, a key of this run that nobody learns."""
+    key = (spark.conf.get("spark.codelake.pii.key", None) or "").encode() or secrets.token_bytes(32)
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), key)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
