@@ -5,14 +5,17 @@
    the words, and a randomised SVD of all passages' TF-IDF rows gives the latent space: each
    partition adds up its share of ``A'(A Omega)``, the shares are summed by Spark, and the driver
    solves the small rest (Nystroem form, one pass).
-3. Passages of documents and of items that are near by cosine in that space are candidates. So
-   are all places that hold as many of an item's rarest words as a copy must hold, or the rarest
-   ones of its answer: no copy that step 4 accepts is missed, whichever words were replaced.
+3. Passages of documents and of items that are near by cosine in that space are candidates; the
+   items' passages are in an inverted file, of which a document's passage meets the nearest lists.
+   So are all places that hold as many of an item's rarest words as a copy must hold, or the
+   rarest ones of its answer or of a stretch of it: no copy that step 4 accepts is missed,
+   whichever words were replaced and whatever lists were met.
 4. A candidate is confirmed by the longest common subsequence of the item and the words around
    the passage, or a shorter one if the item's answer, its last words, stands there word by word.
 
-The benchmark is worked off in blocks of at most ``block_items`` items, whose vocabulary and
-latent vectors (a few MB) are sent to all tasks. Texts are read once for each block.
+There is one vocabulary and one space for all items, and texts are read and encoded once. Items are
+sent to the tasks in blocks of bounded size; each meets the encoded texts by itself, so what
+is found does not depend on the size of the blocks.
 """
 
 from __future__ import annotations
@@ -28,16 +31,29 @@ from .store import materialize
 from .words import alnum_words
 
 HALF = 16
+#: Terms of the latent space: words share one where the benchmark has more.
+SLOTS = 1 << 16
 MATCHES = "doc_id long, item_id long, first_word long, n_words long, cosine double, lcs_share double, answer boolean, exact boolean"
 
 
+@dataclass(frozen=True)
+class Rule:
+    """What confirms a candidate (see :func:`contaminated`)."""
+
+    share: float
+    share_with_answer: float
+    answer_words: int
+    min_words: int
+    run_words: int
+
+
 @dataclass
 class Items:
-    """A block of the benchmark: word numbers of each item, and the vocabulary."""
+    """A block of the benchmark: word numbers of each item, and the size of the vocabulary."""
 
     ids: list[int]
     words: list[np.ndarray]
-    vocab: dict[bytes, int]
+    size: int
 
     def passages(self) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers (rows of 32, padded with the blank) and the item of each passage."""
@@ -45,20 +61,25 @@ class Items:
         for i, w in enumerate(self.words):
             for at in range(0, max(1, len(w) - HALF), HALF):
                 own = w[at : at + 2 * HALF]
-                rows.append(np.pad(own, (0, 2 * HALF - len(own)), constant_values=len(self.vocab)))
+                rows.append(np.pad(own, (0, 2 * HALF - len(own)), constant_values=self.size))
                 item.append(i)
         return np.array(rows, np.int64).reshape(-1, 2 * HALF), np.array(item, np.int64)
 
 
-def read_items(rows: list[tuple[int, str]], min_words: int) -> Items:
-    vocab: dict[bytes, int] = {}
-    ids, words = [], []
+def read_items(rows, vocab: dict[bytes, int], least_words: int, block_words: int):
+    """Blocks of items of about ``block_words`` words at most; ``vocab`` grows."""
+    ids, words, held = [], [], 0
     for item, text in rows:
         own = alnum_words(text)
-        if len(own) >= min_words:
+        if len(own) >= least_words:
             ids.append(item)
-            words.append(np.array([vocab.setdefault(w, len(vocab)) for w in own], np.int64))
-    return Items(ids, words, vocab)
+            words.append(np.array([vocab.setdefault(w, len(vocab)) for w in own], np.int32))
+            held += len(own)
+            if held >= block_words:
+                yield Items(ids, words, len(vocab))
+                ids, words, held = [], [], 0
+    if ids:
+        yield Items(ids, words, len(vocab))
 
 
 def _encode(vocab: dict[bytes, int]):
@@ -125,7 +146,13 @@ def _chunks(column, narrow: np.dtype, most: int = 150_000):
         yield held
 
 
-def _sketch(omega: np.ndarray, idf: np.ndarray, narrow: np.dtype):
+def slot_numbers(size: int) -> np.ndarray:
+    """The term of each word, and of the blank, which comes last."""
+    terms = min(size, SLOTS)
+    return np.append(np.arange(size) % max(1, terms), terms).astype(np.int64)
+
+
+def _sketch(omega: np.ndarray, idf: np.ndarray, narrow: np.dtype, slot: np.ndarray):
     """Shares of A'(A Omega), a row for each term."""
 
     def run(batches):
@@ -134,7 +161,7 @@ def _sketch(omega: np.ndarray, idf: np.ndarray, narrow: np.dtype):
         total, used = np.zeros((blank, omega.shape[1])), np.zeros(blank, bool)
         for b in batches:
             for part in _chunks(b.column(0), narrow):
-                rows, joins = _blocks([w for _, w in part], blank)
+                rows, joins = _blocks([slot[w] for _, w in part], blank)
                 both = _pass(rows, joins, table)
                 grad = both.copy()
                 grad[1:][joins[:-1]] += both[:-1][joins[:-1]]
@@ -151,15 +178,16 @@ def _sketch(omega: np.ndarray, idf: np.ndarray, narrow: np.dtype):
     return run
 
 
-def latent_space(encoded: DataFrame, size: int, idf: np.ndarray, narrow: np.dtype, rank: int, seed: int = 7) -> np.ndarray:
+def latent_space(encoded: DataFrame, idf: np.ndarray, narrow: np.dtype, slot: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
     """Terms x rank: idf times the leading right singular vectors of the passages' TF-IDF matrix,
     over their singular values, so that the directions of the most common words don't rule the cosine."""
+    size = len(idf)
     width = min(size, rank + 8)
     omega = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
-    shares = encoded.select("words").mapInArrow(_sketch(omega.astype(np.float32), idf, narrow), "term long, y array<double>")
+    shares = encoded.select("words").mapInArrow(_sketch(omega.astype(np.float32), idf, narrow, slot), "term long, y array<double>")
     summed = shares.groupBy("term").agg(F.array(*[F.sum(F.col("y")[k]) for k in range(width)]).alias("y"))
     y = np.zeros((size, width))
-    for r in summed.toLocalIterator():  # a row for each word of the benchmark block
+    for r in summed.toLocalIterator():  # a row for each term, SLOTS at most
         y[r["term"]] = r["y"]
     shift = 1e-7 * max(np.linalg.norm(y), 1e-12)
     y += shift * omega
@@ -210,10 +238,37 @@ def _starts(item: np.ndarray, region: np.ndarray) -> np.ndarray:
     return at
 
 
-def verify(item: np.ndarray, words: np.ndarray, lo: int, hi: int, share: float, share_with_answer: float, answer_words: int):
-    """(share, answer, exact, first word, words) of the item's best place of at most twice its words
-    in ``words[lo:hi]``, None if none is confirmed."""
-    lo, span = max(0, lo), 2 * len(item)
+def longest_run(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
+    """(length, first): the longest stretch of ``region`` that stands in ``item`` word by word."""
+    best, first = 0, 0
+    now = np.zeros(len(item) + 1, np.int64)
+    for at, w in enumerate(region):
+        now[1:] = np.where(item == w, now[:-1] + 1, 0)
+        top = int(now.max())
+        if top > best:
+            best, first = top, at + 1 - top
+    return best, first
+
+
+def verify(item: np.ndarray, words: np.ndarray, lo: int, hi: int, rule: Rule):
+    """(share, answer, exact, first word, words) of the item's best place in ``words[lo:hi]``, None if
+    none is confirmed by ``rule``."""
+    lo = max(0, lo)
+    region = words[lo:hi].astype(np.int64)
+    if len(item) < rule.min_words:  # only as a whole
+        at = _starts(item, region)
+        return (1.0, True, True, lo + int(at[0]), len(item)) if len(at) else None
+    found = _subsequence(item, words, lo, hi, rule)
+    if found is None and len(item) > rule.run_words:
+        n, first = longest_run(item, region)
+        if n >= rule.run_words:
+            return n / len(item), False, False, lo + first, n
+    return found
+
+
+def _subsequence(item: np.ndarray, words: np.ndarray, lo: int, hi: int, rule: Rule):
+    """The best place of at most twice the item's words."""
+    share, share_with_answer, answer_words, span = rule.share, rule.share_with_answer, rule.answer_words, 2 * len(item)
     region = words[lo:hi].astype(np.int64)
     if not len(region):
         return None
@@ -267,28 +322,33 @@ class RareWords:
 
     A copy holds ``least`` of the n words of an item, so it lacks n - ``least`` of them at most, and
     has ``FEW`` of any n - ``least`` + ``FEW`` words: the rarest are looked up. A copy with the answer
-    has all words of that, so any ``FEW`` of these."""
+    has all words of that, so any ``FEW`` of these; so has a short item, and a run of a long one."""
 
     FEW = 5
 
-    def __init__(self, words: list[np.ndarray], df: np.ndarray, share: float, answer_words: int):
-        need, within, reach, word, rule = [], [], [], [], []
-        for w in words:
-            tail = w[-answer_words:]
-            least = max(1, int(np.ceil(share * len(w) - 1e-9)))
-            for own, all_, span in ((w, least, 2 * len(w)), (tail, len(tail), len(tail))):
+    def __init__(self, words: list[np.ndarray], df: np.ndarray, rule: Rule):
+        need, within, reach, item, word, number = [], [], [], [], [], []
+        for i, w in enumerate(words):
+            tail = w[-rule.answer_words :]
+            least = max(1, int(np.ceil(rule.share * len(w) - 1e-9)))
+            own_rules = [(w, least, 2 * len(w)), (tail, len(tail), len(tail))] if len(w) >= rule.min_words else [(w, len(w), len(w))]
+            if len(w) > rule.run_words:  # a run holds one of these parts as a whole
+                half = rule.run_words // 2
+                own_rules += [(w[at : at + half], half, half) for at in range(0, len(w) - half + 1, half)]
+            for own, all_, span in own_rules:
                 few = min(self.FEW, all_)
                 rare = own[np.argsort(df[own], kind="stable")[: len(own) - all_ + few]]
                 word.append(rare)
-                rule.append(np.full(len(rare), len(need)))
+                number.append(np.full(len(rare), len(need)))
                 need.append(few)
                 within.append(span)
-                reach.append(2 * len(w) + answer_words)
-        flat, rule = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (word, rule))
-        self.rule = rule[np.argsort(flat, kind="stable")]
+                reach.append(2 * len(w) + rule.answer_words)
+                item.append(i)
+        flat, number = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (word, number))
+        self.rule = number[np.argsort(flat, kind="stable")]
         self.count = np.bincount(flat, minlength=len(df) + 1)  # the blank is in no item
         self.first = np.cumsum(self.count) - self.count
-        self.need, self.within, self.reach = np.array(need), np.array(within), np.array(reach)
+        self.need, self.within, self.reach, self.item = np.array(need), np.array(within), np.array(reach), np.array(item)
 
     def places(self, part):
         """(place in the list, item, from, to) in ``part``, a list of (_, words): all copies lie in one of them."""
@@ -310,7 +370,7 @@ class RareWords:
         if len(pos):
             new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rule[1:] != rule[:-1]) | (lo[1:] > hi[:-1])]))
             upto = np.concatenate([new[1:], [len(pos)]]) - 1
-            yield from zip(doc[new].tolist(), (rule[new] // 2).tolist(), lo[new].tolist(), hi[upto].tolist(), strict=True)
+            yield from zip(doc[new].tolist(), self.item[rule[new]].tolist(), lo[new].tolist(), hi[upto].tolist(), strict=True)
 
 
 def _pieces(places: list[tuple[int, int]], n: int):
@@ -329,33 +389,70 @@ def _pieces(places: list[tuple[int, int]], n: int):
         yield lo, hi
 
 
-def _search(items: Items, space: np.ndarray, df: np.ndarray, narrow: np.dtype, cosine: float, share: float, share_with_answer: float, answer_words: int):
+class Lists:
+    """An inverted file over unit vectors: each is in the list of its nearest centre.
+
+    Centres, as many as the root of the vectors, are fitted on 32,768 of them at most; all are listed."""
+
+    def __init__(self, vectors: np.ndarray, probes: int = 16, sample: int = 1 << 15):
+        self.vectors, n = vectors, len(vectors)
+        count = max(1, int(np.ceil(np.sqrt(n))))
+        some = vectors[np.linspace(0, n - 1, min(n, sample)).astype(np.int64)]
+        self.centres = some[np.linspace(0, len(some) - 1, count).astype(np.int64)].copy()
+        for _ in range(6):
+            own = (some @ self.centres.T).argmax(1)
+            total = np.zeros_like(self.centres)
+            np.add.at(total, own, some)
+            size = np.linalg.norm(total, axis=1, keepdims=True)
+            self.centres = np.where(size > 0, total / np.maximum(size, 1e-12), self.centres)
+        own = np.concatenate([(vectors[lo : lo + 8192] @ self.centres.T).argmax(1) for lo in range(0, n, 8192)])
+        self.order = np.argsort(own, kind="stable")
+        self.first = np.searchsorted(own[self.order], np.arange(count + 1))
+        self.probes = min(probes, count)
+
+    def near(self, rows: np.ndarray, least: np.ndarray):
+        """(row, vector) for products of ``least`` (by vector) or more, in the nearest lists of each row."""
+        to = np.argpartition(-(rows @ self.centres.T), self.probes - 1, axis=1)[:, : self.probes]
+        row, at = np.repeat(np.arange(len(rows)), self.probes), to.ravel()
+        order = np.argsort(at, kind="stable")
+        row, ends = row[order], np.searchsorted(at[order], np.arange(len(self.centres) + 1))
+        for k in range(len(self.centres)):
+            own, listed = row[ends[k] : ends[k + 1]], self.order[self.first[k] : self.first[k + 1]]
+            if len(own) and len(listed):
+                r, c = np.nonzero(rows[own] @ self.vectors[listed].T >= least[listed])
+                yield from zip(own[r].tolist(), listed[c].tolist(), strict=True)
+
+
+def _search(items: Items, space: np.ndarray, df: np.ndarray, narrow: np.dtype, slot: np.ndarray, cosine: float, rule: Rule):
     def run(batches):
-        blank = len(items.vocab)
+        blank = len(space)
         table = np.vstack([space, np.zeros((1, space.shape[1]), np.float32)])
         rows, owner = items.passages()
-        target = table[rows].sum(1)
-        length = np.linalg.norm(target, axis=1, keepdims=True)
-        target = np.ascontiguousarray((target / np.maximum(length, 1e-12)).T)
+        target = table[slot[rows]].sum(1)
+        target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-12)
+        lists = Lists(target)
+        passages = np.searchsorted(owner, np.arange(len(items.ids) + 1))
         # a short passage fills only a part of the document's passage around it
-        least = (cosine * np.sqrt((rows < blank).sum(1) / (2 * HALF))).astype(np.float32)
-        rare = RareWords(items.words, df, share, answer_words)
+        least = (cosine * np.sqrt((rows < items.size).sum(1) / (2 * HALF))).astype(np.float32)
+        rare = RareWords(items.words, df, rule)
         names = [c.split()[0] for c in MATCHES.split(", ")]
         for b in batches:
             out: list[tuple] = []
             docs = b.column(0).to_pylist()
             for part in _chunks(b.column(1), narrow):
-                blocks, joins = _blocks([w for _, w in part], blank)
+                blocks, joins = _blocks([slot[w] for _, w in part], blank)
                 both = _pass(blocks, joins, table)
-                both /= np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-12)
+                size = np.linalg.norm(both, axis=1, keepdims=True)
+                both /= np.maximum(size, 1e-12)
+                some = np.flatnonzero(size[:, 0] > 0)
                 ends = np.cumsum([-(-len(w) // HALF) for _, w in part])
                 hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                for lo in range(0, len(both), 8192):
-                    near = both[lo : lo + 8192] @ target
-                    r, c = np.nonzero(near >= least)
-                    for row, col in zip(r + lo, c, strict=True):
+                for lo in range(0, len(some), 8192):
+                    own = some[lo : lo + 8192]
+                    for row, col in lists.near(both[own], least):
+                        row = int(own[row])
                         k = int(np.searchsorted(ends, row, side="right"))
-                        start = int(row - (ends[k - 1] if k else 0)) * HALF
+                        start = (row - int(ends[k - 1] if k else 0)) * HALF
                         reach = len(items.words[owner[col]]) + HALF
                         hits.setdefault((k, int(owner[col])), []).append((max(0, start - reach), start + 2 * HALF + reach))
                 for k, i, lo, hi in rare.places(part):
@@ -363,8 +460,8 @@ def _search(items: Items, space: np.ndarray, df: np.ndarray, narrow: np.dtype, c
                 for (k, i), places in sorted(hits.items()):
                     pos, words = part[k]
                     best = None
-                    for lo, hi in _pieces(places, len(items.words[i]) + answer_words):
-                        found = verify(items.words[i], words, lo, hi, share, share_with_answer, answer_words)
+                    for lo, hi in _pieces(places, len(items.words[i]) + rule.answer_words):
+                        found = verify(items.words[i], words, lo, hi, rule)
                         if found and (best is None or found[0] > best[0]):
                             best = found
                             if found[0] == 1:
@@ -372,16 +469,18 @@ def _search(items: Items, space: np.ndarray, df: np.ndarray, narrow: np.dtype, c
                     if best:
                         base = int(ends[k - 1]) if k else 0
                         around = both[base + max(0, best[3] // HALF - 1) : base + (best[3] + best[4] - 1) // HALF + 1]
-                        best = (*best, float((around @ target[:, owner == i]).max()))
-                    if best:
-                        out.append((docs[pos], items.ids[i], best[3], best[4], best[5], best[0], best[1], best[2]))
+                        near = float((around @ target[passages[i] : passages[i + 1]].T).max())
+                        out.append((docs[pos], items.ids[i], best[3], best[4], near, best[0], best[1], best[2]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate(kinds)], names=names)
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.55, share: float = 0.7, share_with_answer: float = 0.5, answer_words: int = 8, min_words: int = 8, rank: int = 96, block_items: int = 20_000) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.55, share: float = 0.7, share_with_answer: float = 0.5, answer_words: int = 8,
+    min_words: int = 8, least_words: int = 4, run_words: int = 64, rank: int = 96, block_words: int = 4_000_000,
+) -> DataFrame:
     """One row for each document of ``docs(doc_id, text)`` and item of ``benchmark(item_id, text)``
     that leaks into it, at its best place.
 
@@ -390,34 +489,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.55,
     Candidates have a ``cosine`` of that much, less for passages under 32 words, or enough of an
     item's rarest words (:class:`RareWords`), so that no confirmed place is missed.
     Confirmed are ``share`` of the words, or ``share_with_answer`` and the last ``answer_words``
-    words in one piece, within a stretch of at most twice the item's words.
+    words in one piece, within a stretch of at most twice the item's words; or ``run_words`` words
+    of a longer item in one piece. Items under ``min_words`` words are confirmed as a whole, word by word.
 
-    Items that are null or have under ``min_words`` words cannot be told from chance and match
+    Items that are null or have under ``least_words`` words cannot be told from chance and match
     nothing. Null or empty text, empty tables: no rows. Null doc_id: matched, doc_id null. Ties
     between places: the first. Repeated documents: a row each; repeated items: one. Further
-    columns are ignored."""
+    columns are ignored. Tasks hold the benchmark's vocabulary and ``block_words`` words of items
+    at a time; the driver holds no more."""
+    rule = Rule(share, share_with_answer, answer_words, min_words, run_words)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    items = items.groupBy("item_id").agg(F.min("text").alias("text"))
-    n_blocks = max(1, -(-items.count() // block_items))
+    items = materialize(items.groupBy("item_id").agg(F.min("text").alias("text")).orderBy("item_id"), "items")
+
+    def blocks(vocab):
+        rows = ((r["item_id"], r["text"]) for r in items.orderBy("item_id").toLocalIterator())
+        return read_items(rows, vocab, least_words, block_words)
+
+    out, vocab = docs.sparkSession.createDataFrame([], MATCHES), {}
+    n_blocks = sum(1 for _ in blocks(vocab))
+    if not n_blocks:
+        return out
+    size, slot = len(vocab), slot_numbers(len(vocab))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = docs.sparkSession.createDataFrame([], MATCHES)
-    for k in range(n_blocks):
-        rows = [(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).orderBy("item_id").toLocalIterator()]
-        block = read_items(rows, min_words)
-        if not block.ids:
-            continue
-        size = len(block.vocab)
-        run, narrow = _encode(block.vocab)
-        encoded = materialize(texts.mapInArrow(run, "doc_id long, words binary"), "words")
-        counts = encoded.select("words").mapInArrow(_frequencies(size, narrow), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-        df, n_docs = np.zeros(size), 0
-        for r in counts:
-            if r["term"] == size:
-                n_docs = r["n"]
-            else:
-                df[r["term"]] = r["n"]
-        # the third power: what tells passages apart is rare words, not how often common ones stand in them
-        idf = np.maximum(np.log((n_docs + 1) / (df + 0.5)), 0.05) ** 3
-        space = latent_space(encoded, size, idf, narrow, min(rank, size))
-        out = out.unionByName(encoded.mapInArrow(_search(block, space, df, narrow, cosine, share, share_with_answer, answer_words), MATCHES))
+    run, narrow = _encode(vocab)
+    encoded = materialize(texts.mapInArrow(run, "doc_id long, words binary"), "words")
+    df, n_docs = np.zeros(size), 0
+    counts = encoded.select("words").mapInArrow(_frequencies(size, narrow), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    for r in counts.toLocalIterator():  # a row for each word of the benchmark
+        if r["term"] == size:
+            n_docs = r["n"]
+        else:
+            df[r["term"]] = r["n"]
+    by_term = np.bincount(slot[:-1], weights=df, minlength=slot[-1])
+    # the third power: what tells passages apart is rare words, not how often common ones stand in them
+    idf = np.maximum(np.log((n_docs + 1) / (np.minimum(by_term, n_docs) + 0.5)), 0.05) ** 3
+    space = latent_space(encoded, idf, narrow, slot, min(rank, len(idf)))
+    for block in blocks(vocab):
+        found = encoded.mapInArrow(_search(block, space, df, narrow, slot, cosine, rule), MATCHES)
+        out = out.unionByName(found if n_blocks == 1 else materialize(found, "leaks"))
     return out

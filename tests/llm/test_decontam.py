@@ -7,6 +7,9 @@ from codelake.llm.queries import op5_decontamination
 from codelake.llm.words import alnum_words
 
 
+RULE = decontam.Rule(0.7, 0.5, 8, 8, 64)
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -48,8 +51,8 @@ def test_planted_items(spark, vocabulary):
         item = alnum_words(dict(items)[r["item_id"]])
         found = lcs(item, words[r["first_word"] : r["first_word"] + r["n_words"]])
         assert abs(found / len(item) - r["lcs_share"]) < 1e-9
-    blocks = decontam.contaminated(frame, bench, block_items=17).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in blocks} == want
+    blocks = decontam.contaminated(frame, bench, block_words=400).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, got))
 
 
 def test_hot_item(spark, vocabulary):
@@ -115,7 +118,7 @@ def test_stray_words():
     words = np.full(80, 99)
     words[41:50] = item[1:]
     words[26] = item[0]  # 15 words before the second one
-    assert decontam.verify(item, words, 14, 74, 0.7, 0.5, 8) == (0.9, True, False, 41, 9)
+    assert decontam.verify(item, words, 14, 74, RULE) == (0.9, True, False, 41, 9)
     for _ in range(150):
         n = rng.randint(10, 40)
         item, words = np.arange(n), np.full(8 * n + 32, 999)
@@ -126,11 +129,54 @@ def test_stray_words():
             words[at - rng.randint(n // 2, n + 16) if rng.random() < 0.5 else at + n + rng.randint(n // 2, n + 15)] = w
         lo, hi = max(0, at - n - 16), at + 2 * n + 16
         top = max(lcs(item.tolist(), words[s : s + 2 * n].tolist()) for s in range(lo, hi - 2 * n + 1))
-        got = decontam.verify(item, words, lo, hi, 0.7, 0.5, 8)
+        got = decontam.verify(item, words, lo, hi, RULE)
         assert got and abs(got[0] - top / n) < 1e-9 and got[4] <= 2 * n
         assert lcs(item.tolist(), words[got[3] : got[3] + got[4]].tolist()) == top
 
 
+def test_short_items_and_long_runs(spark, vocabulary):
+    """Short items are found as a whole, and a long stretch of a long item without its end."""
+    rng = random.Random(12)
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    short, long = text(5), text(300)
+    docs = [
+        text(40) + short + text(40), text(40) + short[:2] + ["other"] + short[3:] + text(40), short, text(50) + short[:4] + text(50),
+        text(40) + long[100:200] + text(40), text(40) + long[:130] + text(30), text(40) + long[30:80] + text(40), text(20) + long + text(20),
+    ]
+    bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long)), (3, "two words")], "item_id long, text string")
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(frame, bench).collect()}
+    assert set(got) == {(0, 1), (2, 1), (4, 2), (5, 2), (7, 2)}
+    assert got[0, 1]["exact"] and (got[0, 1]["first_word"], got[0, 1]["n_words"]) == (40, 5)
+    assert got[4, 2]["first_word"] == 40 and got[4, 2]["n_words"] == 100 and abs(got[4, 2]["lcs_share"] - 1 / 3) < 1e-9
+    assert got[7, 2]["exact"]
+
+
+def test_lists_find_near_passages():
+    """Share of the products over the threshold that the nearest lists hold, against all products."""
+    rng = np.random.default_rng(5)
+    found = all_ = 0
+    for n in (1, 7, 400, 3000):
+        vectors = rng.standard_normal((n, 24)).astype(np.float32)
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        rows = vectors[rng.integers(0, n, 500)] + 0.15 * rng.standard_normal((500, 24)).astype(np.float32)
+        rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+        least = np.full(n, 0.55, np.float32)
+        want = set(zip(*map(np.ndarray.tolist, np.nonzero(rows @ vectors.T >= least)), strict=True))
+        got = list(decontam.Lists(vectors).near(rows, least))
+        assert len(got) == len(set(got)) and set(got) <= want
+        found, all_ = found + len(got), all_ + len(want)
+    assert found >= 0.9 * all_
+
+
+def test_words_may_share_terms(spark, vocabulary, monkeypatch):
+    """What is found does not depend on the terms of the space."""
+    docs, items, want = planted(vocabulary)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontam, "SLOTS", 300)
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame, bench).collect()} == want
+
+
 def test_odd_rows(spark, odd, none, clashing):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (None, "x " * 20), (4, "a text without an id that is long enough to count"), (4, "a text without an id that is long enough to count"), (5, "long " * 30)], "item_id long, text string")
     got = [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(clashing(odd), clashing(bench)).collect()]
