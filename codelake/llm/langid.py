@@ -8,7 +8,8 @@ presence vector, kernel, Nyström map and ridge weights fold into one matrix for
 and a batch is scored by one matrix product: presence rows times that matrix.
 
 N-grams are hashed into ``2**bits`` slots for each order, so memory is fixed. Training sees a
-sample of at most about ``per_lang`` texts for each language; every text is scored whole.
+sample of at most about ``per_lang`` texts for each language, ``max_rows`` in all; every text is
+scored whole.
 """
 
 from __future__ import annotations
@@ -90,8 +91,9 @@ def fit(texts: list[str], langs: list[str], *, orders: int = 4, bits: int = 16,
     return fit_slots([slots(t, orders, bits) for t in texts], langs, orders=orders, bits=bits, **options)
 
 
-def fit_slots(got: list[list[np.ndarray]], langs: list[str], *, orders: int, bits: int, landmarks: int = 160, ridge: float = 1e-2) -> Model:
-    """Nyström map from ``landmarks`` texts, spread evenly over the languages, and ridge weights.
+def fit_slots(got: list[list[np.ndarray]], langs: list[str], *, orders: int, bits: int, landmarks: int = 160, least: int = 8, ridge: float = 1e-2) -> Model:
+    """Nyström map from ``landmarks`` texts, or ``least`` for each language if these are more, spread
+    evenly over the languages, and ridge weights.
 
     ``got``: for each text the slots of each order."""
     names = sorted(set(langs))
@@ -100,7 +102,7 @@ def fit_slots(got: list[list[np.ndarray]], langs: list[str], *, orders: int, bit
     for x in langs:
         turn[x] = turn.get(x, 0) + 1
         rank.append(turn[x])
-    marks = sorted(range(len(got)), key=lambda i: (rank[i], i))[:landmarks]
+    marks = sorted(range(len(got)), key=lambda i: (rank[i], i))[: max(landmarks, least * len(names))]
     used = [np.unique(np.concatenate([got[i][p] for i in marks])) for p in range(orders)]
 
     def matrix(rows, p):
@@ -130,14 +132,16 @@ def fit_slots(got: list[list[np.ndarray]], langs: list[str], *, orders: int, bit
     return Model(names, orders, bits, used, [(b.T @ dual).astype(np.float32) for b in bases], (shift - mean @ beta).astype(np.float32))
 
 
-def learn(docs: DataFrame, *, per_lang: int = 400, orders: int = 4, bits: int = 16, **options) -> Model | None:
-    """Fit on about ``per_lang`` texts a language, chosen by a hash of the text; equal texts count once.
+def learn(docs: DataFrame, *, per_lang: int = 400, max_rows: int = 40_000, orders: int = 4, bits: int = 16, **options) -> Model | None:
+    """Fit on about ``per_lang`` texts a language, fewer if there are so many languages that these would
+    be more than ``max_rows``; chosen by a hash of the text, equal texts count once.
 
     Only the n-gram slots of the sample, at most ``2**bits`` an order, reach the driver."""
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
+    per_lang = max(1, min(per_lang, max_rows // len(counts)))
     odds = F.lit(0)
     for lang, n in counts.items():
         odds = F.when(F.col("lang") == lang, int(min(1.0, 2.5 * per_lang / n) * 1_000_000)).otherwise(odds)

@@ -3,7 +3,8 @@
 Keys of lines become 128-bit hashes, range-partitioned by (hash, document) and sorted by
 (hash, document, position), so that a key's first occurrence in each document is met as
 the partition is streamed; a hash that a third of all lines carry spreads over many
-partitions, as the document is part of the range. The answer travels as sparse bitmaps: 64
+partitions, as the document is part of the range. The few lines that make up a large share of all
+are sent to their occurrences, so that no task gets all of these. The answer travels as sparse bitmaps: 64
 lines a word, and only the words that drop a line.
 """
 
@@ -16,8 +17,8 @@ from .rows import pack, unpack
 from .store import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a shared line that its occurrences are joined with, by document.
-SALTS = 32
+#: Shared lines with this share of all their documents are sent to the lines, not the lines to them.
+HOT_SHARE = 1024
 #: Stripped at both ends of a line: space and \x09-\x0D.
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -44,11 +45,14 @@ def drop_words(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataF
     streamed = Window.partitionBy("h1", "h2", "doc_id").orderBy("pos")
     first = keyed.select("h1", "h2", "doc_id", "pos").repartitionByRange("h1", "h2", "doc_id").withColumn("nth", F.row_number().over(streamed)).filter("nth = 1")
     shared = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
-    shared = shared.filter(F.col("n_docs") >= min_docs).drop("n_docs")
-    # a line that a third of all documents hold meets its one row in SALTS places
-    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    dropped = salted.join(shared, ["h1", "h2", "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    shared = materialize(shared.filter(F.col("n_docs") >= min_docs), "shared-lines")
+    # HOT_SHARE lines at most can have so many documents, whatever the size of the corpus; all others are small groups
+    total = shared.agg(F.sum("n_docs")).first()[0] or 0
+    hot = F.broadcast(shared.filter(F.col("n_docs") >= max(min_docs, 64, total // HOT_SHARE)).select("h1", "h2", F.col("keeper").alias("hot_keeper")))
+    near = keyed.join(hot, ["h1", "h2"], "left")
+    met = near.filter("hot_keeper is null").drop("hot_keeper").join(shared.drop("n_docs"), ["h1", "h2"])
+    met = met.unionByName(near.filter("hot_keeper is not null").withColumnRenamed("hot_keeper", "keeper"))
+    dropped = met.filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     word = F.shiftright("pos", 6).alias("word")
     bit = F.bit_or(F.expr("shiftleft(1L, pos & 63)")).alias("bits")
     words = dropped.groupBy("doc_id", "_hash", word).agg(bit)
