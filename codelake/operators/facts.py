@@ -136,7 +136,7 @@ def classified_imports(imports: DataFrame, files: DataFrame | None = None, compa
     if files is not None and not compat:
         dotted = F.regexp_replace(F.regexp_replace("path", r"(/__init__)?\.\w+$", ""), "/", ".")
         parts = F.split(dotted, r"\.")
-        tails = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(6))), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))
+        tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "."))
         modules = files.select(F.explode(tails).alias("module")).distinct().withColumn("own", F.lit(True))
         out = out.join(modules, "module", "left")
         kind = import_kind(F.col("module"), F.col("level"), own=F.col("own"))

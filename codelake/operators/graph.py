@@ -8,28 +8,33 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage: a Parquet table in the shared folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):  # local-cluster has machines of its own
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="codelake-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage: a Parquet table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dependencies(edges: DataFrame, node) -> DataFrame:
@@ -56,13 +61,46 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, max_rounds: int =
     raise RuntimeError(f"the closure did not end within {max_rounds} rounds")
 
 
+def _trimmed(links: DataFrame) -> DataFrame:
+    """Links without those that no cycle can pass: a node that nothing enters or leaves goes, again and again."""
+    n = -1
+    while (now := links.count()) != n:
+        n = now
+        into, out = links.select(F.col("dst").alias("src")).distinct(), links.select(F.col("src").alias("dst")).distinct()
+        links = _cut(links.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
+    return links
+
+
 def cycle_members(edges: DataFrame) -> DataFrame:
-    """id of every node that reaches itself."""
+    """id of every node that reaches itself: the strongly connected components of several nodes.
+
+    Links are trimmed; each node takes the largest id that reaches it; and the nodes of one such
+    colour that reach the node which gave it are a component. These go, and what is left is
+    treated alike. No table has more rows than links, unlike the pairs of a closure."""
     links = edges.select("src", "dst").distinct()
-    loops = links.filter("src = dst").select(F.col("src").alias("id"))
-    reach = closure(links)
-    back = reach.join(links.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"]).select(F.col("src").alias("id"))
-    return loops.unionByName(back).distinct()
+    out = _cut(links.filter("src = dst").select(F.col("src").alias("id")))
+    links = links.filter("src <> dst")
+    while (links := _trimmed(links)).take(1):
+        colours = _cut(links.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id")))
+        while True:
+            step = links.join(colours.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.col("c").alias("d")).groupBy("id").agg(F.max("d").alias("d"))
+            now = _cut(colours.join(step, "id", "left").select("id", F.greatest("c", "d").alias("n"), "c"))
+            colours = now.select("id", F.col("n").alias("c"))
+            if not now.filter("n <> c").take(1):
+                break
+        same = links.join(colours.select(F.col("id").alias("src"), "c"), "src").join(colours.select(F.col("id").alias("dst"), "c"), ["dst", "c"])
+        same = _cut(same)
+        found = front = _cut(colours.filter("id = c"))
+        while front.take(1):
+            back = same.join(front.withColumnRenamed("id", "dst"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct()
+            front = _cut(back.join(found, ["id", "c"], "left_anti"))
+            found = found.unionByName(front)
+        found = _cut(found)
+        several = found.groupBy("c").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("c")
+        out = out.unionByName(found.join(several, "c", "left_semi").select("id"))
+        gone = found.select("id")
+        links = _cut(links.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+    return out.distinct()
 
 
 def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:

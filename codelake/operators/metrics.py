@@ -54,9 +54,8 @@ def call_buckets(rows: DataFrame, column: str = "n_calls") -> DataFrame:
 
 
 def cross_references(symbols: DataFrame) -> DataFrame:
-    """ref, used_by: sorted ``file:symbol`` of those that refer to it."""
-    rows = symbols.select(F.explode("references").alias("ref"), F.concat_ws(":", "file_path", "name").alias("by"))
-    return rows.distinct().groupBy("ref").agg(F.array_sort(F.collect_list("by")).alias("used_by"))
+    """ref, used_by: each ``file:symbol`` that refers to it, once; rows, as a name may be used everywhere."""
+    return symbols.select(F.explode("references").alias("ref"), F.concat_ws(":", "file_path", "name").alias("used_by")).distinct()
 
 
 def variable_flow(symbols: DataFrame) -> DataFrame:
@@ -97,7 +96,7 @@ def api_boundary(symbols: DataFrame) -> DataFrame:
 
 
 def design_patterns(symbols: DataFrame) -> DataFrame:
-    """pattern, members (sorted names): singleton (a class with a method of its own that names an
+    """pattern, name of each member: singleton (a class with a method of its own that names an
     instance), factory (by prefix), observer (by word), decorator (decorated, or by word)."""
     low = F.lower("name")
     owners = symbols.filter((F.col("type") == "method") & F.contains(low, F.lit("instance"))).select(F.col("parent").alias("name")).distinct()
@@ -114,4 +113,4 @@ def design_patterns(symbols: DataFrame) -> DataFrame:
         )
     )
     rest = symbols.select(F.explode(labels).alias("pattern"), "name")
-    return singleton.unionByName(rest).distinct().groupBy("pattern").agg(F.array_sort(F.collect_list("name")).alias("members"))
+    return singleton.unionByName(rest).distinct()

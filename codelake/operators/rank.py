@@ -70,12 +70,28 @@ def schedule(arrivals: DataFrame, at: str, gap: float, by: list[str] | None = No
     """start: the times of calls that arrive at ``at`` and must be ``gap`` apart.
 
     start_i = max(arrive_i, start_{i-1} + gap) in closed form: i * gap plus the running maximum of
-    arrive_j - j * gap. Windows by ``by``; without it, all rows are one sequence."""
-    w = Window.partitionBy(*(by or [])).orderBy(*(order or [at]))
-    i = F.row_number().over(w) - 1
-    rows = arrivals.withColumn("_i", i)
-    ahead = F.max(F.col(at) - F.col("_i") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("start", F.col("_i") * gap + ahead).drop("_i")
+    arrive_j - j * gap. Sequences by ``by``; without it, all rows are one sequence: they are dealt
+    to sorted ranges, whose sizes and maxima, a row for each range, are carried on from one to the next."""
+    order = order or [at]
+    wide = F.lit(gap).cast("long") if isinstance(gap, int) else F.lit(gap)
+    running = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    if by:
+        w = Window.partitionBy(*by).orderBy(*order)
+        rows = arrivals.withColumn("_i", F.row_number().over(w) - 1)
+        ahead = F.max(F.col(at) - F.col("_i") * wide).over(running(w))
+        return rows.withColumn("start", F.col("_i") * wide + ahead).drop("_i")
+    from .graph import _cut
+
+    dealt = _cut(arrivals.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    w = Window.partitionBy("_p").orderBy(*order)
+    rows = dealt.withColumn("_i", (F.row_number().over(w) - 1).cast("long"))
+    ranges = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.max(F.col(at) - F.col("_i") * wide).alias("_m"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    ranges = ranges.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ranges = ranges.withColumn("_past", F.max(F.col("_m") - F.col("_first") * wide).over(before)).select("_p", "_first", "_past")
+    rows = rows.join(F.broadcast(ranges), "_p").withColumn("_k", F.col("_first") + F.col("_i"))
+    ahead = F.greatest(F.max(F.col(at) - F.col("_k") * wide).over(running(w)), F.col("_past"))
+    return rows.withColumn("start", F.col("_k") * wide + ahead).select(*arrivals.columns, "start")
 
 
 def until_reached(rows: DataFrame, group_order: str, order: str, enough: int) -> DataFrame:

@@ -119,23 +119,24 @@ O["cohesion"] = """WITH s AS (SELECT DISTINCT s_suppkey % 20 AS module, s_nation
  m AS (SELECT DISTINCT module FROM s)
  SELECT coalesce(m.module, h.module) AS module, coalesce(internal_refs, 0) AS internal_refs, coalesce(total_refs, 0) AS total_refs,
   CASE WHEN m.module IS NULL THEN 0.0 WHEN coalesce(total_refs, 0) = 0 THEN 1.0 ELSE internal_refs / total_refs END AS cohesion FROM m FULL JOIN h ON m.module = h.module"""
-O["xref_index"] = """SELECT l_partkey::VARCHAR AS ref, string_agg('o:' || l_orderkey, ',' ORDER BY 'o:' || l_orderkey) AS used_by FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem) GROUP BY 1"""
+O["xref_index"] = "SELECT DISTINCT l_partkey::VARCHAR AS ref, 'o:' || l_orderkey AS used_by FROM lineitem"
 O["data_sources"] = f"WITH {SYMBOLS} SELECT file_path, name FROM users u WHERE type = 'function' AND EXISTS (SELECT 1 FROM calls c WHERE c.user_id = u.user_id AND (contains(call, 'purch') OR contains(call, 'sign')))"
 O["error_calls"] = f"WITH {SYMBOLS} SELECT name, string_agg(call, ',' ORDER BY call) AS calls FROM (SELECT DISTINCT name, call FROM users JOIN calls USING (user_id) WHERE contains(call, 'error')) GROUP BY 1"
 O["async_calls"] = f"""WITH {SYMBOLS} SELECT name, string_agg(p, ',' ORDER BY p) AS patterns FROM (
  SELECT name, 'async_function' AS p FROM users WHERE user_id % 4 = 0 UNION SELECT name, call FROM users JOIN calls USING (user_id) WHERE contains(call, 'view') OR contains(call, 'click')) GROUP BY 1"""
-O["design_patterns"] = f"WITH {SYMBOLS} SELECT 'factory' AS pattern, string_agg(name, ',' ORDER BY name) AS members FROM (SELECT DISTINCT name FROM users)"
+O["design_patterns"] = f"WITH {SYMBOLS} SELECT DISTINCT 'factory' AS pattern, name FROM users"
 O["api_boundary"] = f"WITH {SYMBOLS} SELECT user_id, name FROM users WHERE user_id % 5 = 0"
 O["transitive_deps"] = f"WITH RECURSIVE {HIERARCHY}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src, dst FROM reach WHERE src <> dst"
 O["topo_levels"] = f"WITH RECURSIVE {HIERARCHY}, walk AS (SELECT id, 0 AS l FROM verts UNION SELECT e.src, l + 1 FROM walk w JOIN edges e ON e.dst = w.id) SELECT id AS node, max(l)::BIGINT AS level FROM walk GROUP BY 1"
 O["entry_leaf_nodes"] = f"WITH {HIERARCHY} SELECT id, 'entry' AS kind FROM verts WHERE id NOT IN (SELECT src FROM edges) UNION ALL SELECT id, 'leaf' FROM verts WHERE id NOT IN (SELECT dst FROM edges)"
 O["cycles"] = f"""WITH RECURSIVE {TRANSITIONS}, walk AS (SELECT [src, dst] AS p FROM edges WHERE src <= dst
- UNION ALL SELECT list_append(p, e.dst) FROM walk w JOIN edges e ON e.src = w.p[-1] WHERE w.p[-1] <> w.p[1] AND len(w.p) <= 4 AND (e.dst = w.p[1] OR (e.dst > w.p[1] AND NOT list_contains(w.p, e.dst))))
+ UNION ALL SELECT list_append(p, e.dst) FROM walk w JOIN edges e ON e.src = w.p[-1] WHERE w.p[-1] <> w.p[1] AND (e.dst = w.p[1] OR (e.dst > w.p[1] AND NOT list_contains(w.p, e.dst))))
  SELECT array_to_string(p, '>') AS cycle FROM walk WHERE p[1] = p[-1]"""
 O["cycle_members"] = f"WITH RECURSIVE {TRANSITIONS}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT DISTINCT src AS id FROM reach WHERE src = dst"
-O["call_chains"] = f"WITH {HIERARCHY} SELECT a.src || '>' || a.dst || '>' || b.dst AS chain FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = 'c7' AND a.dst <> 'n3' UNION ALL SELECT src || '>' || dst FROM edges WHERE src = 'c7' AND dst = 'n3' UNION ALL SELECT src || '>' || dst FROM edges WHERE src = 'n3'"
-O["graph_export"] = f"""WITH {HIERARCHY}, e AS (SELECT * FROM edges WHERE src[1] = 'n'), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)
- SELECT id, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM e WHERE src = id), '') AS dependencies, coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM e WHERE dst = id), '') AS dependents FROM v"""
+O["call_chains"] = f"""WITH {HIERARCHY}, r AS (SELECT * FROM edges WHERE src NOT IN (SELECT dst FROM edges))
+ SELECT a.src || '>' || a.dst || '>' || b.dst AS chain FROM r a JOIN edges b ON a.dst = b.src UNION ALL SELECT src || '>' || dst FROM r WHERE dst NOT IN (SELECT src FROM edges)"""
+O["graph_export"] = f"""WITH {HIERARCHY}, o AS (SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS d FROM edges GROUP BY 1), i AS (SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS d FROM edges GROUP BY 1)
+ SELECT v.id, coalesce(o.d, '') AS dependencies, coalesce(i.d, '') AS dependents FROM verts v LEFT JOIN o ON o.id = v.id LEFT JOIN i ON i.id = v.id"""
 O["cache_keys"] = "SELECT doc_id, lang || ':' || sha256(text) AS content_key, md5(lang || ':' || lang || ':' || sha256(text)) AS cache_key FROM documents"
 O["cache_miss"] = "SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE lang = 'en' UNION SELECT md5(text) FROM benchmark)"
 O["dedup_last_wins"] = "SELECT conv_id, role, turn, length(text) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS k FROM conversations) WHERE k = 1"
@@ -150,18 +151,18 @@ O["param_full_merge"] = """WITH b AS (SELECT conv_id, turn // 2 AS slot, text FR
   FROM b FULL JOIN r ON b.conv_id = r.conv_id AND b.slot = r.slot)
  SELECT conv_id, slot, CASE WHEN tr THEN 'refined' ELSE 'base' END AS origin, length(CASE WHEN tr THEN rt ELSE bt END) AS n FROM j"""
 _b, _r = (SCORE.format(t=_strip(f"coalesce({c}, '')"), vague=_vague(c, VAGUE)) for c in ("b", "r"))
-O["section_best_of"] = f"""WITH j AS (SELECT x.conv_id, x.text AS b, y.text AS r FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn = 0 AND y.turn = 1),
+O["section_best_of"] = f"""WITH j AS (SELECT x.conv_id, x.turn // 2 AS slot, x.text AS b, y.text AS r FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn % 2 = 0 AND y.turn = x.turn + 1),
  s AS (SELECT *, {_b} AS sb, {_r} AS sr FROM j)
- SELECT conv_id, md5(CASE WHEN sr > sb + 0.1 OR (NOT (sb > sr + 0.1) AND {_strip('r')} <> '') THEN r ELSE b END) AS best FROM s"""
+ SELECT conv_id, slot, md5(CASE WHEN sr > sb + 0.1 OR (NOT (sb > sr + 0.1) AND {_strip('r')} <> '') THEN r ELSE b END) AS best FROM s"""
 O["summary_quality"] = f"SELECT doc_id, round({SCORE.format(t=_strip('text'), vague=_vague('text', ['the idiot', 'stupid', 'license', '###']))}::DOUBLE, 3) AS score FROM documents"
-O["weak_sections"] = f"""WITH c AS (SELECT conv_id, text[1:30] AS s, text[1:3] AS rt, text[4:23] AS rd, text[1:25] AS n, text[1:5] AS t, text[1:15] AS e FROM conversations WHERE turn = 0),
- w AS (SELECT conv_id,
+O["weak_sections"] = f"""WITH c AS (SELECT conv_id, turn, text AS s, role AS rt, text AS rd, text AS n, text AS t, text AS e FROM conversations),
+ w AS (SELECT conv_id, turn,
   {SCORE.format(t=_strip('s'), vague=_vague('s', VAGUE))} < 0.6 AS summary,
   (CASE WHEN {_strip('rt')} <> '' THEN 0.3 ELSE 0 END) + (CASE WHEN length({_strip('rd')}) > 15 THEN 0.7 WHEN {_strip('rd')} <> '' THEN 0.3 ELSE 0 END) < 0.6 AS returns,
   (CASE WHEN (length({_strip('e')}) > 20 AND contains(lower(e), 'try')) OR contains(lower(e), 'error') THEN 0.9 WHEN length({_strip('e')}) > 10 THEN 0.6 WHEN {_strip('e')} <> '' THEN 0.3 ELSE 0 END) < 0.6 AS eh,
   (CASE WHEN {_strip('t')} = '' THEN 0 WHEN contains(t, 'Exception') AND {_strip('t')} <> 'Exception' THEN 0.9 ELSE 0.5 END) < 0.6 AS th,
   (CASE WHEN {_strip('n')} = '' THEN 0 WHEN length({_strip('n')}) > 20 THEN 0.9 ELSE 0.6 END) < 0.6 AS nt FROM c)
- SELECT conv_id, array_to_string(list_filter([CASE WHEN summary THEN 'summary' END, 'params', CASE WHEN returns THEN 'returns' END, 'examples', 'performance', CASE WHEN eh THEN 'error_handling' END, CASE WHEN th THEN 'throws' END, CASE WHEN nt THEN 'notes' END], lambda x: x IS NOT NULL), ',') AS weak FROM w"""
+ SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN summary THEN 'summary' END, 'params', CASE WHEN returns THEN 'returns' END, 'examples', 'performance', CASE WHEN eh THEN 'error_handling' END, CASE WHEN th THEN 'throws' END, CASE WHEN nt THEN 'notes' END], lambda x: x IS NOT NULL), ',') AS weak FROM w"""
 O["text_normalize"] = f"SELECT doc_id, md5({_strip(chr(114) + 'egexp_replace(regexp_replace(text, ' + chr(39) + '[ \\t]+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '\\n\\s*\\n+' + chr(39) + ', chr(10) || chr(10), ' + chr(39) + 'g' + chr(39) + ')')}) AS h FROM documents"
 O["text_truncate"] = "SELECT doc_id, CASE WHEN length(text) > 40 THEN text[1:37] || '...' ELSE text END AS t FROM documents"
 O["text_indent"] = f"SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN {_strip('x')} = '' THEN '' ELSE '    ' || x END), chr(10))) AS h FROM documents"
@@ -181,7 +182,8 @@ O["url_fix"] = "SELECT event_id, 'see http://host:' || (3000 + user_id % 100) ||
 O["drop_lines"] = "SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT (contains(x, 'License') OR contains(x, ' token = ') OR contains(x, '###'))), chr(10))) AS h FROM documents"
 O["validate_output"] = """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'Contains 1 absolute Windows paths; Contains 1 endpoints without leading slash'
  WHEN 1 THEN 'Contains 1 malformed URLs (missing slash); Contains placeholder text: your-repo' ELSE 'Contains 2 paths with missing separators' END AS issues FROM part"""
-O["normalize_defaults"] = "SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(quality, -1)::BIGINT AS quality, coalesce(toxic, -1)::BIGINT AS toxic FROM documents LEFT JOIN labels USING (doc_id)"
+O["normalize_defaults"] = """SELECT doc_id, coalesce(lang, 'Unnamed Project') AS project, 'unknown' AS path, 'q' || quality AS function, CASE WHEN quality IS NOT NULL THEN 'void' END AS returns, 0::BIGINT AS n_classes
+ FROM documents LEFT JOIN labels USING (doc_id)"""
 O["validate_rows"] = """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'project_name is missing' WHEN 2 THEN 'a file has no path; functions is no list' ELSE 'files is missing' END AS errors,
  CASE WHEN p_size % 4 = 1 THEN 'Unnamed Project' ELSE 'p' END AS project, CASE WHEN p_size % 4 = 3 THEN 0 ELSE 1 END::BIGINT AS n_files FROM part"""
 _w = "string_split(p_name, ' ')[1]"
@@ -196,4 +198,6 @@ O["java_symbols"] = f"""SELECT 'm' || p_partkey AS path, 'K' AS class_name, 'get
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    from .oracle_source import ORACLE as source
+
+    return ORACLE | source

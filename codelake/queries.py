@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -208,7 +209,7 @@ def cohesion(spark, sf_dir):
 def xref_index(spark, sf_dir):
     orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("references"))
     symbols = orders.select(F.lit("o").alias("file_path"), F.col("l_orderkey").cast("string").alias("name"), "references")
-    return metrics.cross_references(symbols).select("ref", F.array_join("used_by", ",").alias("used_by"))
+    return metrics.cross_references(symbols)
 
 
 def _event_symbols(spark, sf_dir) -> DataFrame:
@@ -234,7 +235,7 @@ def async_calls(spark, sf_dir):
 
 @query
 def design_patterns(spark, sf_dir):
-    return metrics.design_patterns(_event_symbols(spark, sf_dir)).select("pattern", F.array_join("members", ",").alias("members"))
+    return metrics.design_patterns(_event_symbols(spark, sf_dir))
 
 
 @query
@@ -281,7 +282,7 @@ def _transitions(spark, sf_dir) -> DataFrame:
 
 @query
 def cycles(spark, sf_dir):
-    return graph.cycles(_transitions(spark, sf_dir), 4).select(F.array_join("cycle", ">").alias("cycle"))
+    return graph.cycles(_transitions(spark, sf_dir)).select(F.array_join("cycle", ">").alias("cycle"))
 
 
 @query
@@ -291,12 +292,12 @@ def cycle_members(spark, sf_dir):
 
 @query
 def call_chains(spark, sf_dir):
-    return graph.call_chains(_hierarchy(spark, sf_dir).filter("src <> 'n3'"), "c7").unionByName(graph.call_chains(_hierarchy(spark, sf_dir), "n3")).select(F.array_join("chain", ">").alias("chain"))
+    return graph.call_chains(_hierarchy(spark, sf_dir)).select(F.array_join("chain", ">").alias("chain"))
 
 
 @query
 def graph_export(spark, sf_dir):
-    edges = _hierarchy(spark, sf_dir).filter(F.startswith("src", F.lit("n")))
+    edges = _hierarchy(spark, sf_dir)
     vertices = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
     return graph.export(edges, vertices).select("id", F.array_join("dependencies", ",").alias("dependencies"), F.array_join("dependents", ",").alias("dependents"))
 
@@ -313,9 +314,15 @@ def cache_keys(spark, sf_dir):
 
 @query
 def cache_miss(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"))
-    known = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.md5(F.col("text").cast("binary")).alias("key")).unionByName(table(spark, sf_dir, "benchmark").select(F.md5(F.col("text").cast("binary")).alias("key")))
-    return docs.join(known.distinct(), "key", "left_anti").select("doc_id")
+    """Documents that a cache of English ones and of the benchmark does not hold."""
+    from .sources.cache import DocCache
+
+    cache = DocCache(spark, f"{graph.shared_folder(spark)}/cache-{uuid.uuid4().hex}")
+    key = F.md5(F.col("text").cast("binary")).alias("key")
+    known = table(spark, sf_dir, "documents").filter("lang = 'en'").select(key).unionByName(table(spark, sf_dir, "benchmark").select(key)).distinct()
+    cache.put(known.select("key", F.lit("en").alias("language"), F.lit("{}").alias("details")))
+    _, misses = cache.lookup(table(spark, sf_dir, "documents").select("doc_id", key))
+    return misses.select("doc_id")
 
 
 @query
@@ -353,12 +360,12 @@ def param_full_merge(spark, sf_dir):
 @query
 def section_best_of(spark, sf_dir):
     talk = table(spark, sf_dir, "conversations")
-    base = talk.filter("turn = 0").select("conv_id", F.col("text").alias("b"))
-    refined = talk.filter("turn = 1").select("conv_id", F.col("text").alias("r"))
-    both = base.join(refined, "conv_id")
+    base = talk.filter("turn % 2 = 0").select("conv_id", F.expr("turn div 2").alias("slot"), F.col("text").alias("b"))
+    refined = talk.filter("turn % 2 = 1").select("conv_id", F.expr("turn div 2").alias("slot"), F.col("text").alias("r"))
+    both = base.join(refined, ["conv_id", "slot"])
     b, r = F.col("b"), F.col("r")
     best = joins.pick_by_score(b, r, quality.score_summary(b), quality.score_summary(r), text.strip(r) != "")
-    return both.select("conv_id", F.md5(best.cast("binary")).alias("best"))
+    return both.select("conv_id", "slot", F.md5(best.cast("binary")).alias("best"))
 
 
 # --- text ---
@@ -373,10 +380,10 @@ def summary_quality(spark, sf_dir):
 
 @query
 def weak_sections(spark, sf_dir):
-    talk = table(spark, sf_dir, "conversations").filter("turn = 0")
+    talk = table(spark, sf_dir, "conversations")
     t = F.col("text")
-    details = F.from_json(F.to_json(F.struct(F.substring(t, 1, 30).alias("summary"), F.struct(F.substring(t, 1, 3).alias("type"), F.substring(t, 4, 20).alias("desc")).alias("returns"), F.array(F.substring(t, 1, 25)).alias("notes"), F.array(F.substring(t, 1, 5)).alias("throws"), F.struct(F.substring(t, 1, 15).alias("strategy")).alias("error_handling"))), quality.DETAILS)
-    return talk.select("conv_id", F.array_join(quality.weak_sections(details), ",").alias("weak"))
+    details = F.from_json(F.to_json(F.struct(t.alias("summary"), F.struct(F.col("role").alias("type"), t.alias("desc")).alias("returns"), F.array(t).alias("notes"), F.array(t).alias("throws"), F.struct(t.alias("strategy")).alias("error_handling"))), quality.DETAILS)
+    return talk.select("conv_id", "turn", F.array_join(quality.weak_sections(details), ",").alias("weak"))
 
 
 @query
@@ -469,8 +476,16 @@ def validate_output(spark, sf_dir):
 
 @query
 def normalize_defaults(spark, sf_dir):
+    """Project documents of documents and their labels, with what is missing filled in."""
+    from .operators import schema
+
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.coalesce("lang", F.lit("unknown")).alias("lang"), F.coalesce(F.col("quality"), F.lit(-1)).cast("long").alias("quality"), F.coalesce(F.col("toxic"), F.lit(-1)).cast("long").alias("toxic"))
+    labelled = F.when(F.col("quality").isNotNull(), F.array(F.struct(F.concat(F.lit("q"), F.col("quality").cast("string")).alias("name"))))
+    doc = F.to_json(F.struct(F.col("lang").alias("project_name"), F.array(F.struct(labelled.alias("functions"))).alias("files")))
+    d = schema.normalize(schema.parse(doc))
+    f = F.get(d["files"], F.lit(0))
+    fn = F.get(f["functions"], F.lit(0))
+    return rows.select("doc_id", d["project_name"].alias("project"), f["path"].alias("path"), fn["name"].alias("function"), fn["returns"]["type"].alias("returns"), F.size(f["classes"]).cast("long").alias("n_classes"))
 
 
 @query
@@ -522,4 +537,6 @@ def java_symbols(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_source  # noqa: F401  registers its own
+
     return dict(QUERIES)
