@@ -4,7 +4,9 @@ A change is an insert (+count), a delete (-count) or a revision (-old, +new, eac
 source, language and version). A batch is reduced to its sums and written once; totals are the
 sum over the committed batches. A batch is committed when its manifest exists, which one atomic
 rename decides: a batch that is sent again, or by two writers, counts once; one that broke off
-before the rename counts not at all.
+before the rename counts not at all. That needs a file system whose rename of a folder is
+atomic (HDFS or local, not a plain object store). Many small batches are summed into a snapshot
+by :meth:`Rollup.compact`, which a rename publishes likewise.
 """
 
 from __future__ import annotations
@@ -84,11 +86,44 @@ class Rollup:
             raise
         return True
 
+    def _snapshot(self) -> tuple[int, list[str], set[str]]:
+        """The number of the newest snapshot (0: none), the paths of its sums, the batches in it."""
+        at = self._path(f"{self.path}/snapshots")
+        numbers = [int(f.getPath().getName()) for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        if not numbers:
+            return 0, [], set()
+        newest = f"{self.path}/snapshots/{max(numbers):012d}"
+        names = self.spark.read.schema("batch string").parquet(f"{newest}/batches").collect()
+        return max(numbers), [f"{newest}/sums"], {r["batch"] for r in names}
+
+    def _sources(self) -> tuple[int, list[str], list[str]]:
+        """The newest snapshot's number, the paths that make up the totals, the batches they hold."""
+        number, paths, inside = self._snapshot()
+        batches = self.committed()
+        return number, paths + [p for n, p in batches.items() if n not in inside], sorted(batches)
+
+    def compact(self) -> bool:
+        """Sum the newest snapshot and the batches after it into one snapshot, which totals then
+        read instead. Batches keep their names, so that one sent again still counts once. False,
+        and no effect, without a new batch or if another writer has published that number."""
+        number, paths, names = self._sources()
+        if not paths or (number and len(paths) == 1):
+            return False
+        mine = f"{self.path}/open/snapshot-{uuid.uuid4().hex}"
+        self._sums(paths).write.parquet(f"{mine}/sums")
+        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.parquet(f"{mine}/batches")
+        self._fs.mkdirs(self._path(f"{self.path}/snapshots"))
+        if self._claim(mine, f"{self.path}/snapshots/{number + 1:012d}"):
+            return True
+        self._fs.delete(self._path(mine), True)
+        return False
+
     def totals(self) -> DataFrame:
         """KEYS, n_docs, n_tokens over all committed batches; keys without documents go."""
-        paths = sorted(self.committed().values())
-        if not paths:
-            return self.spark.createDataFrame([], DELTA)
+        paths = self._sources()[1]
+        return self._sums(paths) if paths else self.spark.createDataFrame([], DELTA)
+
+    def _sums(self, paths: list[str]) -> DataFrame:
         rows = self.spark.read.schema(DELTA).parquet(*paths)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 or n_tokens <> 0")
@@ -132,7 +167,7 @@ def change(op: str, version: str, *, old: str | None = None, new: str | None = N
     ]
 
 
-def corpus_rollup(docs: DataFrame, labels: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
+def corpus_rollup(docs: DataFrame, labels: DataFrame, tokenizer: str, path: str | None = None, name: str = "corpus") -> DataFrame:
     """A rollup over the whole corpus, by four batches. Returns its totals: source, lang, tokenizer,
     n_docs, n_tokens.
 
@@ -141,19 +176,22 @@ def corpus_rollup(docs: DataFrame, labels: DataFrame, tokenizer: str, path: str
     ``und`` where the language is null. A deletion: documents with a label of quality 0.
 
     Null text counts 0 tokens. Repeated rows count each. A document is deleted if any label row
-    of its doc_id has quality 0; null doc_ids are never deleted. No rows: no totals."""
+    of its doc_id has quality 0; null doc_ids are never deleted. No rows: no totals.
+
+    The batches are named after ``name``. A further corpus in the same ``path`` needs a name of its
+    own; under the same name it is the same corpus sent again, and counts once."""
     spark = docs.sparkSession
     counts = materialize(count_tokens(docs, tokenizer), "token-counts")
     named = F.coalesce("lang", F.lit("und"))
     bad = labels.filter("quality = 0 and doc_id is not null").select("doc_id").distinct()
     gone = counts.join(bad, "doc_id", "left_semi")
     rollup = Rollup(spark, path or f"{shared_dir(spark)}/codelake-rollup-{uuid.uuid4().hex}")
-    rollup.commit("load-words", counts.select(change("insert", "words", new="n_pieces")))
+    rollup.commit(f"{name}-load-words", counts.select(change("insert", "words", new="n_pieces")))
     load = counts.select(change("insert", "bpe", new="n_tokens"))
-    rollup.commit("load-bpe", load)
-    rollup.commit("load-bpe", load)  # sent again: no effect
+    rollup.commit(f"{name}-load-bpe", load)
+    rollup.commit(f"{name}-load-bpe", load)  # sent again: no effect
     wrong = counts.filter("lang is null or n_words <> n_pieces")
-    rollup.commit("revise-words", wrong.select(change("revise", "words", old="n_pieces", new="n_words", new_lang=named)))
+    rollup.commit(f"{name}-revise-words", wrong.select(change("revise", "words", old="n_pieces", new="n_words", new_lang=named)))
     deleted = gone.select(change("delete", "words", old="n_words", old_lang=named))
-    rollup.commit("delete-low-quality", deleted.unionByName(gone.select(change("delete", "bpe", old="n_tokens"))))
+    rollup.commit(f"{name}-delete-low-quality", deleted.unionByName(gone.select(change("delete", "bpe", old="n_tokens"))))
     return rollup.totals()

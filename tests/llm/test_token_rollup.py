@@ -32,6 +32,33 @@ def test_second_writer_loses(spark, tmp_path):
     assert rows(r.totals()) == {("a", "en", "v1"): (1, 10)}
 
 
+def test_compaction(spark, tmp_path):
+    r = tr.Rollup(spark, f"file://{tmp_path}/r")
+    add = lambda n: spark.createDataFrame([("insert", n, "a", "en", "v1", n, None, None, None, None)], tr.CHANGE)
+    assert not r.compact()
+    assert r.commit("one", add(1)) and r.commit("two", add(2))
+    assert r.compact() and not r.compact()
+    assert not r.commit("one", add(1)) and rows(r.totals()) == {("a", "en", "v1"): (2, 3)}
+    assert len(r._sources()[1]) == 1
+    assert r.commit("three", add(4)) and rows(r.totals()) == {("a", "en", "v1"): (3, 7)}
+    late = tr.Rollup(spark, f"file://{tmp_path}/r")
+    late._snapshot = lambda: (0, [], set())  # looked before the first snapshot was there
+    assert not late.compact() and rows(r.totals()) == {("a", "en", "v1"): (3, 7)}
+    assert r.compact() and rows(r.totals()) == {("a", "en", "v1"): (3, 7)}
+    assert r.commit("back", spark.createDataFrame([("delete", n, "a", "en", "v1", None, None, None, None, n) for n in (1, 2, 4)], tr.CHANGE))
+    assert r.compact() and rows(r.totals()) == {}
+
+
+def test_further_corpus_in_a_rollup(spark, tmp_path, odd):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in odd.collect()]
+    path = f"file://{tmp_path}/r"
+    load = lambda name: rows(tr.corpus_rollup(odd, labels, tokenizer_path(), path, name))
+    once = brute(docs, set())
+    assert load("a") == once and load("a") == once
+    assert load("b") == {k: (2 * n, 2 * t) for k, (n, t) in once.items()}
+
+
 def test_unknown_op(spark, tmp_path):
     import pytest
 
