@@ -59,4 +59,40 @@ ranked AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLE_SQL = {"op2_line_dedup": OP2, "op8_near_dedup": OP8, "op9_topk": OP9}
+OP11 = r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(t) AS term FROM docs) GROUP BY ALL),
+held AS (SELECT lang, term, count(*) AS docs FROM (SELECT lang, unnest(list_distinct(t)) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term FROM held WHERE docs >= 10),
+sizes AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+own AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p
+  FROM dense JOIN sizes USING (lang)),
+whole AS (
+  SELECT lang, term, 1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM dense GROUP BY ALL) JOIN sizes USING (lang)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+words AS (
+  SELECT o.lang, o.source, 'term' AS part, o.term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+  FROM own o JOIN whole w ON w.lang = o.lang AND w.term = o.term WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM words))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLE_SQL = {"op2_line_dedup": OP2, "op8_near_dedup": OP8, "op9_topk": OP9, "op11_divergence": OP11}
