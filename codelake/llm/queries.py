@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, langid, licenses, line_dedup, minhash, packing, pii, token_rollup, topk, toxicity
+from . import codes, decontam, divergence, langid, licenses, line_dedup, minhash, packing, pii, token_rollup, topk, toxicity
 from .sql import ORACLE_SQL
 
 
@@ -73,8 +73,12 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_line_dedup, op3_toxicity, op4_langid, op5_decontamination, op6_licenses, op7_token_counts, op8_near_dedup, op9_topk, op10_pii, op11_divergence)
+    own = (op1_packing, op2_line_dedup, op3_toxicity, op4_langid, op5_decontamination, op6_licenses, op7_token_counts, op8_near_dedup, op9_topk, op10_pii, op11_divergence, op12_codes)
     return {f.__name__: f for f in own}
 
 

@@ -95,4 +95,39 @@ ranked AS (
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLE_SQL = {"op2_line_dedup": OP2, "op8_near_dedup": OP8, "op9_topk": OP9, "op11_divergence": OP11}
+
+
+def _op12(rounds: int = 4) -> str:
+    """Plain Lloyd rounds, a pair of CTEs each."""
+    sql = """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS n, len(v) // 4 AS w FROM kept),
+parts AS MATERIALIZED (SELECT n, vec_id, label, p, v[p * w + 1:(p + 1) * w] AS x FROM numbered, range(4) AS r(p)),
+book0 AS MATERIALIZED (SELECT p, n - 1 AS entry, x AS z FROM parts WHERE n <= 256),"""
+    for k in range(rounds + 1):
+        sql += f"""
+near{k} AS MATERIALIZED (
+  SELECT n, p, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT a.n, a.p, a.x, b.entry, list_sum(list_transform(list_zip(a.x, b.z), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d
+    FROM parts a JOIN book{k} b ON a.p = b.p) GROUP BY n, p, x),"""
+        if k < rounds:
+            sql += f"""
+sums{k} AS (
+  SELECT p, entry, place, sum(c)::BIGINT AS s, count(*) AS m FROM (
+    SELECT p, entry, unnest(x) AS c, generate_subscripts(x, 1) AS place FROM near{k}) GROUP BY ALL),
+new{k} AS (SELECT p, entry, list((s - ((s % m) + m) % m) // m ORDER BY place) AS z FROM sums{k} GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (SELECT b.p, b.entry, coalesce(n.z, b.z) AS z FROM book{k} b LEFT JOIN new{k} n ON n.p = b.p AND n.entry = b.entry),"""
+    return sql + f"""
+digest AS (
+  SELECT sha256(string_agg(c, ',' ORDER BY p, entry, place)) AS codebooks_sha256 FROM (
+    SELECT p, entry, unnest(z)::VARCHAR AS c, generate_subscripts(z, 1) AS place FROM book{rounds})),
+coded AS (
+  SELECT n, string_agg(lower(printf('%02x', entry::INTEGER)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY n)
+SELECT k.vec_id, k.label, code, error, (sum(error) OVER (PARTITION BY k.label))::BIGINT AS label_error, codebooks_sha256
+FROM numbered k JOIN coded USING (n), digest
+"""
+
+
+ORACLE_SQL = {"op2_line_dedup": OP2, "op8_near_dedup": OP8, "op9_topk": OP9, "op11_divergence": OP11, "op12_codes": _op12()}
