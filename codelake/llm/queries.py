@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontam, divergence, langid, licenses, line_dedup, minhash, packing, pii, token_rollup, topk, toxicity
+from . import chat, codes, decontam, divergence, langid, licenses, line_dedup, minhash, packing, pii, token_rollup, topk, toxicity
 from .sql import ORACLE_SQL
 
 
@@ -77,8 +77,16 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of number -7 whose texts are control strings."""
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    own = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), said) for k, role in enumerate(("user", "assistant"))]
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.range(1).select(F.inline(F.array(*own))))
+    return chat.digests(chat.windows(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_line_dedup, op3_toxicity, op4_langid, op5_decontamination, op6_licenses, op7_token_counts, op8_near_dedup, op9_topk, op10_pii, op11_divergence, op12_codes)
+    own = (op1_packing, op2_line_dedup, op3_toxicity, op4_langid, op5_decontamination, op6_licenses, op7_token_counts, op8_near_dedup, op9_topk, op10_pii, op11_divergence, op12_codes, op13_chat)
     return {f.__name__: f for f in own}
 
 

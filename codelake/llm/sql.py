@@ -96,6 +96,50 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 """
 
 
+OP13 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+blocked AS (
+  SELECT *, coalesce(turn >> 10, -(1::BIGINT << 62)) AS block, 4 + (length(text) + 3) // 4 AS cost,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS nth,
+         12 + 10 + 10 + length(role) + length(text) + length(role || text) - length(replace(role || text, '\', ''))
+         + len(regexp_extract_all(role, '<\|(im_start|im_sep|im_end|endoftext)\|>|</?s>|\[/?INST\]|<</?SYS>>'))
+         + len(regexp_extract_all(text, '<\|(im_start|im_sep|im_end|endoftext)\|>|</?s>|\[/?INST\]|<</?SYS>>')) AS chars
+  FROM turns),
+led AS (
+  SELECT *, nth = 1 AND role = 'system' AS lead,
+         max(CASE WHEN nth = 1 AND role = 'system' THEN cost ELSE 0 END) OVER (PARTITION BY conv_id) AS kept,
+         max(CASE WHEN nth = 1 AND role = 'system' THEN chars ELSE 0 END) OVER (PARTITION BY conv_id) AS kept_chars
+  FROM blocked),
+costed AS (SELECT *, CASE WHEN lead THEN 0 ELSE cost END AS c, greatest(1024 - kept, 1) AS room FROM led),
+summed AS (
+  SELECT *, greatest(room // 2, 1) AS half,
+         coalesce(sum(c) OVER (PARTITION BY conv_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         coalesce(sum(c) OVER (PARTITION BY conv_id, block ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent
+  FROM costed),
+flagged AS (
+  SELECT *, CASE WHEN lead THEN -1 ELSE before END AS g,
+         CASE WHEN lag(nth) OVER w IS NULL THEN 1 WHEN lag(lead) OVER w THEN 0
+              WHEN c > half OR lag(c > half) OVER w OR spent // half <> lag(spent // half) OVER w THEN 1 ELSE 0 END AS cut
+  FROM summed WINDOW w AS (PARTITION BY conv_id, block ORDER BY nth)),
+spans AS (SELECT *, sum(cut) OVER (PARTITION BY conv_id ORDER BY nth) AS k FROM flagged),
+wins AS (
+  SELECT conv_id, k, min(g) AS start, sum(c) AS new, min(room) AS room, min(kept_chars) AS kept_chars FROM spans GROUP BY ALL),
+again AS (
+  SELECT w.conv_id, sum(s.chars) AS chars FROM wins w JOIN spans s ON s.conv_id = w.conv_id AND s.g >= 0 AND s.g < w.start
+    AND s.g >= w.start - greatest(least(256, w.room - w.new), 0) GROUP BY 1),
+led_in AS (SELECT conv_id, sum(kept_chars) AS chars FROM wins WHERE start >= 0 GROUP BY 1),
+said AS (
+  SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY nth), '') AS learnt
+  FROM spans GROUP BY 1)
+SELECT s.conv_id, n_turns, turns_sha256, length(learnt)::BIGINT AS loss_chars, sha256(learnt) AS loss_sha256,
+       (s.chars + coalesce(a.chars, 0) + coalesce(l.chars, 0))::BIGINT AS formatted_chars
+FROM said s LEFT JOIN again a ON a.conv_id = s.conv_id LEFT JOIN led_in l ON l.conv_id = s.conv_id
+"""
+
 
 def _op12(rounds: int = 4) -> str:
     """Plain Lloyd rounds, a pair of CTEs each."""
@@ -130,4 +174,4 @@ FROM numbered k JOIN coded USING (n), digest
 """
 
 
-ORACLE_SQL = {"op2_line_dedup": OP2, "op8_near_dedup": OP8, "op9_topk": OP9, "op11_divergence": OP11, "op12_codes": _op12()}
+ORACLE_SQL = {"op2_line_dedup": OP2, "op8_near_dedup": OP8, "op9_topk": OP9, "op11_divergence": OP11, "op12_codes": _op12(), "op13_chat": OP13}
