@@ -116,6 +116,11 @@ class Best:
             self._keep(found)
 
     def _keep(self, found: np.ndarray) -> None:
+        """The k best ids of each query, each with its best score; the kth counts distinct ids."""
+        found = found[:, np.lexsort((~found[1], found[2], found[0]))]
+        new = (np.diff(found[0], prepend=-1) != 0) | (np.diff(found[2], prepend=0) != 0)
+        new[:1] = True
+        found = found[:, new]
         found = found[:, np.lexsort((found[2], ~found[1], found[0]))]  # ~s falls as s rises, without overflow
         start = np.flatnonzero(np.diff(found[0], prepend=-1))
         nth = np.arange(found.shape[1]) - np.repeat(start, np.diff(np.append(start, found.shape[1])))

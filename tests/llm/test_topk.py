@@ -110,3 +110,24 @@ def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r["vec_id"], [math.floor(256 * x) for x in r["embedding"]]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(map(tuple, op9_topk(spark, sf).collect())) == brute(rows, [r for r in rows if r[0] % 50 == 0], 5)
+
+
+@pytest.mark.parametrize("shard_rows,block_bytes", [(10_000, 1 << 20), (23, 8 * 6 * 9), (1, 1 << 20)])
+def test_ids_with_several_vectors(spark, shard_rows, block_bytes):
+    """An id of one to seven vectors takes one place, with its best score, also as a query."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-9, 9, 6).tolist()) for i in range(0, 120) for _ in range(1 + i % 7)]
+    rows += [(7, [9 + k, 9, 9, 9, 9, 9]) for k in range(6)] + [(50, [9] * 6)] + rows[:20]
+    queries = [r for r in rows if r[0] % 50 == 0]
+    best = {}
+    for qi, qv in queries:
+        for i, v in rows:
+            if i != qi:
+                best[qi, i] = max(best.get((qi, i), -(1 << 62)), sum(a * b for a, b in zip(qv, v, strict=True)))
+    want = []
+    for q in {qi for qi, _ in queries}:
+        scored = sorted((-s, i) for (qi, i), s in best.items() if qi == q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:5], 1)]
+    assert run(spark, rows, queries, 5, shard_rows=shard_rows, block_bytes=block_bytes) == sorted(want)
+    few = [(7, [k, 1]) for k in range(6)] + [(8, [0, 1]), (9, [0, 1]), (50, [1, 1])]
+    assert run(spark, few, few[-1:], 5) == [(50, 1, 7, 6), (50, 2, 8, 1), (50, 3, 9, 1)]
