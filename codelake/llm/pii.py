@@ -7,7 +7,8 @@ distinct (kind, value) gets a surrogate from an HMAC stream, which takes the for
 its separators, its case. Kinds, scripts and genders stay, as do valid check digits. So one value
 has one surrogate in all documents, however it is written, and ``Mr John Smith``, ``JOHN SMITH`` and
 ``Mr. Smith`` stay one person. Two values never share one: surrogates are compared over the whole
-corpus, and with the values that really occur, and all but one of a clash draw again.
+corpus, and with the values that really occur, and all but one of a clash draw again. A given name has
+one gender in the whole corpus: that which most of its forms of address, or the lists, tell.
 """
 
 from __future__ import annotations
@@ -266,31 +267,35 @@ def _replace(batches):
 
 
 def assign(entities: DataFrame, key: bytes, max_turns: int = 40) -> DataFrame:
-    """kind, value, surrogate for distinct (kind, value) rows, without clashes.
+    """kind, value, surrogate for distinct rows of (kind, value, gender), without clashes.
 
     In each turn all open values draw; a draw is taken if it is no real value of the corpus and
-    not taken before, by the smallest value that drew it."""
-    real = entities.select("kind", "value").distinct()
+    not taken before, by the smallest value that drew it. Given and family names are one space here:
+    no name stands for two, and none for a name that occurs."""
+    space = F.when(F.col("kind").isin("given", "family"), "name").otherwise(F.col("kind")).alias("space")
+    own = entities.select(space, "kind", "value", "gender")
+    real = own.select("space", F.col("value").alias("surrogate")).distinct()
 
     def drawn(turn: int):
         def run(batches):
             for b in batches:
-                made = [surrogate(key, k, v, turn) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())], names=["kind", "value", "surrogate"])
+                rows = zip(*(b.column(c).to_pylist() for c in ("kind", "value", "gender")), strict=True)
+                made = [surrogate(key, f"given-{g}" if k == "given" else k, v, turn) for k, v, g in rows]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("space", "kind", "value")), pa.array(made, pa.string())], names=["space", "kind", "value", "surrogate"])
 
         return run
 
-    taken, left = None, real
+    taken, left = None, own
     for turn in range(max_turns):
-        tried = left.mapInArrow(drawn(turn), "kind string, value string, surrogate string")
-        tried = tried.join(real.select("kind", F.col("value").alias("surrogate")), ["kind", "surrogate"], "left_anti")
+        tried = left.mapInArrow(drawn(turn), "space string, kind string, value string, surrogate string")
+        tried = tried.join(real, ["space", "surrogate"], "left_anti")
         if taken is not None:
-            tried = tried.join(taken.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = materialize(tried.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate"), "surrogates")
+            tried = tried.join(taken.select("space", "surrogate"), ["space", "surrogate"], "left_anti")
+        won = materialize(tried.groupBy("space", "surrogate").agg(F.min(F.struct("kind", "value")).alias("v")).select("space", "v.kind", "v.value", "surrogate"), "surrogates")
         taken = won if taken is None else taken.unionByName(won)
         left = materialize(left.join(won.select("kind", "value"), ["kind", "value"], "left_anti"), "open-entities")
         if not left.take(1):
-            return taken
+            return taken.drop("space")
     raise RuntimeError("some entities found no free surrogate; widen the formats or the name lists")
 
 
@@ -311,7 +316,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     Columns: doc_id, n_entities, kinds (distinct, sorted, comma-joined), spans (array of start,
     length, kind, surrogate; places are code points of the original text), text (replaced).
     Equal values get equal surrogates everywhere, different ones different surrogates, and no
-    surrogate is a value that really occurs. ``key`` decides all draws; who knows it can tell
+    surrogate is a value that really occurs; given and family names count together in this. ``key`` decides all draws; who knows it can tell
     which surrogate a guessed value has, so it is to be kept secret.
 
     Null text: null text, no entities. Empty text: stays. Null doc_id: handled like others.
@@ -321,7 +326,13 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scanned = materialize(rows.mapInArrow(_scan, f"row long, doc_id long, text string, n int, parts array<{PART}>"), "scanned")
     parts = scanned.filter("n > 0").select("row", F.inline("parts"))
-    counts = materialize(parts.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")), "entities")
+    # a given name is one value whatever stands before it; its gender is what most of its places tell
+    given = F.startswith("kind", F.lit("given"))
+    parts = parts.withColumns({"gender": F.when(given, F.substring("kind", -1, 1)), "kind": F.when(given, "given").otherwise(F.col("kind"))})
+    tells = lambda g: F.count_if(F.col("gender") == g)
+    counts = parts.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), tells("m").alias("m"), tells("f").alias("f"))
+    gender = F.when((F.col("m") > 0) & (F.col("m") >= F.col("f")), "m").when(F.col("f") > 0, "f").otherwise("n")
+    counts = materialize(counts.select("kind", "value", "n", gender.alias("gender")), "entities")
     named = _looked_up(parts, assign(counts, key), counts)
     named = named.groupBy("row").agg(F.collect_list(F.struct("start", "length", "entity", "kind", "surrogate")).alias("parts"))
     dirty = scanned.filter("n > 0").select("row", "doc_id", "text").join(named, "row").select("doc_id", "text", "parts")

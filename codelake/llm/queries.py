@@ -64,7 +64,8 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key is that of ``spark.codelake.pii.key``; without one, a key of this run that nobody learns."""
+    """The key is that of ``spark.codelake.pii.key``; without one, a key of this run that nobody
+    learns, so that surrogates of two runs don't agree. Who loads a corpus in several runs sets the key."""
     key = (spark.conf.get("spark.codelake.pii.key", None) or "").encode() or secrets.token_bytes(32)
     return pii.pseudonymise(_table(spark, sf_dir, "documents"), key)
 
