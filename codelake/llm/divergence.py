@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .line_dedup import LOWER, UPPER
 from .store import materialize
 
-#: Runs of ASCII letters and of all characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Runs of ASCII letters and of all characters beyond ASCII: ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+``.
+#: Said by what it holds, as Java takes ten times as long for the negated class.
+TERM = r"[A-Za-z\x{80}-\x{10FFFF}]+"
 #: Parts of a language's vocabulary that groups are crossed with.
 SALTS = 64
 #: One, in the whole numbers that stand for shares.

@@ -12,7 +12,7 @@ LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def brute(rows, min_docs=10, top=10):
-    docs = [(r[2] or "", r[3] or "", re.findall(divergence.TERM, (r[1] or "").translate(LOW))) for r in rows]
+    docs = [(r[2] or "", r[3] or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (r[1] or "").translate(LOW))) for r in rows]
     groups, held, n = sorted({d[:2] for d in docs}), Counter(), defaultdict(Counter)
     for lang, source, t in docs:
         held.update((lang, x) for x in set(t))
