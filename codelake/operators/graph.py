@@ -6,28 +6,16 @@ short and a lost executor costs no round.
 
 from __future__ import annotations
 
-import atexit
-import itertools
-import re
-import shutil
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import components as _components
+from .elimination import LEVEL, solve
+from .scratch import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):  # local-cluster has machines of its own
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        own = tempfile.mkdtemp(prefix="codelake-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        base = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+cycles = _components.cycles
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -61,85 +49,18 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, max_rounds: int =
     raise RuntimeError(f"the closure did not end within {max_rounds} rounds")
 
 
-def _trimmed(links: DataFrame) -> DataFrame:
-    """Links without those that no cycle can pass: a node that nothing enters or leaves goes, again and again."""
-    n = -1
-    while (now := links.count()) != n:
-        n = now
-        into, out = links.select(F.col("dst").alias("src")).distinct(), links.select(F.col("src").alias("dst")).distinct()
-        links = _cut(links.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
-    return links
-
-
 def cycle_members(edges: DataFrame) -> DataFrame:
-    """id of every node that reaches itself: the strongly connected components of several nodes.
-
-    Links are trimmed; each node takes the largest id that reaches it; and the nodes of one such
-    colour that reach the node which gave it are a component. These go, and what is left is
-    treated alike. No table has more rows than links, unlike the pairs of a closure."""
-    links = edges.select("src", "dst").distinct()
-    out = _cut(links.filter("src = dst").select(F.col("src").alias("id")))
-    links = links.filter("src <> dst")
-    while (links := _trimmed(links)).take(1):
-        colours = _cut(links.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id")))
-        while True:
-            step = links.join(colours.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), F.col("c").alias("d")).groupBy("id").agg(F.max("d").alias("d"))
-            now = _cut(colours.join(step, "id", "left").select("id", F.greatest("c", "d").alias("n"), "c"))
-            colours = now.select("id", F.col("n").alias("c"))
-            if not now.filter("n <> c").take(1):
-                break
-        same = links.join(colours.select(F.col("id").alias("src"), "c"), "src").join(colours.select(F.col("id").alias("dst"), "c"), ["dst", "c"])
-        same = _cut(same)
-        found = front = _cut(colours.filter("id = c"))
-        while front.take(1):
-            back = same.join(front.withColumnRenamed("id", "dst"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct()
-            front = _cut(back.join(found, ["id", "c"], "left_anti"))
-            found = found.unionByName(front)
-        found = _cut(found)
-        several = found.groupBy("c").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("c")
-        out = out.unionByName(found.join(several, "c", "left_semi").select("id"))
-        gone = found.select("id")
-        links = _cut(links.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
-    return out.distinct()
-
-
-def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
-    """cycle: each elementary cycle once, from its smallest node on, closed by it again; only those
-    of up to ``max_length`` nodes if that is given. Paths only visit nodes above their start, so no
-    rotation arises twice, and none visits a node twice, so the search ends."""
-    links = _cut(edges.select("src", "dst").distinct())
-    paths = links.filter("src <= dst").select(F.array("src", "dst").alias("path"))
-    found = None
-    for n in itertools.count(1):
-        paths = _cut(paths)
-        closed = paths.filter(F.element_at("path", -1) == F.col("path")[0])
-        found = closed if found is None else found.unionByName(closed)
-        open_ = paths.filter(F.element_at("path", -1) != F.col("path")[0])
-        if n == max_length or not open_.take(1):
-            break
-        step = open_.select("path", F.element_at("path", -1).alias("src")).join(links, "src")
-        fresh = (F.col("dst") == F.col("path")[0]) | ((F.col("dst") > F.col("path")[0]) & ~F.array_contains("path", F.col("dst")))
-        paths = step.filter(fresh).select(F.concat("path", F.array("dst")).alias("path"))
-    return found.select(F.col("path").alias("cycle"))
+    """id of every node that reaches itself: members of components of several nodes, and nodes with a link to themselves."""
+    labels = _components.components(edges)
+    several = labels.groupBy("component").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("component")
+    loops = edges.filter("src = dst").select(F.col("src").alias("id"))
+    return labels.join(several, "component", "left_semi").select("id").unionByName(loops).distinct()
 
 
 def topological_levels(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """node, level: 0 for nodes that depend on nothing, else one more than the highest of what they
     depend on. Nodes on or above a cycle have no level and are left out."""
-    links = _cut(edges.select("src", "dst").distinct())
-    nodes = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node")))
-    if vertices is not None:
-        nodes = nodes.unionByName(vertices.select(F.col("id").alias("node")))
-    left, done, level = _cut(nodes.distinct()), None, 0
-    while True:
-        ready = _cut(left.join(links.select(F.col("src").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
-        if not ready.take(1):
-            return ready if done is None else done
-        done = ready if done is None else done.unionByName(ready)
-        gone = ready.select("node")
-        left = _cut(left.join(gone, "node", "left_anti"))
-        links = _cut(links.join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-        level += 1
+    return solve(edges, {"level": LEVEL}, vertices)
 
 
 def entry_nodes(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -154,7 +75,8 @@ def leaf_nodes(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def call_chains(edges: DataFrame, start=None, max_depth: int = 10) -> DataFrame:
     """chain: every path from ``start`` (or each node that is called by none) to a node that calls
-    nothing. Branches that return to a node on the path, or are longer than ``max_depth``, go."""
+    nothing. Branches that return to a node on the path, or are longer than ``max_depth``, go; see
+    ``chains`` for exact numbers and for chains of any length by their rank."""
     links = _cut(edges.select("src", "dst").distinct())
     ends = links.select("src").distinct()
     if start is None:

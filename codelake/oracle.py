@@ -135,6 +135,27 @@ O["cycles"] = f"""WITH RECURSIVE {TRANSITIONS}, walk AS (SELECT [src, dst] AS p
 O["cycle_members"] = f"WITH RECURSIVE {TRANSITIONS}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT DISTINCT src AS id FROM reach WHERE src = dst"
 O["call_chains"] = f"""WITH {HIERARCHY}, r AS (SELECT * FROM edges WHERE src NOT IN (SELECT dst FROM edges))
  SELECT a.src || '>' || a.dst || '>' || b.dst AS chain FROM r a JOIN edges b ON a.dst = b.src UNION ALL SELECT src || '>' || dst FROM r WHERE dst NOT IN (SELECT src FROM edges)"""
+HISTORY = """ranked AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+ edges AS (SELECT a.k AS src, b.k AS dst FROM ranked a JOIN ranked b ON a.c = b.c AND b.i < a.i AND b.i IN (a.i - 1, 1))"""
+O["strong_components"] = """WITH RECURSIVE o AS (SELECT o_custkey || ':' || o_orderpriority[1] AS n, lead(o_custkey || ':' || o_orderpriority[1]) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS m FROM orders),
+ edges AS (SELECT DISTINCT n AS src, m AS dst FROM o WHERE m IS NOT NULL),
+ reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src),
+ nodes AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges)
+ SELECT n.id, least(n.id, coalesce(min(a.dst), n.id)) AS component FROM nodes n LEFT JOIN (SELECT a.* FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src) a ON a.src = n.id GROUP BY n.id"""
+O["history_levels"] = f"""WITH RECURSIVE {HISTORY}, walk AS (SELECT k AS node, 0 AS l FROM ranked WHERE i = 1 UNION SELECT e.src, l + 1 FROM walk w JOIN edges e ON e.dst = w.node)
+ SELECT node, max(l)::BIGINT AS level FROM walk WHERE node IN (SELECT src FROM edges UNION SELECT dst FROM edges) GROUP BY 1"""
+WAYS = """ways AS (SELECT c, k, i, 1::BIGINT AS n FROM ranked WHERE i = 1
+ UNION ALL SELECT r.c, r.k, r.i, w.n + CASE WHEN r.i > 2 THEN 1 ELSE 0 END FROM ways w JOIN ranked r ON r.c = w.c AND r.i = w.i + 1)"""
+O["chain_counts"] = f"""WITH RECURSIVE {HISTORY}, {WAYS}
+ SELECT k AS node, n FROM ways WHERE k IN (SELECT src FROM edges UNION SELECT dst FROM edges)"""
+O["last_chain"] = f"""WITH RECURSIVE {HISTORY}, tops AS (SELECT c, max_by(k, i) AS k, max(i) AS i FROM ranked GROUP BY c HAVING max(i) > 1),
+ {WAYS},
+ down AS (SELECT src, max(dst) AS dst FROM edges GROUP BY src),
+ walk AS (SELECT k AS start, k AS here, k::VARCHAR AS chain FROM tops UNION ALL SELECT start, d.dst, chain || '>' || d.dst FROM walk w JOIN down d ON d.src = w.here)
+ SELECT w.start, n - 1 AS rank, chain FROM walk w JOIN ways y ON y.k = w.start WHERE here NOT IN (SELECT src FROM edges)"""
+O["reachable_pairs"] = f"""WITH RECURSIVE {HISTORY}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src),
+ asked AS (SELECT o.k AS src, f.k AS dst FROM ranked o JOIN ranked f ON f.i = 1 AND f.c IN (o.c, o.c + 1))
+ SELECT DISTINCT a.src, a.dst, r.src IS NOT NULL AND a.src <> a.dst AS reached FROM asked a LEFT JOIN reach r ON r.src = a.src AND r.dst = a.dst"""
 O["graph_export"] = f"""WITH {HIERARCHY}, o AS (SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS d FROM edges GROUP BY 1), i AS (SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS d FROM edges GROUP BY 1)
  SELECT v.id, coalesce(o.d, '') AS dependencies, coalesce(i.d, '') AS dependents FROM verts v LEFT JOIN o ON o.id = v.id LEFT JOIN i ON i.id = v.id"""
 O["cache_keys"] = "SELECT doc_id, lang || ':' || sha256(text) AS content_key, md5(lang || ':' || lang || ':' || sha256(text)) AS cache_key FROM documents"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths, quality, text
-from .operators import facts, graph, joins, metrics, rank, rewrite
+from .operators import chains, components, facts, graph, joins, metrics, rank, rewrite
 from .plans import diagrams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,6 +295,60 @@ def call_chains(spark, sf_dir):
     return graph.call_chains(_hierarchy(spark, sf_dir)).select(F.array_join("chain", ">").alias("chain"))
 
 
+def _order_history(spark, sf_dir) -> DataFrame:
+    """An order depends on the customer's last order before it, and on the first one."""
+    from pyspark.sql import Window
+
+    orders = table(spark, sf_dir, "orders")
+    before = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    both = orders.select(F.col("o_orderkey").alias("src"), F.array(F.lag("o_orderkey").over(before), F.first("o_orderkey").over(before)).alias("dst"))
+    return both.select("src", F.explode(F.array_compact("dst")).alias("dst")).filter("src <> dst").distinct()
+
+
+def _priority_turns(spark, sf_dir) -> DataFrame:
+    """From an order's priority to that of the customer's next order; nodes are a customer's priorities."""
+    from pyspark.sql import Window
+
+    orders = table(spark, sf_dir, "orders")
+    node = F.concat_ws(":", F.col("o_custkey").cast("string"), F.substring("o_orderpriority", 1, 1))
+    after = F.lead(node).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return orders.select(node.alias("src"), after.alias("dst")).filter("dst is not null").distinct()
+
+
+@query
+def strong_components(spark, sf_dir):
+    return components.components(_priority_turns(spark, sf_dir))
+
+
+@query
+def history_levels(spark, sf_dir):
+    return graph.topological_levels(_order_history(spark, sf_dir))
+
+
+@query
+def chain_counts(spark, sf_dir):
+    return chains.chain_counts(_order_history(spark, sf_dir)).select("node", F.col("n").cast("long").alias("n"))
+
+
+@query
+def last_chain(spark, sf_dir):
+    """The last chain of each customer's latest order, drawn by its rank."""
+    links = _order_history(spark, sf_dir)
+    tops = links.join(links.select(F.col("dst").alias("src")), "src", "left_anti").select("src").distinct()
+    counts = chains.chain_counts(links).withColumnRenamed("node", "src")
+    wanted = tops.join(counts, "src").select(F.col("src").alias("start"), (F.col("n") - 1).cast("long").alias("rank"))
+    return chains.chains_at(links, wanted).select("start", "rank", F.array_join(F.transform("chain", lambda c: c.cast("string")), ">").alias("chain"))
+
+
+@query
+def reachable_pairs(spark, sf_dir):
+    """Does an order go back to the customer's first one, and to that of the next customer?"""
+    orders = table(spark, sf_dir, "orders")
+    first = orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("dst"))
+    asked = orders.select(F.col("o_orderkey").alias("src"), F.explode(F.array("o_custkey", F.col("o_custkey") + 1)).alias("o_custkey")).join(first, "o_custkey").select("src", "dst")
+    return components.reaches(_order_history(spark, sf_dir), asked)
+
+
 @query
 def graph_export(spark, sf_dir):
     edges = _hierarchy(spark, sf_dir)
