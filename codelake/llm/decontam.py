@@ -187,8 +187,9 @@ def latent_space(encoded: DataFrame, idf: np.ndarray, narrow: np.dtype, slot: np
     shares = encoded.select("words").mapInArrow(_sketch(omega.astype(np.float32), idf, narrow, slot), "term long, y array<double>")
     summed = shares.groupBy("term").agg(F.array(*[F.sum(F.col("y")[k]) for k in range(width)]).alias("y"))
     y = np.zeros((size, width))
-    for r in summed.toLocalIterator():  # a row for each term, SLOTS at most
-        y[r["term"]] = r["y"]
+    found = summed.toArrow()  # a row for each term, SLOTS at most, in one job
+    if found.num_rows:
+        y[found.column("term").to_numpy()] = found.column("y").combine_chunks().flatten().to_numpy().reshape(-1, width)
     shift = 1e-7 * max(np.linalg.norm(y), 1e-12)
     y += shift * omega
     core = omega.T @ y
@@ -502,7 +503,7 @@ def contaminated(
     items = materialize(items.groupBy("item_id").agg(F.min("text").alias("text")).orderBy("item_id"), "items")
 
     def blocks(vocab):
-        rows = ((r["item_id"], r["text"]) for r in items.orderBy("item_id").toLocalIterator())
+        rows = ((r["item_id"], r["text"]) for r in items.toLocalIterator())  # a file or several at a time
         return read_items(rows, vocab, least_words, block_words)
 
     out, vocab = docs.sparkSession.createDataFrame([], MATCHES), {}
@@ -513,13 +514,11 @@ def contaminated(
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run, narrow = _encode(vocab)
     encoded = materialize(texts.mapInArrow(run, "doc_id long, words binary"), "words")
-    df, n_docs = np.zeros(size), 0
     counts = encoded.select("words").mapInArrow(_frequencies(size, narrow), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    for r in counts.toLocalIterator():  # a row for each word of the benchmark
-        if r["term"] == size:
-            n_docs = r["n"]
-        else:
-            df[r["term"]] = r["n"]
+    counted = counts.toArrow()  # a row for each word of the benchmark, in one job
+    df = np.zeros(size + 1)
+    df[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    df, n_docs = df[:-1], int(df[-1])
     by_term = np.bincount(slot[:-1], weights=df, minlength=slot[-1])
     # the third power: what tells passages apart is rare words, not how often common ones stand in them
     idf = np.maximum(np.log((n_docs + 1) / (np.minimum(by_term, n_docs) + 0.5)), 0.05) ** 3
