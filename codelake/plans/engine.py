@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions.text import safe_output_name
 from ..operators import examples, extraction, facts, graph, metrics, rank, rewrite
 from ..sources.providers import NullProvider, Provider
 from ..sources.tree import config_examples, config_files, read_tree
-from . import diagrams
+from . import diagrams, outline
 from .markdown import Markdown, write
 
 
@@ -109,106 +110,40 @@ def artifacts(p: Project) -> DataFrame:
     return out
 
 
-def _bullets(rows, form) -> str:
-    return "\n".join("- " + form(r) for r in rows)
-
-
-def code_analysis(p: Project, files: int = 10) -> str:
-    """The most important files with their first classes, functions and imports, as Markdown."""
-    top = rank.top_files(p.summaries, files)
-    chosen = F.broadcast(top.select("path"))
-    listed = lambda df, cols, order, n: df.join(chosen, "path", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list(F.struct(order, *cols))), 1, n).alias("rows"))
-    get = lambda df: {r["path"]: r for r in df.collect()}  # at most `files` rows
-    classes = get(listed(p.classes, ["name", "description", "n_methods"], "ord", 3))
-    functions = get(listed(p.symbols.filter("class_name is null"), ["name", "signature", "description"], "ord", 5))
-    imports = get(listed(p.imports, ["module"], "line", 5))
-    out = []
-    for r in top.collect():
-        out.append(f"\n## File: {r['path'].rpartition('/')[2]}")
-        if r["summary"]:
-            out.append(f"**Purpose:** {r['summary'][:200]}")
-        if r["path"] in classes:
-            c = classes[r["path"]]
-            out += [f"\n**Classes ({c['n']}):**", _bullets(c["rows"], lambda x: f"`{x['name']}`: {(x['description'] or '')[:100]} ({x['n_methods']} methods)")]
-        if r["path"] in functions:
-            f = functions[r["path"]]
-            out += [f"\n**Functions ({f['n']}):**", _bullets(f["rows"], lambda x: f"`{x['name']}{x['signature']}`: {(x['description'] or '')[:100]}")]
-        if r["path"] in imports:
-            out.append("\n**Key Imports:** " + ", ".join(x["module"] for x in imports[r["path"]]["rows"]))
-    return "\n".join(out)
-
-
-def component_breakdown(p: Project, files: int = 12) -> str:
-    """The most important files in detail: classes with attributes and public methods, public
-    functions with parameters, external and internal imports, each up to a number."""
-    top = rank.top_files(p.summaries, files)
-    chosen = F.broadcast(top.select("path"))
-
-    def listed(df: DataFrame, order: str, cols: list[str], keys: list[str]) -> dict:
-        """Rows in order by key; only the chosen files' rows are collected."""
-        rows = df.join(chosen, "path", "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("rows"))
-        return {tuple(r[k] for k in keys): r["rows"] for r in rows.collect()}
-
-    names = F.transform("parameters", lambda x: x["name"]).alias("params")
-    shown = p.symbols.select("path", "class_name", "ord", "name", "signature", "description", F.col("returns.type").alias("returns"), names)
-    fields = ["name", "signature", "description", "returns", "params"]
-    classes = listed(p.classes, "ord", ["name", "description", "extends"], ["path"])
-    methods = listed(shown.filter("class_name is not null"), "ord", fields, ["path", "class_name"])
-    functions = listed(shown.filter("class_name is null"), "ord", fields, ["path"])
-    attributes = listed(p.variables.filter("kind = 'attribute'"), "line", ["name"], ["path", "owner"])
-    imports = listed(p.classified_imports, "line", ["module", "kind"], ["path"])
-    out = ["\n## DETAILED COMPONENT BREAKDOWN\n"]
-    for r in top.collect():
-        key = (r["path"],)
-        out.append(f"\n### Component: {r['path'].rpartition('/')[2]} (`{'/'.join(r['path'].split('/')[-3:])}`)")
-        if r["summary"]:
-            out.append(f"\n**Purpose**: {r['summary'][:300]}")
-        if key in classes:
-            out.append(f"\n**Classes ({len(classes[key])}):**\n")
-            for c in classes[key][:3]:
-                base = f" extends {c['extends']}" if c["extends"] else ""
-                out.append(f"- **`{c['name']}`**{base}: {(c['description'] or '')[:150]}")
-                own = attributes.get((r["path"], c["name"]), [])
-                if own:
-                    out.append("  - Attributes: " + ", ".join(a["name"] for a in own[:5]))
-                members = methods.get((r["path"], c["name"]), [])
-                if members:
-                    out.append("  - Key Methods:")
-                    out += [f"    - `{m['name']}{m['signature']}`: {(m['description'] or '')[:80]}" for m in members[:4] if not m["name"].startswith("_")]
-        public = [f for f in functions.get(key, []) if not f["name"].startswith("_")]
-        if public:
-            out.append(f"\n**Public Functions ({len(public)}):**\n")
-            for f in public[:6]:
-                out.append(f"- **`{f['name']}{f['signature']}`** → `{f['returns']}`")
-                if f["description"]:
-                    out.append(f"  - {f['description'][:150]}")
-                if f["params"]:
-                    out.append("  - Parameters: " + ", ".join(f["params"][:4]))
-        for kind, title in (("external", "External Dependencies"), ("internal", "Internal Dependencies")):
-            used = [i["module"] for i in imports.get(key, []) if i["kind"] == kind]
-            if used:
-                out.append(f"\n**{title}**: " + ", ".join(used[:4]))
-    return "\n".join(out)
+def file_outline(p: Project, files: int = 10, facts: int = 8) -> DataFrame:
+    """The facts of the most important files, a row each."""
+    return outline.outline(p.summaries, p.classes, p.symbols, p.variables, p.classified_imports, files, facts)
+
+
+def overview(p: Project, limit: int = 20) -> DataFrame:
+    """topic, ord, fact: what is known of the project as a whole, ``limit`` rows a topic at most."""
+    said = lambda topic, df, order, fact: df.orderBy(*order).limit(limit).select(F.lit(topic).alias("topic"), F.monotonically_increasing_id().alias("ord"), fact.alias("fact"))
+    stats, arch, tests = p.statistics, p.architecture, p.testing
+    counts = F.format_string("%s files, %s functions, %s classes, about %s lines", *(F.col(c).cast("string") for c in ("total_files", "total_functions", "total_classes", "estimated_lines")))
+    one = [F.lit(1)]
+    rows = [
+        said("pattern", arch, one, F.concat("primary_pattern", F.lit(": "), "description")),
+        said("size", stats, one, counts),
+        said("language", p.languages, ["language"], F.col("language")),
+        said("framework", p.frameworks, ["name"], F.col("name")),
+        said("feature", p.features, ["ord"], F.col("feature")),
+        said("entry point", p.entry_points, ["file_ord", "label_ord"], F.concat("description", F.lit(": `"), "path", F.lit("`"))),
+        said("package", p.dependencies.select(F.explode("external_packages").alias("name")), ["name"], F.col("name")),
+        said("setting", p.config_files, ["ord"], F.concat(F.lit("`"), "file", F.lit("`: "), "description")),
+        said("tests", tests, one, F.concat(F.col("test_count").cast("string"), F.lit(" files; "), F.array_join("frameworks", ", "))),
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def readme_prompt(p: Project) -> str:
-    """What a provider is told about the project."""
-    arch, stats, deps, tests = (p.tables[t].first() for t in ("architecture", "statistics", "dependencies", "testing"))
-    listed = lambda t, c: [r[c] for r in p.tables[t].collect()]  # small fact tables
-    entries = p.entry_points.orderBy("file_ord", "label_ord").limit(20).collect()
-    config = p.config_files.orderBy("ord").collect()
-    m = Markdown().add_lines("Write a README for developers from these facts only. Use real paths and names, no placeholders.", "")
-    m.add_heading("PROJECT ANALYSIS DATA").add_lines(f"**Project Name:** {p.name}", "", f"**Architecture:** {arch['primary_pattern']}", arch["description"], "")
-    m.add_lines("**Technology Stack:**", f"- Languages: {', '.join(listed('languages', 'language')) or 'Unknown'}", f"- Frameworks: {', '.join(listed('frameworks', 'name')) or 'None detected'}", "")
-    m.add_lines("**Project Statistics:**", f"- Total Files: {stats['total_files']}", f"- Functions: {stats['total_functions']}", f"- Classes: {stats['total_classes']}", f"- Lines of Code: ~{stats['estimated_lines']}", "")
-    m.add_lines("**Key Features:**", _bullets(p.features.orderBy("ord").collect(), lambda r: r["feature"]) or "- Features to be derived from code analysis", "")
-    m.add_lines("**Entry Points:**", _bullets(entries, lambda r: f"{r['description']}: `{r['path']}`") or "- No specific entry points detected", "")
-    m.add_lines("**Dependencies:**", _bullets(deps["external_packages"][:15], str) or "- No external dependencies", "")
-    m.add_lines("**Configuration:**", _bullets(config, lambda r: f"`{r['file']}`: {r['description']}") or "- No configuration files detected", "")
-    m.add_lines("**Testing:**", f"- Framework: {', '.join(tests['frameworks']) or 'none detected'}", f"- Test Files: {tests['test_count']}", "")
-    m.add_heading("DETAILED CODE ANALYSIS").add_line(code_analysis(p)).add_line(component_breakdown(p))
-    sections = ["Project Header", "What Is This?", "Architecture [Architecture Diagram]", "Project Structure [Folder Structure]", "Key Components", "Getting Started", "API / Usage Examples", *(["Testing"] if tests["test_count"] else []), "Development"]
-    m.add_heading("REQUIRED SECTIONS").add_lines(*(f"{i}. {s}" for i, s in enumerate(sections, 1)))
+    """What a provider is told about the project: a bounded number of facts."""
+    known: dict[str, list[str]] = {}
+    for r in overview(p).orderBy("topic", "ord").collect():
+        known.setdefault(r["topic"], []).append(r["fact"])
+    m = Markdown().add_lines(f"Write the README of the project {p.name}. Use only what is listed here; name no file or function that is not.", "")
+    m.add_heading("Project", 2).add_lines(*(f"- {topic}: {'; '.join(facts)}" for topic, facts in known.items()))
+    m.add_heading("Files", 2).add_lines(outline.text(file_outline(p)).first()["content"], "")
+    m.add_heading("Form", 2).add_lines("Say what the project does, how it is built, how to start and how to use it. Put the line [Architecture Diagram] and the line [Folder Structure] where these belong.")
     return m.build()
 
 
@@ -223,7 +158,7 @@ def template(p: Project) -> str:
     m.add_heading("Architecture", 2).add_paragraph(f"{arch['primary_pattern']}: {arch['description']}").add_paragraph("[Architecture Diagram]")
     m.add_heading("Project Structure", 2).add_paragraph("[Folder Structure]")
     m.add_heading("Dependencies", 2).add_paragraph("[Dependency Diagram]").add_heading("Data Flow", 2).add_paragraph("[Data Flow]")
-    m.add_heading("Key Components", 2).add_paragraph(code_analysis(p))
+    m.add_heading("Key Components", 2).add_paragraph(outline.text(file_outline(p), "####").first()["content"])
     shown = [e for t in ("usage", "api", "cli", "import") for e in p.tables[f"examples_{t}"].collect()]  # a few rows each
     if shown:
         m.add_heading("Examples", 2)

@@ -142,9 +142,12 @@ def test_readme(spark, project, tmp_path):
     path = engine.save_readme(project, str(tmp_path))
     assert path.endswith("Shop_Project/README.md")
     prompt = engine.readme_prompt(project)
-    assert "### Component: core.py (`shop/core.py`)" in prompt and "- **`Box`** extends Base" in prompt and "  - Attributes: size" in prompt and "    - `open()`: " in prompt
-    assert "- **`fetch(u, *, n=1)`** → `Coroutine[str]`" in prompt and "**External Dependencies**: flask" in prompt
-    assert "- Total Files: 11" in prompt and "`shop/api/api_server.py`" in prompt and "Testing" in prompt
+    facts = {(r["path"], r["kind"]): r["fact"] for r in engine.file_outline(project, 12, 9).collect()}
+    assert "`Box` from Base" in facts["shop/core.py", "class"] and facts["shop/core.py", "field"] == "`Box.size`"
+    assert "`Box.open()`" in prompt and "`fetch(u, *, n=1)` gives Coroutine[str]" in prompt and "`flask` (external)" in prompt
+    assert "11 files" in prompt and "`shop/api/api_server.py`" in prompt and "- tests: " in prompt
+    small = engine.file_outline(project, 2, 1)
+    assert small.groupBy("path", "kind").count().filter("count > 1").count() == 0 and small.select("path").distinct().count() == 2
 
     class Fixed:
         def generate(self, system, prompt, temperature=0.2):
