@@ -118,7 +118,10 @@ def _filled(template: str) -> Column:
 
 
 def _files(spark, sf_dir, language: str, template: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").cast("int").alias("file_ord"), F.lit(language).alias("language"), _filled(template).alias("content"))
+    """A file for each part. Parts are dealt to all cores first, as the table may be one partition; its rows are small, the files are made after."""
+    words = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    words = words.repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return words.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").cast("int").alias("file_ord"), F.lit(language).alias("language"), _filled(template).alias("content"))
 
 
 def _parsed(spark, sf_dir, language: str = "python", template: str = PYTHON) -> DataFrame:
@@ -528,7 +531,7 @@ def folder_diagram(spark, sf_dir):
 
 @query
 def class_diagram(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
+    parsed = graph._cut(_parsed(spark, sf_dir))  # the diagram reads them several times
     return diagrams.class_diagram(extraction.classes(parsed), extraction.symbols(parsed), extraction.variables(parsed))
 
 
