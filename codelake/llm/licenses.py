@@ -8,6 +8,9 @@ Ends that no k edits reach are passed over, by the edit distances of the stretch
 stretches are matched once, so that a text full of seeds takes linear time. Texts are matched as
 words joined by single spaces, so punctuation and line breaks are no edits.
 
+Edits are counted in characters: a text is matched with one byte for each code point (see
+:func:`one_byte`), as letters that occur in no notice need not be told apart.
+
 Of the stretches that match a notice, those with the fewest edits come first, then the
 first in the text, then the shortest; one that overlaps an earlier choice is left out.
 """
@@ -47,11 +50,21 @@ NOTICES = [
 SPANS = "array<struct<label:string,first_word:bigint,n_words:bigint,edits:int,matched:string>>"
 
 
-def pieces(notice: str, edits: int) -> list[bytes]:
+def one_byte(text: str, letters: str = "") -> bytes:
+    """One byte for each code point: ASCII as it is, the i-th of the sorted ``letters`` as 128 + i, any other as ``?``."""
+    if not letters or text.isascii():
+        return text.encode("ascii", "replace")
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    known = np.array([ord(c) for c in letters], "<u4")
+    at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+    return np.where(code < 128, code, np.where(known[at] == code, 128 + at, ord("?"))).astype(np.uint8).tobytes()
+
+
+def pieces(notice: str, edits: int, letters: str = "") -> list[bytes]:
     """``edits`` + 1 pieces of nearly equal length that make up the notice."""
     n, k = len(notice), edits + 1
     ends = [i * n // k for i in range(k + 1)]
-    return [notice[a:b].encode() for a, b in zip(ends, ends[1:], strict=False)]
+    return [one_byte(notice[a:b], letters) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def ends_within(notice: bytes, window: bytes, edits: int) -> list[int]:
@@ -81,9 +94,9 @@ class Notice:
 
     MEMORY = 20_000
 
-    def __init__(self, phrase: str, label: str, edits: int):
-        self.phrase, self.label, self.edits, self.parts = phrase.encode(), label, edits, pieces(phrase, edits)
-        self.pattern = regex.compile(rf"(?b)(?:{regex.escape(phrase)}){{e<={edits}}}".encode())
+    def __init__(self, phrase: str, label: str, edits: int, letters: str = ""):
+        self.phrase, self.label, self.edits, self.parts = one_byte(phrase, letters), label, edits, pieces(phrase, edits, letters)
+        self.pattern = regex.compile(b"(?b)(?:%b){e<=%d}" % (regex.escape(self.phrase), edits))
         self.known: dict[bytes, list[tuple[int, int]]] = {}
 
     def starts(self, flat: bytes) -> set[int]:
@@ -122,7 +135,10 @@ class Scanner:
 
     def __init__(self, base: dict[str, str], notices: list[tuple[str, str, int]]):
         self.base = [(f" {p} ".encode(), label) for p, label in base.items()]
-        self.notices = [Notice(*n) for n in notices]
+        self.letters = "".join(sorted({c for phrase, _, _ in notices for c in phrase if ord(c) > 127}))
+        if len(self.letters) > 128:
+            raise ValueError("notices with more than 128 different letters outside ASCII: scan them in several calls")
+        self.notices = [Notice(*n, self.letters) for n in notices]
 
     def scan(self, text: str | None):
         """(number of words, exact places [(word, label)], near spans [(label, word, words, edits, text)])."""
@@ -138,8 +154,9 @@ class Scanner:
         for at, label in sorted(found):  # counted on from place to place
             word, upto = word + flat.count(b" ", upto, at + 1), at + 1
             exact.append((word, label))
-        near: set[tuple[int, str, int, int, bytes]] = set()
-        blanks = None
+        near: set[tuple[int, str, int, int, str]] = set()
+        blanks, whole = None, flat.decode("utf-8", "replace")
+        flat = one_byte(whole, self.letters)  # from here, places are code points
         for notice in self.notices:
             options = [(edits, s, s + n) for s in notice.starts(flat) for n, edits in notice.matches(flat, s)]
             if not options:
@@ -153,8 +170,8 @@ class Scanner:
             for (edits, s, e), a, b in zip(options, first, upto, strict=True):
                 if not any(taken[a:b]):
                     taken[a:b] = b"\1" * (b - a)
-                    near.add((a, notice.label, b - a, edits, flat[s:e]))
-        spans = [(label, w, n, e, t.decode("utf-8", "replace")) for w, label, n, e, t in sorted(near)]
+                    near.add((a, notice.label, b - a, edits, whole[s:e]))
+        spans = [(label, w, n, e, t) for w, label, n, e, t in sorted(near)]
         return len(words), sorted(exact), spans
 
 
@@ -162,8 +179,8 @@ def license_spans(docs: DataFrame, base: dict[str, str] | None = None, notices:
     """One row for each row of ``docs``: ``carry``, n_words, exact and near.
 
     exact: array of (label, first_word, ...) for each place where the words of a base phrase
-    stand one after another; near: the same for notices within their number of edits, with the
-    edits and the matched text; spans of one notice don't overlap. Words count from 0.
+    stand one after another; near: the same for notices within their number of edits (of
+    characters, in any script), with the edits and the matched text; spans of one notice don't overlap. Words count from 0.
 
     Null or empty text: no words, empty arrays. Equal places of two notices: one span for each
     label. Repeated rows: equal results. No rows: none. Further columns are ignored."""

@@ -142,6 +142,28 @@ def test_spans_are_those_of_matching_everywhere(spark):
         assert abs(r["score"] - (1.0 if base[1] else max((1 - d / len(t) for _, _, _, d, t in want), default=0.0))) < 1e-12, text
 
 
+def test_edits_are_characters(spark):
+    """Letters of two, three and four bytes are one edit each; notices may hold such letters themselves."""
+    import random
+
+    notices = [("all rights reserved", "proprietary", 1), ("mozilla public license", "mpl", 2), ("tous droits réservés", "droits", 1), ("保留所有权利 license", "hans", 2)]
+    rng = random.Random(7)
+    texts = ["all rïghts reserved", "mozilla püblìc license", "all rïghts resérved", "mozilla 公blic license", "m🙂zilla public licens", "Tous droits reservés", "保留所🙂权利 licence", "éé 东京 mozılla public license é"]
+    for _ in range(60):
+        notice, _, most = rng.choice(notices)
+        s = list(notice)
+        for _ in range(rng.randint(0, most + 1)):
+            at = rng.randrange(len(s))
+            s[at : at + rng.randint(0, 1)] = rng.choice(("", "é", "东", "🙂", "権", "x"))
+        texts.append(" ".join(rng.choice(("ñandú", "京", "the")) for _ in range(rng.randint(0, 3))) + " " + "".join(s) + " après")
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), notices=notices).collect()
+    for r in rows:
+        near = sorted((s["label"], s["first_word"], s["n_words"], s["edits"], s["matched"]) for s in r["near"])
+        assert near == everywhere(texts[r["doc_id"]], notices), texts[r["doc_id"]]
+    found = {r["doc_id"]: r["labels"] for r in rows}
+    assert [found[i] for i in range(8)] == ["proprietary", "mpl", "", "mpl", "mpl", "droits", "hans", "mpl"]
+
+
 def test_regex_and_table_agree():
     """The filter by edit distances passes over no end that the regex library matches."""
     import random
@@ -188,4 +210,11 @@ def test_query(spark):
     rows = op6_licenses(spark, sf).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute(texts[r["doc_id"]])
+        base = brute(texts[r["doc_id"]])
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == base
+    short = sorted((r["n_words"], r["doc_id"]) for r in rows)[:30]  # every run of words against every notice is slow
+    by = {r["doc_id"]: r for r in rows}
+    for _, i in short + sorted((r["n_words"], r["doc_id"]) for r in rows if r["labels"] and r["n_words"] < 300)[:25]:
+        near, base, r = everywhere(texts[i], licenses.NOTICES), brute(texts[i]), by[i]
+        assert r["labels"] == ",".join(sorted({x[0] for x in near} | set(filter(None, base[4].split(",")))))
+        assert abs(r["score"] - (1.0 if base[1] else max((1 - d / len(t) for _, _, _, d, t in near), default=0.0))) < 1e-12
