@@ -119,6 +119,11 @@ O["cohesion"] = """WITH s AS (SELECT DISTINCT s_suppkey % 20 AS module, s_nation
  m AS (SELECT DISTINCT module FROM s)
  SELECT coalesce(m.module, h.module) AS module, coalesce(internal_refs, 0) AS internal_refs, coalesce(total_refs, 0) AS total_refs,
   CASE WHEN m.module IS NULL THEN 0.0 WHEN coalesce(total_refs, 0) = 0 THEN 1.0 ELSE internal_refs / total_refs END AS cohesion FROM m FULL JOIN h ON m.module = h.module"""
+O["xref_search"] = """
+WITH u AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem)
+SELECT s_suppkey AS query, 'o:' || a.l_orderkey AS used_by
+FROM supplier JOIN u a ON a.l_suppkey = s_suppkey JOIN u b ON b.l_suppkey = s_suppkey + 1 AND a.l_orderkey = b.l_orderkey"""
+O["xref_counts"] = "SELECT l_partkey::VARCHAR AS ref, count(DISTINCT l_orderkey) AS n_users FROM lineitem GROUP BY 1"
 O["xref_index"] = "SELECT DISTINCT l_partkey::VARCHAR AS ref, 'o:' || l_orderkey AS used_by FROM lineitem"
 O["data_sources"] = f"WITH {SYMBOLS} SELECT file_path, name FROM users u WHERE type = 'function' AND EXISTS (SELECT 1 FROM calls c WHERE c.user_id = u.user_id AND (contains(call, 'purch') OR contains(call, 'sign')))"
 O["error_calls"] = f"WITH {SYMBOLS} SELECT name, string_agg(call, ',' ORDER BY call) AS calls FROM (SELECT DISTINCT name, call FROM users JOIN calls USING (user_id) WHERE contains(call, 'error')) GROUP BY 1"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths, quality, text
-from .operators import chains, components, facts, graph, joins, metrics, rank, rewrite
+from .operators import chains, components, facts, graph, joins, metrics, postings, rank, rewrite, scratch
 from .plans import diagrams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,6 +212,23 @@ def xref_index(spark, sf_dir):
     return metrics.cross_references(symbols)
 
 
+@query
+def xref_search(spark, sf_dir):
+    """Orders with parts of both a supplier and the next one, by the blocks of the index."""
+    lines = table(spark, sf_dir, "lineitem")
+    uses = lines.select(F.col("l_suppkey").alias("ref"), F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("used_by"))
+    key = F.col("s_suppkey")
+    wanted = table(spark, sf_dir, "supplier").select(key.alias("query"), F.explode(F.array(key, key + 1)).alias("ref"))
+    named = postings.users(uses)
+    return postings.search(scratch.Scratch(spark).result(postings.blocks(uses, named)), wanted, named)
+
+
+@query
+def xref_counts(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("ref"), F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("used_by"))
+    return postings.counts(postings.blocks(lines, postings.users(lines)))
+
+
 def _event_symbols(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("calls"))
     kind = F.when(F.col("user_id") % 3 == 0, "method").otherwise("function")
