@@ -37,9 +37,12 @@ class Project:
             df.createOrReplaceTempView(prefix + name)
 
 
-def build(spark: SparkSession, root: str, name: str | None = None, **options) -> Project:
-    """Scan and parse a folder. The parsed rows are written once to the shared folder, as all tables read them."""
-    files = read_tree(spark, root, **options)
+def build(spark: SparkSession, root: str, name: str | None = None, files: DataFrame | None = None, **options) -> Project:
+    """Scan and parse a folder. The parsed rows are written once to the shared folder, as all tables read them.
+
+    ``files``: the rows of ``sources.scan.scan(spark, root)``, for a root on any file system (configuration
+    files are looked up in local roots only); by default the local folder is read with ``options``."""
+    files = read_tree(spark, root, **options) if files is None else files.withColumn("file_ord", F.col("file_ord").cast("int"))
     files = files.withColumn("path", paths.relative(F.col("path"), root))
     parsed = graph._cut(extraction.parse_files(files))
     out = Project(spark, root, name or root.rstrip("/").rpartition("/")[2])
