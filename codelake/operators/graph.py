@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import components as _components
 from .elimination import LEVEL, solve
+from .numbering import numbered
 from .scratch import shared_folder
 
 cycles = _components.cycles
@@ -94,8 +95,30 @@ def call_chains(edges: DataFrame, start=None, max_depth: int = 10) -> DataFrame:
     return found
 
 
+def adjacency(edges: DataFrame, width: int = 1000) -> DataFrame:
+    """id, direction (``out``: what it depends on, ``in``: what depends on it), block, first, last, n, neighbours.
+
+    Each node's distinct neighbours in order, cut wherever their place in the order of all links is a
+    multiple of ``width``: no row holds more than ``width`` neighbours, and a hub is many rows that many
+    tasks make. Blocks count from 0 in each node and direction; first and last say which of them may
+    hold a neighbour. Nodes without links have no rows. Rows with a null end go."""
+    pairs = edges.select("src", "dst").dropna().distinct()
+    both = pairs.select(F.col("src").alias("id"), F.lit("out").alias("direction"), F.col("dst").alias("to")).unionByName(pairs.select(F.col("dst").alias("id"), F.lit("in").alias("direction"), F.col("src").alias("to")))
+    placed = numbered(both, ["id", "direction", "to"], "_at").withColumn("_part", F.floor(F.col("_at") / width))
+    parts = placed.groupBy("id", "direction", "_part").agg(F.array_sort(F.collect_list("to")).alias("neighbours"))
+    starts = parts.groupBy("id", "direction").agg(F.min("_part").alias("_first"))
+    out = parts.join(starts, ["id", "direction"])
+    return out.select("id", "direction", (F.col("_part") - F.col("_first")).alias("block"), F.get("neighbours", F.lit(0)).alias("first"), F.element_at("neighbours", -1).alias("last"), F.size("neighbours").alias("n"), "neighbours")
+
+
+def export_blocks(blocks: DataFrame) -> DataFrame:
+    """id, direction, block, json of each block of :func:`adjacency`: the JSON form in lines of bounded length."""
+    return blocks.select("id", "direction", "block", F.to_json(F.struct("id", "direction", "block", "neighbours")).alias("json"))
+
+
 def export(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """id, dependencies, dependents (sorted arrays) and json of every vertex."""
+    """id, dependencies, dependents (sorted arrays) and json of every vertex; one row a vertex, so for
+    graphs with hubs of millions of links take :func:`adjacency`."""
     pairs = edges.select("src", "dst").distinct()
     out = pairs.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("dependencies"))
     into = pairs.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_list("src")).alias("dependents"))

@@ -163,6 +163,14 @@ O["reachable_pairs"] = f"""WITH RECURSIVE {HISTORY}, reach AS (SELECT src, dst F
  SELECT DISTINCT a.src, a.dst, r.src IS NOT NULL AND a.src <> a.dst AS reached FROM asked a LEFT JOIN reach r ON r.src = a.src AND r.dst = a.dst"""
 O["graph_export"] = f"""WITH {HIERARCHY}, o AS (SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS d FROM edges GROUP BY 1), i AS (SELECT dst AS id, string_agg(src, ',' ORDER BY src) AS d FROM edges GROUP BY 1)
  SELECT v.id, coalesce(o.d, '') AS dependencies, coalesce(i.d, '') AS dependents FROM verts v LEFT JOIN o ON o.id = v.id LEFT JOIN i ON i.id = v.id"""
+BLOCKS = """e AS (SELECT DISTINCT 'flag:' || l_returnflag AS src, 'p:' || l_partkey AS dst FROM lineitem),
+ b AS (SELECT src AS id, 'out' AS direction, dst AS t FROM e UNION ALL SELECT dst, 'in', src FROM e),
+ p AS (SELECT *, (row_number() OVER (ORDER BY id, direction, t) - 1) // {width} AS part FROM b),
+ g AS (SELECT id, direction, part, min(t) AS first, max(t) AS last, count(*) AS n, list(t ORDER BY t) AS neighbours FROM p GROUP BY 1, 2, 3),
+ k AS (SELECT *, part - min(part) OVER (PARTITION BY id, direction) AS block FROM g)"""
+O["adjacency_blocks"] = f"WITH {BLOCKS.format(width=1000)} SELECT id, direction, block, first, last, n, array_to_string(neighbours, ',') AS neighbours FROM k"
+O["adjacency_json"] = f"""WITH {BLOCKS.format(width=500)}
+SELECT id, direction, block, '{{"id":"' || id || '","direction":"' || direction || '","block":' || block || ',"neighbours":["' || array_to_string(neighbours, '","') || '"]}}' AS json FROM k"""
 O["cache_keys"] = "SELECT doc_id, lang || ':' || sha256(text) AS content_key, md5(lang || ':' || lang || ':' || sha256(text)) AS cache_key FROM documents"
 O["cache_miss"] = "SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE lang = 'en' UNION SELECT md5(text) FROM benchmark)"
 O["dedup_last_wins"] = "SELECT conv_id, role, turn, length(text) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS k FROM conversations) WHERE k = 1"

@@ -373,6 +373,22 @@ def graph_export(spark, sf_dir):
     return graph.export(edges, vertices).select("id", F.array_join("dependencies", ",").alias("dependencies"), F.array_join("dependents", ",").alias("dependents"))
 
 
+def _flagged(spark, sf_dir):
+    """src, dst: return flags (three hubs) and the parts that have them."""
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("flag:"), "l_returnflag").alias("src"), F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("dst"))
+
+
+@query
+def adjacency_blocks(spark, sf_dir):
+    out = graph.adjacency(_flagged(spark, sf_dir), 1000)
+    return out.select("id", "direction", "block", "first", "last", F.col("n").cast("long").alias("n"), F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query
+def adjacency_json(spark, sf_dir):
+    return graph.export_blocks(graph.adjacency(_flagged(spark, sf_dir), 500))
+
+
 # --- joins ---
 
 

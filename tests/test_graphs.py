@@ -127,3 +127,21 @@ def test_pages_are_the_list(spark):
     assert chains.chain_page(df, 6, 0, 5).count() == 0
     assert chains.chain_counts(spark.createDataFrame([], LINKS)).count() == 0
     assert components.components(spark.createDataFrame([], LINKS)).count() == 0
+
+
+def test_adjacency_blocks(spark):
+    """A hub of 300,000 links in rows of bounded length, both directions, against sets."""
+    hub = spark.range(300_000).select(F.lit(-1).cast("long").alias("src"), "id")
+    few = [(-2, 5), (-2, 5), (-2, 7), (3, -2), (None, 1), (4, None), (9, 9)]
+    edges = hub.toDF("src", "dst").unionByName(spark.createDataFrame(few, "src long, dst long"))
+    out = graph.adjacency(edges, 1000)
+    assert out.agg(F.max("n"), F.max(F.size("neighbours"))).first()[:] == (1000, 1000)
+    own = out.filter("id = -1").orderBy("block").collect()
+    assert [r["block"] for r in own] == list(range(len(own))) and 300 <= len(own) <= 301
+    assert [x for r in own for x in r["neighbours"]] == list(range(300_000))
+    assert all((r["first"], r["last"], r["n"]) == (r["neighbours"][0], r["neighbours"][-1], len(r["neighbours"])) for r in own)
+    rest = {(r["id"], r["direction"]): r["neighbours"] for r in out.filter("id in (-2, 9) or (id = 5 and direction = 'in')").collect()}
+    assert rest == {(-2, "out"): [5, 7], (-2, "in"): [3], (9, "out"): [9], (9, "in"): [-1, 9], (5, "in"): [-2, -1]}
+    assert graph.adjacency(edges.limit(0)).count() == 0
+    text = graph.export_blocks(out).filter("id = 5").first()["json"]
+    assert text == '{"id":5,"direction":"in","block":0,"neighbours":[-2,-1]}'
