@@ -37,6 +37,12 @@ def release(spark: SparkSession) -> None:
         delete(spark, _RESULTS.pop())
 
 
+def result_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a store that a result reads; :func:`release` deletes it."""
+    _RESULTS.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _RESULTS[-1]
+
+
 class Scratch:
     """Each round of a loop is written to a table, so plans stay short and a lost executor costs no
     round. All tables but the result are deleted when the computation ends."""

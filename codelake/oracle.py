@@ -171,6 +171,10 @@ BLOCKS = """e AS (SELECT DISTINCT 'flag:' || l_returnflag AS src, 'p:' || l_part
 O["adjacency_blocks"] = f"WITH {BLOCKS.format(width=1000)} SELECT id, direction, block, first, last, n, array_to_string(neighbours, ',') AS neighbours FROM k"
 O["adjacency_json"] = f"""WITH {BLOCKS.format(width=500)}
 SELECT id, direction, block, '{{"id":"' || id || '","direction":"' || direction || '","block":' || block || ',"neighbours":["' || array_to_string(neighbours, '","') || '"]}}' AS json FROM k"""
+O["fact_totals"] = """
+WITH o AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 2 * o_custkey ELSE o_custkey END AS customer, year(o_orderdate) AS y
+  FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT 'orders' AS fact, status AS key, count(*)::BIGINT AS value FROM o GROUP BY 2 UNION ALL SELECT 'customers', status, sum(customer)::BIGINT FROM o GROUP BY 2 UNION ALL SELECT 'year', y::VARCHAR, count(*) FROM o GROUP BY 2"""
 O["cache_keys"] = "SELECT doc_id, lang || ':' || sha256(text) AS content_key, md5(lang || ':' || lang || ':' || sha256(text)) AS cache_key FROM documents"
 O["cache_miss"] = "SELECT doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE lang = 'en' UNION SELECT md5(text) FROM benchmark)"
 O["dedup_last_wins"] = "SELECT conv_id, role, turn, length(text) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS k FROM conversations) WHERE k = 1"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths, quality, text
-from .operators import chains, components, facts, graph, joins, metrics, postings, rank, rewrite, scratch
+from .operators import chains, components, facts, graph, joins, metrics, postings, rank, rewrite, scratch, totals
 from .plans import diagrams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -389,6 +389,28 @@ def adjacency_json(spark, sf_dir):
     return graph.export_blocks(graph.adjacency(_flagged(spark, sf_dir), 500))
 
 
+@query
+def fact_totals(spark, sf_dir):
+    """Totals over orders after all of them came, every third was revised and every fifth went; each batch is sent twice."""
+
+    def rows(orders):
+        status, customer, year = F.col("o_orderstatus"), F.col("o_custkey").cast("long"), F.year("o_orderdate").cast("string")
+        entry = lambda fact, key, value: F.struct(F.lit(fact).alias("fact"), key.alias("key"), value.alias("value"))
+        facts = F.array(entry("orders", status, F.lit(1).cast("long")), entry("customers", status, customer), entry("year", year, F.lit(1).cast("long")))
+        return orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"), F.inline(facts))
+
+    orders = table(spark, sf_dir, "orders")
+    gone = F.col("o_orderkey") % 5 == 0
+    revised = orders.filter((F.col("o_orderkey") % 3 == 0) & ~gone).withColumn("o_orderstatus", F.lit("X")).withColumn("o_custkey", F.col("o_custkey") * 2)
+    removed = orders.filter(gone).select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("path"))
+    kept = totals.FactTotals(spark, scratch.result_folder(spark, "totals"))
+    for _ in range(2):
+        kept.apply("all", rows(orders))
+        kept.apply("revised", rows(revised), removed)
+    kept.compact()
+    return kept.totals()
+
+
 # --- joins ---
 
 
