@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, tables
 from ..functions.text import contains_any
+from ..functions.words import CHAIN, found, mentions
 
 
 def first_match(c: Column, table: list[tuple[str, str]], other: Column) -> Column:
@@ -95,7 +96,7 @@ def nested_tree(rows: list[dict]) -> dict:
 def keyword_features(names: DataFrame, column: str = "name", table: list[tuple[str, list[str]]] = tables.FEATURES) -> DataFrame:
     """ord, feature for every feature of which a word occurs in some name; one aggregation, one row out of a task."""
     low = F.lower(F.col(column))
-    hits = names.agg(*[F.coalesce(F.max(contains_any(low, words)), F.lit(False)).alias(f"f{i}") for i, (_, words) in enumerate(table)])
+    hits = names.agg(*[F.coalesce(F.max(mentions(low, words)), F.lit(False)).alias(f"f{i}") for i, (_, words) in enumerate(table)])
     each = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(name).alias("feature"), F.col(f"f{i}").alias("hit")) for i, (name, _) in enumerate(table)])
     return hits.select(F.inline(each)).filter("hit").drop("hit")
 
@@ -103,8 +104,11 @@ def keyword_features(names: DataFrame, column: str = "name", table: list[tuple[s
 def frameworks(imports: DataFrame, words: list[str] = tables.FRAMEWORKS) -> DataFrame:
     """name of each framework that some import mentions, sorted."""
     text = F.lower(F.concat_ws(" ", "module", "name", "alias"))
-    hits = imports.select(F.explode(F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words]))).alias("name"))
-    return hits.distinct().orderBy("name")
+    if len(words) <= CHAIN:
+        hits = imports.select(F.explode(F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words]))).alias("name"))
+        return hits.distinct().orderBy("name")
+    table = imports.sparkSession.createDataFrame(list(enumerate(words)), "i int, name string")
+    return imports.select(F.explode(found(text, words)).alias("i")).distinct().join(F.broadcast(table), "i").select("name").distinct().orderBy("name")
 
 
 def test_framework(import_text: Column, words: list[str] = tables.TEST_FRAMEWORKS) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import tables
 from ..functions.paths import language_of
 from ..functions.text import contains_any
+from ..functions.words import mentioning, mentions
 
 _CALLABLE = ("function", "method")
 
@@ -65,7 +66,7 @@ def variable_flow(symbols: DataFrame) -> DataFrame:
 
 
 def _hits(words: list[str]) -> Column:
-    return F.filter("calls", lambda c: contains_any(F.lower(c), words))
+    return mentioning(F.col("calls"), words)
 
 
 def data_sources(symbols: DataFrame, words: list[str] = tables.SOURCE_WORDS) -> DataFrame:
@@ -86,7 +87,7 @@ def error_handling(symbols: DataFrame, words: list[str] = tables.ERROR_WORDS) ->
 
 def async_patterns(symbols: DataFrame, words: list[str] = tables.ASYNC_WORDS) -> DataFrame:
     """name, patterns: ``async_function`` for async symbols or names, and the matching calls."""
-    mark = F.when(F.coalesce("is_async", F.lit(False)) | contains_any(F.lower("name"), words), F.array(F.lit("async_function"))).otherwise(F.array().cast("array<string>"))
+    mark = F.when(F.coalesce("is_async", F.lit(False)) | mentions(F.lower("name"), words), F.array(F.lit("async_function"))).otherwise(F.array().cast("array<string>"))
     rows = symbols.select("name", F.explode(F.concat(mark, F.coalesce(_hits(words), F.array().cast("array<string>")))).alias("p"))
     return rows.distinct().groupBy("name").agg(F.array_sort(F.collect_list("p")).alias("patterns"))
 
