@@ -7,11 +7,13 @@
    solves the small rest (Nystroem form, one pass).
 3. Passages of documents and of items that are near by cosine in that space are candidates; the
    items' passages are in an inverted file, of which a document's passage meets the nearest lists.
-   So are all places that hold as many of an item's rarest words as a copy must hold, or the
-   rarest ones of its answer or of a stretch of it: no copy that step 4 accepts is missed,
+   An exact filter completes them: places that hold as many of an item's rarest words as a copy
+   must hold, or the rarest ones of its answer or of a stretch of it, so that no copy is missed
    whichever words were replaced and whatever lists were met.
 4. A candidate is confirmed by the longest common subsequence of the item and the words around
    the passage, or a shorter one if the item's answer, its last words, stands there word by word.
+5. A latent candidate that shares too few words for that is a paraphrase if the answer stands
+   there and the words before it are near the item's question in the latent space.
 
 There is one vocabulary and one space for all items, and texts are read and encoded once. Items are
 sent to the tasks in blocks of bounded size; each meets the encoded texts by itself, so what
@@ -45,6 +47,7 @@ class Rule:
     answer_words: int
     min_words: int
     run_words: int
+    paraphrase: float = 0.75
 
 
 @dataclass
@@ -374,6 +377,31 @@ class RareWords:
             yield from zip(doc[new].tolist(), self.item[rule[new]].tolist(), lo[new].tolist(), hi[upto].tolist(), strict=True)
 
 
+def paraphrased(item: np.ndarray, words: np.ndarray, lo: int, hi: int, table: np.ndarray, slot: np.ndarray, rule: Rule):
+    """(share, answer, exact, first word, words) of the item's answer in ``words[lo:hi]`` after words
+    that are nearest to the item's question in the latent space ``table``, None if none are near.
+
+    The words before the answer are taken at three quarters, once and one and a quarter times the
+    question's length. A question has at least as many words as an item that is confirmed by them."""
+    tail, question = item[-rule.answer_words :], item[: -rule.answer_words]
+    if len(question) < rule.min_words:
+        return None
+    target = table[slot[question]].sum(0)
+    target /= max(float(np.linalg.norm(target)), 1e-12)
+    lo, near, place = max(0, lo), rule.paraphrase, None
+    for at in (lo + _starts(tail, words[lo:hi])).tolist():
+        for n in (len(question), len(question) * 3 // 4, len(question) * 5 // 4):
+            if 0 < n <= at:
+                own = table[slot[words[at - n : at]]].sum(0)
+                cosine = float(own @ target) / max(float(np.linalg.norm(own)), 1e-12)
+                if cosine >= near and (place is None or cosine > near):
+                    near, place = cosine, (at - n, n + len(tail))
+    if place is None:
+        return None
+    first, n = place
+    return common_subsequence(item, words[first : first + n].astype(np.int64))[0] / len(item), True, False, first, n
+
+
 def _pieces(places: list[tuple[int, int]], n: int):
     """The places joined where they overlap, and cut into pieces of ``4 * n`` words at most, so that
     each stretch of ``2 * n`` words, and the answer behind it, is within one."""
@@ -424,7 +452,7 @@ class Lists:
                 yield from zip(own[r].tolist(), listed[c].tolist(), strict=True)
 
 
-def _search(items: Items, space: np.ndarray, df: np.ndarray, narrow: np.dtype, slot: np.ndarray, cosine: float, rule: Rule):
+def _search(items: Items, space: np.ndarray, df: np.ndarray, narrow: np.dtype, slot: np.ndarray, cosine: float, rule: Rule, rare_words: bool):
     def run(batches):
         blank = len(space)
         table = np.vstack([space, np.zeros((1, space.shape[1]), np.float32)])
@@ -435,7 +463,7 @@ def _search(items: Items, space: np.ndarray, df: np.ndarray, narrow: np.dtype, s
         passages = np.searchsorted(owner, np.arange(len(items.ids) + 1))
         # a short passage fills only a part of the document's passage around it
         least = (cosine * np.sqrt((rows < items.size).sum(1) / (2 * HALF))).astype(np.float32)
-        rare = RareWords(items.words, df, rule)
+        rare = RareWords(items.words, df, rule) if rare_words else None
         names = [c.split()[0] for c in MATCHES.split(", ")]
         for b in batches:
             out: list[tuple] = []
@@ -456,7 +484,8 @@ def _search(items: Items, space: np.ndarray, df: np.ndarray, narrow: np.dtype, s
                         start = (row - int(ends[k - 1] if k else 0)) * HALF
                         reach = len(items.words[owner[col]]) + HALF
                         hits.setdefault((k, int(owner[col])), []).append((max(0, start - reach), start + 2 * HALF + reach))
-                for k, i, lo, hi in rare.places(part):
+                latent = {key: list(places) for key, places in hits.items()}
+                for k, i, lo, hi in rare.places(part) if rare else ():
                     hits.setdefault((k, i), []).append((lo, hi))
                 for (k, i), places in sorted(hits.items()):
                     pos, words = part[k]
@@ -467,6 +496,9 @@ def _search(items: Items, space: np.ndarray, df: np.ndarray, narrow: np.dtype, s
                             best = found
                             if found[0] == 1:
                                 break
+                    if best is None:
+                        for lo, hi in _pieces(latent.get((k, i), []), len(items.words[i]) + rule.answer_words):
+                            best = best or paraphrased(items.words[i], words, lo, hi, table, slot, rule)
                     if best:
                         base = int(ends[k - 1]) if k else 0
                         around = both[base + max(0, best[3] // HALF - 1) : base + (best[3] + best[4] - 1) // HALF + 1]
@@ -480,25 +512,26 @@ def _search(items: Items, space: np.ndarray, df: np.ndarray, narrow: np.dtype, s
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, cosine: float = 0.55, share: float = 0.7, share_with_answer: float = 0.5, answer_words: int = 8,
-    min_words: int = 8, least_words: int = 4, run_words: int = 64, rank: int = 96, block_words: int = 4_000_000,
+    min_words: int = 8, least_words: int = 4, run_words: int = 64, paraphrase: float = 0.75, rare_words: bool = True, rank: int = 96, block_words: int = 4_000_000,
 ) -> DataFrame:
     """One row for each document of ``docs(doc_id, text)`` and item of ``benchmark(item_id, text)``
     that leaks into it, at its best place.
 
     Columns: doc_id, item_id, first_word and n_words (the place, in words), cosine, lcs_share
     (share of the item's words found in order), answer, exact (the whole item word by word).
-    Candidates have a ``cosine`` of that much, less for passages under 32 words, or enough of an
-    item's rarest words (:class:`RareWords`), so that no confirmed place is missed.
+    Candidates have a ``cosine`` of that much, less for passages under 32 words; with ``rare_words``
+    also enough of an item's rarest words (:class:`RareWords`), so that no copy is missed.
     Confirmed are ``share`` of the words, or ``share_with_answer`` and the last ``answer_words``
     words in one piece, within a stretch of at most twice the item's words; or ``run_words`` words
-    of a longer item in one piece. Items under ``min_words`` words are confirmed as a whole, word by word.
+    of a longer item in one piece; or the last ``answer_words`` words of an item with a question of
+    ``min_words`` or more, after words whose cosine to the question is ``paraphrase`` or more. Items under ``min_words`` words are confirmed as a whole, word by word.
 
     Items that are null or have under ``least_words`` words cannot be told from chance and match
     nothing. Null or empty text, empty tables: no rows. Null doc_id: matched, doc_id null. Ties
     between places: the first. Repeated documents: a row each; repeated items: one. Further
     columns are ignored. Tasks hold the benchmark's vocabulary and ``block_words`` words of items
     at a time; the driver holds no more."""
-    rule = Rule(share, share_with_answer, answer_words, min_words, run_words)
+    rule = Rule(share, share_with_answer, answer_words, min_words, run_words, paraphrase)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     items = materialize(items.groupBy("item_id").agg(F.min("text").alias("text")).orderBy("item_id"), "items")
 
@@ -524,6 +557,6 @@ def contaminated(
     idf = np.maximum(np.log((n_docs + 1) / (np.minimum(by_term, n_docs) + 0.5)), 0.05) ** 3
     space = latent_space(encoded, idf, narrow, slot, min(rank, len(idf)))
     for block in blocks(vocab):
-        found = encoded.mapInArrow(_search(block, space, df, narrow, slot, cosine, rule), MATCHES)
+        found = encoded.mapInArrow(_search(block, space, df, narrow, slot, cosine, rule, rare_words), MATCHES)
         out = out.unionByName(found if n_blocks == 1 else materialize(found, "leaks"))
     return out

@@ -192,3 +192,71 @@ def test_query(spark):
     docs = [(r["doc_id"], b" " + b" ".join(alnum_words(r["text"])) + b" ") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     exact = {(d, i) for d, t in docs for i, w in items if w and b" " + w + b" " in t}
     assert exact and exact <= got and len(got - exact) <= 3
+
+
+def bit_lcs(item, words):
+    """Length of the longest common subsequence, a word at a time over bits of the item."""
+    at = {}
+    for i, w in enumerate(item):
+        at[w] = at.get(w, 0) | 1 << i
+    row, full = (1 << len(item)) - 1, (1 << len(item)) - 1
+    for w in words:
+        both = row & at.get(w, 0)
+        row = ((row + both) | (row - both)) & full
+    return len(item) - row.bit_count()
+
+
+def test_latent_search_alone_against_all_pairs(spark):
+    """Without the exact filter, nine of ten pairs of plain LCS over all documents and items are found;
+    the filter finds the rest; without the latent space nothing is a candidate."""
+    rng = random.Random(21)
+    sf = "/root/testdata/sf0.01"
+    items = [(r["item_id"], [w.decode() for w in alnum_words(r["text"])]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = [[w.decode(errors="replace") for w in alnum_words(r["text"])] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    corpus = [w for d in docs for w in d]
+    for d in range(0, len(docs), 3):  # copies with words replaced, dropped or put in
+        copy = list(items[d // 3 % len(items)][1])
+        for _ in range(int((d // 3 % 4) * 0.09 * len(copy))):
+            at, kind = rng.randrange(len(copy)), rng.randrange(3)
+            copy[at : at + 1] = [[rng.choice(corpus)], [], [copy[at], rng.choice(corpus)]][kind]
+        at = rng.randrange(len(docs[d]) + 1)
+        docs[d] = docs[d][:at] + copy + docs[d][at:]
+    want = {(d, i) for d, w in enumerate(docs) for i, item in items if bit_lcs(item, w) >= 0.7 * len(item) and any(bit_lcs(item, w[s : s + 2 * len(item)]) >= 0.7 * len(item) for s in range(max(1, len(w) - 2 * len(item) + 1)))}
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string").repartition(8)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = lambda **rule: {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame, bench, **rule).collect()}
+    latent = found(rare_words=False)
+    assert len(want) > len(docs) // 4 and len(latent & want) >= 0.9 * len(want)
+    assert want <= found()
+    assert not found(rare_words=False, cosine=9.0)
+
+
+def test_paraphrases(spark):
+    """A question in other words before the same answer: only the latent space knows that words go together."""
+    rng = random.Random(8)
+    topics = [[[f"t{t}c{c}s{s}" for s in range(4)] for c in range(10)] for t in range(40)]
+
+    def passage(t, n):
+        return [rng.choice(rng.choice(topics[t])) for _ in range(n)]
+
+    items = []
+    for i in range(400):
+        items.append((i, i % 40, passage(i % 40, 28) + [f"a{i}x{k}" for k in range(8)]))
+    docs = [sum((passage(rng.randrange(40), 60) for _ in range(4)), []) for _ in range(600)]
+    want = set()
+    for d in range(0, 600, 3):
+        i, t, words = items[d % 400]
+        said = [rng.choice([w for w in c if w != own] or c) for own in words[:-8] for c in topics[t] if own in c]
+        near = d % 2 == 0  # else the answer stands after words of another topic
+        body = (said if near else passage((t + 7) % 40, 28)) + words[-8:]
+        at = 60 * rng.randrange(5)
+        docs[d] = docs[d][:at] + body + docs[d][at:]
+        if near:
+            want.add((d, i))
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, _, w in items], "item_id long, text string")
+    got = decontam.contaminated(frame, bench, rare_words=False).collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in got}
+    assert len(pairs & want) >= 0.9 * len(want) and not pairs - want
+    assert all(r["answer"] and not r["exact"] and r["lcs_share"] < 0.5 for r in got)
+    assert not {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame, bench, cosine=9.0).collect()} & want
