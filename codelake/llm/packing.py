@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialize
-from .words import encode
+from .words import encode, vocabulary_size
 
 BLOCKS = "doc_id long, start long, length int, doc_tokens long, chunk int, nth long, ids binary"
 #: Tokens that a worker hands over at a time.
@@ -262,7 +262,7 @@ def _cut(plan: Plan, narrow: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, *, eos: int = 0, depth: int | None = None, vocabulary: int = 50_257) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, *, eos: int = 0, depth: int | None = None) -> DataFrame:
     """Pack every document of ``docs(doc_id, text)`` into windows; one row for each piece.
 
     Columns: doc_id, start and length (in the document's ids), ids (binary, little-endian
@@ -272,7 +272,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, *, eos: int = 0, d
 
     Null or empty text: the one id ``eos``. Null doc_id: packed like others. Repeated rows:
     each is packed by itself. No rows: no pieces. Further columns are ignored."""
-    narrow = max(vocabulary, eos + 1) <= 1 << 16
+    narrow = max(vocabulary_size(tokenizer), eos + 1) <= 1 << 16
     tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = materialize(tokens.mapInArrow(_tokenise(tokenizer, window, eos, narrow), BLOCKS), "blocks")
     whole = blocks.filter(F.col("length") == window).withColumn("rank", F.col("nth"))

@@ -90,6 +90,13 @@ def _encoder(path: str):
     return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of the ``tokenizers`` file, its added tokens included."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0) + 1
+
+
 def encode(path: str, text: str | None) -> np.ndarray:
     """Token ids of the whole text; names of special tokens in it are ordinary text."""
     return _encoder(path)(text) if text else np.empty(0, dtype=np.uint32)

@@ -77,6 +77,20 @@ def test_odd_rows(spark, odd, none, clashing):
     assert packing.pack(none, tokenizer_path(), 64).count() == 0
 
 
+def test_ids_over_two_bytes(spark, tmp_path):
+    """The width of ids is read from the tokenizer's file."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    wide = Tokenizer(models.WordLevel({f"w{n}": n for n in (1, 65_535, 65_536, 70_001)} | {"?": 2}, unk_token="?"))
+    wide.pre_tokenizer = pre_tokenizers.Whitespace()
+    path = str(tmp_path / "wide.json")
+    wide.save(path)
+    assert words.vocabulary_size(path) == 70_002 and words.vocabulary_size(tokenizer_path()) == 50_257
+    docs = spark.createDataFrame([(1, "w70001 w65536 w1 w65535 other"), (2, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["start"] + k): int(v) for r in packing.pack(docs, path, 4).collect() for k, v in enumerate(np.frombuffer(r["ids"], "<u4"))}
+    assert [got.pop((1, k)) for k in range(6)] == [70_001, 65_536, 1, 65_535, 2, 0] and got == {(2, 0): 0}
+
+
 def test_query(spark):
     got = op1_packing(spark, "/root/testdata/sf0.001").toPandas()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
