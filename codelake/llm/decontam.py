@@ -236,8 +236,10 @@ def common_subsequence(item: np.ndarray, region: np.ndarray) -> tuple[int, int,
 
 def _starts(item: np.ndarray, region: np.ndarray) -> np.ndarray:
     """Places of ``region`` where ``item`` stands word by word."""
-    at = np.arange(max(0, len(region) - len(item) + 1))
+    at = np.flatnonzero(region[: max(0, len(region) - len(item) + 1)] == item[0])
     for k, w in enumerate(item):
+        if not len(at):
+            break
         at = at[region[at + k] == w]
     return at
 
@@ -386,10 +388,13 @@ def paraphrased(item: np.ndarray, words: np.ndarray, lo: int, hi: int, table: np
     tail, question = item[-rule.answer_words :], item[: -rule.answer_words]
     if len(question) < rule.min_words:
         return None
+    lo, near, place = max(0, lo), rule.paraphrase, None
+    answers = (lo + _starts(tail, words[lo:hi])).tolist()
+    if not answers:
+        return None
     target = table[slot[question]].sum(0)
     target /= max(float(np.linalg.norm(target)), 1e-12)
-    lo, near, place = max(0, lo), rule.paraphrase, None
-    for at in (lo + _starts(tail, words[lo:hi])).tolist():
+    for at in answers:
         for n in (len(question), len(question) * 3 // 4, len(question) * 5 // 4):
             if 0 < n <= at:
                 own = table[slot[words[at - n : at]]].sum(0)
