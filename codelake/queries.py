@@ -616,10 +616,16 @@ def validate_rows(spark, sf_dir):
 # --- parsers: embedded sources, one row for each part ---
 
 
+def dealt_parts(spark, sf_dir) -> DataFrame:
+    """Parts dealt to all cores, as the table may be one partition; its rows are small, files are made after."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    return part.repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")
+
+
 def _sources(spark, sf_dir, language: str, make) -> DataFrame:
     from .operators.extraction import parse_files, symbols
 
-    part = table(spark, sf_dir, "part")
+    part = dealt_parts(spark, sf_dir)
     files = part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").cast("int").alias("file_ord"), F.lit(language).alias("language"), make(F.get(F.split("p_name", " "), F.lit(0))).alias("content"))
     rows = symbols(parse_files(files))
     return rows.select("path", "class_name", "name", "signature", F.col("returns.type").alias("returns"), F.size("parameters").cast("long").alias("n_parameters"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import paths, quality, text
 from .operators import documents, examples, extraction, facts, graph, joins, metrics, rank, rewrite, schema
 from .plans import diagrams
-from .queries import _hierarchy, page_paths, query, table
+from .queries import _hierarchy, dealt_parts, page_paths, query, table
 from .sources import tree
 from .sources.cache import DocCache
 
@@ -118,10 +118,8 @@ def _filled(template: str) -> Column:
 
 
 def _files(spark, sf_dir, language: str, template: str) -> DataFrame:
-    """A file for each part. Parts are dealt to all cores first, as the table may be one partition; its rows are small, the files are made after."""
-    words = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    words = words.repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")
-    return words.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").cast("int").alias("file_ord"), F.lit(language).alias("language"), _filled(template).alias("content"))
+    """A file for each part."""
+    return dealt_parts(spark, sf_dir).select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").cast("int").alias("file_ord"), F.lit(language).alias("language"), _filled(template).alias("content"))
 
 
 def _parsed(spark, sf_dir, language: str = "python", template: str = PYTHON) -> DataFrame:
