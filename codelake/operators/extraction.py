@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,25 +20,46 @@ PARSED = (
 )
 
 
+# Files, and characters of source, whose rows a task makes before it hands them on; characters of sources whose rows it keeps.
+PIECE_FILES, PIECE_CHARS = 256, 4_000_000
+KEPT_CHARS = 1_000_000
+
+
+def _batches(batches: Iterable[pa.RecordBatch], parsers: dict[str, Callable[[str], dict]], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of a few files at a time. Files with the same source are parsed once while it is among those kept."""
+    kept, kept_chars = {}, 0
+    for b in batches:
+        rows, chars = [], 0
+        for k in range(b.num_rows):
+            path, order, language, content = (b.column(i)[k].as_py() for i in range(4))
+            size = len(content or "")
+            found = kept.get((language, content))
+            if found is None:
+                try:
+                    found = parsers[language](content or "")
+                except Exception as e:  # a file that cannot be parsed is reported and hurts no other
+                    found = {"error": f"{type(e).__name__}: {e}"[:300]}
+                if kept_chars + size > KEPT_CHARS:
+                    kept, kept_chars = {}, 0
+                if size <= KEPT_CHARS:
+                    kept[language, content] = found
+                    kept_chars += size + 100  # a row without source takes room as well
+            rows.append({"path": path, "file_ord": order, "language": language} | found)
+            chars += size
+            if len(rows) >= PIECE_FILES or chars >= PIECE_CHARS:
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+                rows, chars = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+
 def parse_files(files: DataFrame, parsers: dict[str, Callable[[str], dict]] | None = None) -> DataFrame:
     """``files(path, file_ord, language, content)`` parsed, one row each; ``error`` says why a
-    file has none of the rest. Files of a language without a parser give an error row."""
+    file has none of the rest. Files of a language without a parser give an error row. A task holds
+    the rows of a few files at a time, however many it is given. A parser must depend on the source alone."""
     parsers = dict(PARSERS if parsers is None else parsers)
     schema = StructType.fromDDL(PARSED)
     kinds = to_arrow_schema(schema)
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for path, order, language, content in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                row = {"path": path, "file_ord": order, "language": language}
-                try:
-                    rows.append(row | parsers[language](content or ""))
-                except Exception as e:  # a file that cannot be parsed is reported and hurts no other
-                    rows.append(row | {"error": f"{type(e).__name__}: {e}"[:300]})
-            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
-
-    return files.select("path", "file_ord", "language", "content").mapInArrow(run, schema)
+    return files.select("path", "file_ord", "language", "content").mapInArrow(lambda batches: _batches(batches, parsers, kinds), schema)
 
 
 def symbols(parsed: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Parsers on small sources."""
 
+import pyarrow as pa
 import pytest
 
+from codelake import queries
+from codelake.operators import extraction
 from codelake.sources.extract import PARSERS, docs, java, python, register, script
 
 PY = '''import os
@@ -171,3 +174,42 @@ def test_registry():
         assert PARSERS["toy"]("x") == {"symbols": []}
     finally:
         del PARSERS["toy"]
+
+
+def test_rows_of_a_few_files_at_a_time():
+    """A task's memory does not grow with the files it is given; equal sources are parsed once; every file has its row."""
+    asked = []
+
+    def toy(content):
+        asked.append(content)
+        if content == "bad":
+            raise ValueError(content)
+        return {"summary": content}
+
+    sources = ["a", "b", "bad", None] * 250
+    files = pa.RecordBatch.from_pylist([{"path": f"p{i}", "file_ord": i, "language": "toy", "content": c} for i, c in enumerate(sources)])
+    kinds = pa.schema([("path", pa.string()), ("file_ord", pa.int32()), ("language", pa.string()), ("summary", pa.string()), ("error", pa.string())])
+    pieces = list(extraction._batches([files], {"toy": toy}, kinds))
+    assert max(p.num_rows for p in pieces) <= 256
+    rows = [r for p in pieces for r in p.to_pylist()]
+    want = {"a": ("a", None), "b": ("b", None), "bad": (None, "ValueError: bad"), None: ("", None)}
+    assert [(r["path"], r["summary"], r["error"]) for r in rows] == [(f"p{i}", *want[c]) for i, c in enumerate(sources)]
+    assert sorted(asked) == ["", "a", "b", "bad"]
+
+
+def test_kept_sources_are_bounded():
+    big = ["x" * 400_000 + str(i % 4) for i in range(12)]
+    files = pa.RecordBatch.from_pylist([{"path": f"p{i}", "file_ord": i, "language": "toy", "content": c} for i, c in enumerate(big)])
+    kinds = pa.schema([("path", pa.string()), ("summary", pa.string())])
+    pieces = list(extraction._batches([files], {"toy": lambda c: {"summary": c[-1]}}, kinds))
+    assert len(pieces) > 1 and [r["summary"] for p in pieces for r in p.to_pylist()] == [c[-1] for c in big]
+
+
+def test_deep_expressions():
+    row = python.parse("def f(a):\n    return " + " + ".join(["g(a)"] * 1500) + "\n")["symbols"][0]
+    assert row["function_calls"] == ["g"] and row["complexity"]["nesting_depth"] == 0
+
+
+def test_parts_are_dealt_to_cores(spark):
+    for name in ("python_symbols", "js_symbols", "ts_symbols", "java_symbols"):
+        assert queries.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
