@@ -145,3 +145,12 @@ def test_adjacency_blocks(spark):
     assert graph.adjacency(edges.limit(0)).count() == 0
     text = graph.export_blocks(out).filter("id = 5").first()["json"]
     assert text == '{"id":5,"direction":"in","block":0,"neighbours":[-2,-1]}'
+
+
+def test_stretches_to_settled_nodes_take_one_round(spark):
+    """A link to the one before and to the first: after one step all nodes have one link, and one doubling settles them."""
+    df = frame(spark, {(100 * g + i, 100 * g + j) for g in range(30) for i in range(1, 20) for j in (0, i - 1)})
+    rounds = []
+    out = elimination.solve(df, {"level": elimination.LEVEL, "n": elimination.WAYS}, rounds=rounds)
+    assert {(r["node"], r["level"], int(r["n"])) for r in out.collect()} == {(100 * g + i, i, max(1, i)) for g in range(30) for i in range(20)}
+    assert len(rounds) == 1 and sum(rounds) <= 6
