@@ -130,16 +130,25 @@ def reaches(edges: DataFrame, pairs: DataFrame, n_words: int = 4) -> DataFrame:
     """src, dst, reached of each of ``pairs(src, dst)``: whether a way leads from src to dst. A node is
     not its own dependency, even on a cycle; unknown or null nodes reach nothing.
 
-    Components become nodes, which are labelled once: with their level, and with a Bloom filter of ``n_words``
-    words of all that they reach. A pair is refused if its labels forbid a way. For the others a search
-    goes down from src, only over nodes whose labels allow a way to dst; rows grow with the pairs asked, not with all pairs."""
+    Nodes are labelled once: with their level, and with a Bloom filter of ``n_words`` words of all that they
+    reach; where there are cycles, their components become nodes first. Pairs that are links need no search, and a
+    pair is refused if its labels forbid a way. For the others a search goes down from src, only over nodes whose
+    labels allow a way to dst; rows grow with the pairs asked, not with all pairs."""
     s = Scratch(edges.sparkSession)
-    labels = s.cut(components(edges))
-    at = lambda old, new: labels.select(F.col("id").alias(old), F.col("component").alias(new))
-    links = s.cut(edges.join(at("src", "a"), "src").join(at("dst", "b"), "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
     words = [f"held{k}" for k in range(n_words)]
-    marks = s.cut(solve(links, {"level": LEVEL} | {x: held(k, n_words) for k, x in enumerate(words)}, labels.select(F.col("component").alias("id")).distinct()))
-    asked = s.cut(pairs.select("src", "dst").distinct().join(at("src", "a"), "src", "left").join(at("dst", "b"), "dst", "left"))
+    fields = {"level": LEVEL} | {x: held(k, n_words) for k, x in enumerate(words)}
+    asked = s.cut(pairs.select("src", "dst").distinct()).withColumns({"a": F.col("src"), "b": F.col("dst")})
+    links = s.cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    marks = solve(links, fields)
+    rest = s.cut(links.join(marks.select(F.col("node").alias("src")), "src", "left_anti"))
+    if rest.take(1):  # on or above a cycle
+        labels = components(rest).filter("id <> component")
+        at = lambda name: labels.select(F.col("id").alias(name), F.col("component").alias(f"c_{name}"))
+        mapped = lambda df: df.join(at("src"), "src", "left").join(at("dst"), "dst", "left").select("src", "dst", F.coalesce("c_src", "src").alias("a"), F.coalesce("c_dst", "dst").alias("b"))
+        nodes = links.select(F.explode(F.array("src", "dst")).alias("id")).join(labels, "id", "left").select(F.coalesce("component", "id").alias("id")).distinct()
+        asked = s.cut(mapped(asked.select("src", "dst")))
+        links = s.cut(mapped(links).filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+        marks = solve(links, fields, nodes)
 
     def allowed(rows: DataFrame, node: str) -> DataFrame:
         """``rows`` whose labels allow a way from ``node`` to b."""
@@ -149,18 +158,26 @@ def reaches(edges: DataFrame, pairs: DataFrame, n_words: int = 4) -> DataFrame:
             ok = ok & (F.col(x).bitwiseAND(F.bitwise_not(F.col(f"n{x}"))) == 0)
         return rows.join(own, node).filter(ok).drop("l", *(f"n{x}" for x in words))
 
-    goal = marks.withColumnRenamed("node", "b")
-    front = s.cut(allowed(asked.filter("a <> b").select("a", "b").distinct().join(goal, "b"), "a").withColumn("at", F.col("a")))
+    # most pairs are settled by a look at the links, or by b's own bit, which needs no label of b
+    direct = links.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("linked"))
+    asked = s.cut(asked.join(direct, ["a", "b"], "left"))
+    open_ = asked.filter("a <> b and linked is null").select("a", "b")
+    bit = F.lit(True)
+    for k, x in enumerate(words):
+        own = held(k, n_words).leaf(F.col("b"))
+        bit = bit & (own.bitwiseAND(F.bitwise_not(F.col(x))) == 0)
+    likely = s.cut(open_.join(marks.select(F.col("node").alias("a"), *words), "a").filter(bit).select("a", "b").distinct())
+    front = s.cut(allowed(likely.join(marks.withColumnRenamed("node", "b"), "b"), "a").withColumn("at", F.col("a")))
     seen, hit = front.select("a", "b", "at"), None
     while front.take(1):
         step = s.cut(front.join(links.withColumnRenamed("src", "at"), "at").drop("at").withColumnRenamed("dst", "at").distinct())
         new = step.filter("at = b").select("a", "b")
         hit = s.cut(new if hit is None else hit.unionByName(new)).distinct()
-        open_ = allowed(step.filter("at <> b"), "at").join(hit, ["a", "b"], "left_anti")
-        front = s.cut(open_.join(seen, ["a", "b", "at"], "left_anti"))
+        further = allowed(step.filter("at <> b"), "at").join(hit, ["a", "b"], "left_anti")
+        front = s.cut(further.join(seen, ["a", "b", "at"], "left_anti"))
         seen = seen.unionByName(front.select("a", "b", "at"))
     if hit is None:
         hit = asked.select("a", "b").limit(0)
     within = (F.col("a") == F.col("b")) & (F.col("src") != F.col("dst"))
     out = asked.join(hit.withColumn("hit", F.lit(True)), ["a", "b"], "left")
-    return s.result(out.select("src", "dst", F.coalesce(within | F.col("hit"), within, F.lit(False)).alias("reached")))
+    return s.result(out.select("src", "dst", (F.coalesce(within, F.lit(False)) | F.coalesce("linked", F.lit(False)) | F.coalesce("hit", F.lit(False))).alias("reached")))
