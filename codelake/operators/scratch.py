@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +58,17 @@ class Scratch:
         df.write.parquet(f"{self.base}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{self.n}")
 
+    @contextmanager
+    def bucketed(self, df: DataFrame, key: str) -> Iterator[DataFrame]:
+        """``df`` in buckets of ``key`` while the block lasts: joins on it leave these rows where they are."""
+        self.n += 1
+        name, n = f"codelake_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(n, key).write.bucketBy(n, key).option("path", f"{self.base}/{self.n}").saveAsTable(name, format="parquet")
+        try:
+            yield self.spark.table(name)
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def result(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}-result"
         df.write.parquet(path)
