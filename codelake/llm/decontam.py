@@ -33,6 +33,7 @@ from .store import materialize
 from .words import alnum_words
 
 HALF = 16
+IN_CACHE = 512  # rows of a table that are added at a time
 #: Terms of the latent space: words share one where the benchmark has more.
 SLOTS = 1 << 16
 MATCHES = "doc_id long, item_id long, first_word long, n_words long, cosine double, lcs_share double, answer boolean, exact boolean"
@@ -126,11 +127,26 @@ def _blocks(words: list[np.ndarray], blank: int):
     return (np.concatenate(rows), np.concatenate(joins)) if rows else (np.zeros((0, HALF), np.int64), np.zeros(0, bool))
 
 
+def _sums(values: np.ndarray, at: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of ``values[at]`` over the stretches that begin at ``start``, some at a time."""
+    out = np.empty((len(start), values.shape[1]), values.dtype)
+    stop = np.append(start[1:], len(at))
+    cuts = np.append(np.flatnonzero(np.diff(start // IN_CACHE, prepend=-1)), len(start))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        lo, hi = start[a], stop[b - 1]
+        np.add.reduceat(values.take(at[lo:hi], axis=0, mode="clip"), start[a:b] - lo, axis=0, out=out[a:b])
+    return out
+
+
 def _pass(rows: np.ndarray, joins: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Sums of the table's rows over each passage: a row and its successor."""
     half = np.empty((len(rows), table.shape[1]), np.float32)
-    for lo in range(0, len(rows), 4096):
-        half[lo : lo + 4096] = table[rows[lo : lo + 4096]].sum(1)
+    near = np.empty((IN_CACHE, table.shape[1]), np.float32)
+    for lo in range(0, len(rows), IN_CACHE):
+        own, some = half[lo : lo + IN_CACHE], rows[lo : lo + IN_CACHE].T
+        np.take(table, some[0], axis=0, out=own, mode="clip")
+        for at in some[1:]:
+            own += np.take(table, at, axis=0, out=near[: len(own)], mode="clip")
     both = half.copy()
     both[:-1][joins[:-1]] += half[1:][joins[:-1]]
     return both
@@ -170,10 +186,12 @@ def _sketch(omega: np.ndarray, idf: np.ndarray, narrow: np.dtype, slot: np.ndarr
                 grad[1:][joins[:-1]] += both[:-1][joins[:-1]]
                 flat = rows.ravel()
                 at = np.flatnonzero(flat < blank)
-                at = at[np.argsort(flat[at], kind="stable")]
+                order = np.argsort(flat[at].astype(np.min_scalar_type(blank)), kind="stable")  # 16 bits are sorted by radix
+                at = at[order]
                 if len(at):
-                    terms, start = np.unique(flat[at], return_index=True)
-                    total[terms] += np.add.reduceat(grad[at // HALF], start, axis=0) * idf[terms, None]
+                    start = np.flatnonzero(np.diff(flat[at], prepend=-1))
+                    terms = flat[at[start]]
+                    total[terms] += _sums(grad, at // HALF, start) * idf[terms, None]
                     used[terms] = True
         terms = np.flatnonzero(used)
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(total[terms].tolist(), pa.list_(pa.float64()))], names=["term", "y"])

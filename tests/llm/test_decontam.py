@@ -260,3 +260,16 @@ def test_paraphrases(spark):
     assert len(pairs & want) >= 0.9 * len(want) and not pairs - want
     assert all(r["answer"] and not r["exact"] and r["lcs_share"] < 0.5 for r in got)
     assert not {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame, bench, cosine=9.0).collect()} & want
+
+
+def test_sums_in_cache_are_the_plain_ones():
+    rng = np.random.default_rng(2)
+    table = rng.standard_normal((900, 20)).astype(np.float32)
+    rows, joins = rng.integers(0, 900, (1300, decontam.HALF)), rng.random(1300) < 0.5
+    plain = table[rows].sum(1)
+    want = plain.copy()
+    want[:-1][joins[:-1]] += plain[1:][joins[:-1]]
+    assert np.array_equal(decontam._pass(rows, joins, table), want)
+    at, start = rng.integers(0, 900, 5000), np.unique(np.append(0, rng.integers(0, 5000, 700)))
+    assert np.array_equal(decontam._sums(table, at, start), np.add.reduceat(table[at], start, axis=0))
+    assert decontam._pass(rows[:0], joins[:0], table).shape == (0, 20)
