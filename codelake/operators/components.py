@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import pieces
 from .elimination import LEVEL, held, solve
 from .scratch import Scratch
 
+#: Links that a task contracts at a time.
+PIECE = 1 << 18
+
 
 def _without(links: DataFrame, gone: DataFrame) -> DataFrame:
     """Links that neither start nor end at a node of ``gone(node)``."""
@@ -59,19 +63,11 @@ def _coloured(s: Scratch, links: DataFrame) -> DataFrame:
     return out
 
 
-def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
-    """id, component (its smallest id) of every node of ``edges(src, dst)`` and ``vertices(id)``.
+def _wide(s: Scratch, core: DataFrame) -> DataFrame:
+    """id, component of the nodes of ``core``, which has no end outside cycles; some that are one by themselves may be missing.
 
-    What is not both above and below a cycle goes first. Stretches of nodes with one way in and one out are
-    then contracted by pointer doubling: they are in a component if their ends are in one. The rest is coloured."""
-    s = Scratch(edges.sparkSession)
-    every = edges.select(F.explode(F.array("src", "dst")).alias("id"))
-    if vertices is not None:
-        every = every.unionByName(vertices.select("id"))
-    every = s.cut(every.filter("id is not null").distinct())
-    core = _trimmed(s, edges.select("src", "dst").filter("src <> dst").distinct())
-    if not core.take(1):
-        return s.result(every.withColumn("component", F.col("id")))
+    Stretches of nodes with one way in and one out are contracted by pointer doubling: they are in a component if
+    their ends are in one. The rest is coloured."""
     out, into = core.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n_out"), F.max("dst").alias("to")), core.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n_in"))
     jump = s.cut(out.join(into, "id").filter("n_out = 1 and n_in = 1").select("id", "to", F.col("id").alias("last"), F.col("id").alias("low")))
     steps, most = 0, jump.count().bit_length()
@@ -93,8 +89,43 @@ def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
     own = turned.select(F.col("src").alias("id")).distinct().join(found, "id", "left_anti").withColumn("c", F.col("id"))
     labels = s.cut(found.unionByName(own).unionByName(inner))
     least = labels.groupBy("c").agg(F.min("id").alias("component"))
-    labels = labels.join(least, "c").select("id", "component").unionByName(ring)
-    return s.result(every.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    return labels.join(least, "c").select("id", "component").unionByName(ring)
+
+def components(edges: DataFrame, vertices: DataFrame | None = None, piece: int = PIECE) -> DataFrame:
+    """id, component (its smallest id) of every node of ``edges(src, dst)`` and ``vertices(id)``.
+
+    First each task contracts the components of its own links, as they lie, ``piece`` at a time. Links that lie near
+    those they make cycles with, such as one customer's after a window by customer, leave little for the joins; in any
+    other order the result is the same. A node that pieces contract to different nodes is linked with these both ways. Of the
+    links between contracted nodes, those that are not both above and below a cycle go. A rest of one
+    piece is one more such piece; a larger one takes rounds of joins. ``piece`` 0: joins alone, as for ids that
+    are neither whole numbers nor plain strings."""
+    s = Scratch(edges.sparkSession)
+    if piece and pieces.fits(edges):
+        rows = s.cut(pieces.contracted(edges, piece))
+        inside = rows.filter("inside")
+        every = s.cut(inside.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("low"), F.max("dst").alias("high")))
+        seams = inside.filter("src <> dst").join(every.filter("low <> high").select(F.col("id").alias("src")), "src", "left_semi")
+        links = rows.filter("not inside").select("src", "dst").unionByName(seams.select("src", "dst")).unionByName(seams.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    else:
+        ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).filter("id is not null").distinct()
+        every, links, piece = s.cut(ids.withColumn("low", F.col("id"))), edges.select("src", "dst").filter("src <> dst"), 0
+    if vertices is not None:
+        more = vertices.select("id", F.col("id").alias("low")).filter("id is not null")
+        every = s.cut(every.select("id", "low").unionByName(more).groupBy("id").agg(F.min("low").alias("low")))
+    links = s.cut(links.distinct())
+    n = links.count()
+    if n > piece:
+        links = _trimmed(s, links)
+        n = links.count()
+    if not n:
+        return s.result(every.select("id", F.col("low").alias("component")))
+    if n <= piece:
+        labels = s.cut(pieces.contracted(links.coalesce(1), piece + 1)).filter("inside").select(F.col("src").alias("id"), F.col("dst").alias("component"))
+    else:
+        labels = _wide(s, links)
+    labels = labels.select(F.col("id").alias("low"), "component").filter("low <> component")
+    return s.result(every.join(labels, "low", "left").select("id", F.coalesce("component", "low").alias("component")))
 
 
 def cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:

@@ -323,13 +323,14 @@ def _order_history(spark, sf_dir) -> DataFrame:
 
 
 def _priority_turns(spark, sf_dir) -> DataFrame:
-    """From an order's priority to that of the customer's next order; nodes are a customer's priorities."""
+    """From an order's priority to that of the customer's next order, once for each such order; nodes are a
+    customer's priorities. The links of a customer lie together, as the window leaves them."""
     from pyspark.sql import Window
 
     orders = table(spark, sf_dir, "orders")
     node = F.concat_ws(":", F.col("o_custkey").cast("string"), F.substring("o_orderpriority", 1, 1))
     after = F.lead(node).over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    return orders.select(node.alias("src"), after.alias("dst")).filter("dst is not null").distinct()
+    return orders.select(node.alias("src"), after.alias("dst")).filter("dst is not null")
 
 
 @query
