@@ -1,38 +1,41 @@
-"""How far the sources of a language differ in their words. Plain relational, DataFrame functions only.
+"""How far the sources of a language differ in their words. Plain relational, but for the counts of a task's texts.
 
-Terms are exploded from the whole texts and counted by language, source and term; one row of
-each text's distinct terms counts documents on the way, so the texts are read once. Each language
-keeps the terms of ``min_docs`` documents or more. Its groups are then crossed with that vocabulary,
+Terms of the whole texts, and the documents that hold them, are counted by language, source and term in
+the task that reads them, over a bounded length of text at a time; such counts, and no single
+terms, are shuffled and summed. Each language keeps the terms of ``min_docs`` documents or more. Its groups are then crossed with that vocabulary,
 so that absent terms count as zeros, and the dense table meets itself by language and term.
 
 A language may hold most rows: groups meet the vocabulary by language and salt, where the salt is a
-hash of the term, and all later joins are by term. Counts are combined before they are shuffled, and the ten
+hash of the term, and all later joins are by term. The ten
 best terms of a group are cut before they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .line_dedup import LOWER, UPPER
 from .store import materialize
 
-#: Runs of ASCII letters and of all characters beyond ASCII: ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+``.
-#: Said by what it holds, as Java takes ten times as long for the negated class.
-TERM = r"[A-Za-z\x{80}-\x{10FFFF}]+"
+#: Letters as they are counted and a blank for all that ends a term, by byte of UTF-8: terms are
+#: ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+``, and every byte of a character beyond ASCII is 128 or more.
+BLANK = 0x20
+LETTERS = np.array([b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else BLANK for b in range(256)], np.uint8)
+#: Bytes of text whose terms a task counts at a time; a longer text is counted by itself.
+PIECE = 1 << 24
 #: Parts of a language's vocabulary that groups are crossed with.
 SALTS = 64
 #: One, in the whole numbers that stand for shares.
 ONE = 1_000_000_000
 
 
-def terms(text: Column) -> Column:
-    """All terms of a text in order, only A-Z lower-cased."""
-    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
-
-
 def share(count: str, total: str, size: str) -> Column:
     """1 + floor(ONE * (count + 2) / (total + 2 * size)), exact for counts of any size."""
     parts = f"({total} + 2 * {size})"
@@ -46,13 +49,75 @@ def gap(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div ({p} + {q})")
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
+def _pieces(batches: Iterable[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in runs of at most ``piece`` bytes in the last column, or of one row."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.columns[-1]).to_numpy(zero_copy_only=False).astype(np.int64))
+        start, before = 0, 0
+        while start < len(ends):
+            stop = int(np.searchsorted(ends, before + piece - size, "right"))
+            if stop == start and not held:
+                stop += 1
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+                size += int(ends[stop - 1]) - before
+                start, before = stop, int(ends[stop - 1])
+            if start < len(ends):
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and how often each occurs; sorts ``keys`` where they are."""
+    keys.sort()
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
+def _counted(rows: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """The terms of ``rows(lang, source, text)``, counted by language, source and term."""
+    langs, sources = rows.column(0).dictionary_encode(), rows.column(1).dictionary_encode()
+    n_sources = len(sources.dictionary)
+    group = langs.indices.to_numpy().astype(np.int64) * n_sources + sources.indices.to_numpy()
+    text = rows.column(2)
+    ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+    data = LETTERS[np.frombuffer(text.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]]
+    ends = ends - ends[0]
+    letter = data != BLANK
+    start = letter.copy()
+    start[1:] &= ~letter[:-1]
+    first = ends[:-1][ends[:-1] < len(data)]  # a text's first letter begins a term, whatever the text before ends with
+    start[first] = letter[first]
+    doc = np.repeat(np.arange(len(text)), np.diff(np.searchsorted(np.flatnonzero(start), ends)))
+    at = np.append(np.flatnonzero(start[letter]), np.count_nonzero(letter)).astype(np.int32)
+    terms = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(at), pa.py_buffer(data[letter])]).dictionary_encode()
+    width, code = max(len(terms.dictionary), 1), terms.indices.to_numpy()
+    key, n = _runs(group[doc] * width + code)
+    once, _ = _runs(doc * width + code)
+    _, docs = _runs(group[once // width] * width + once % width)  # of the same keys
+    own = key // width
+    # views: the bytes of a text stay as they are, valid or not
+    columns = [langs.dictionary.take(pa.array(own // n_sources)), sources.dictionary.take(pa.array(own % n_sources)), terms.dictionary.take(pa.array(key % width))]
+    return pa.RecordBatch.from_arrays([c.view(pa.string()) for c in columns] + [pa.array(n), pa.array(docs)], schema=schema)
+
+
+def term_counts(docs: DataFrame, piece: int = PIECE) -> DataFrame:
     """lang, source, term, n (occurrences), docs (documents that hold it)."""
-    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(none("lang").alias("lang"), none("source").alias("source"), terms(none("text")).alias("t"))
-    both = F.array(F.struct(F.col("t").alias("t"), F.lit(1).alias("n"), F.lit(0).alias("d")), F.struct(F.array_distinct("t").alias("t"), F.lit(0).alias("n"), F.lit(1).alias("d")))
-    each = rows.filter(F.size("t") > 0).select("lang", "source", F.inline(both)).select("lang", "source", F.explode("t").alias("term"), "n", "d")
-    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("docs"))
+    none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    schema = StructType.fromDDL("lang string, source string, term string, n long, docs long")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = (pa.RecordBatch.from_arrays([c.cast(pa.binary()) for c in b.columns], names=b.schema.names) for b in batches)
+        for rows in _pieces(plain, piece):
+            yield _counted(rows, arrow)
+
+    # dealt before they are summed: a task's rows hardly meet, so a sum on its own side saves little
+    each = docs.select(none("lang"), none("source"), none("text")).mapInArrow(run, schema).repartition("lang", "source", "term")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def shares(docs: DataFrame, min_docs: int = 10) -> tuple[DataFrame, DataFrame]:

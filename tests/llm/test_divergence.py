@@ -77,3 +77,36 @@ def test_no_python_and_early_cut(spark, odd):
     plan = divergence.divergence(odd)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_no_row_for_each_occurrence(spark, odd):
+    """Terms are counted where the texts are read."""
+    plan = divergence.term_counts(odd)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
+@pytest.mark.parametrize("piece", [1, 7, 60, 1 << 24])
+def test_counts_do_not_depend_on_pieces(spark, piece):
+    from pyspark.sql import functions as F
+
+    texts = ["ab", "Ab cd", "", None, "cd", "é", "É\x7fé", "@ab[cd`e{f~", "x" * 200, "ab\x00ab\tab", " ", "ab ", " ab", "日本 ab日"]
+    rows = [(k, x, lang, source) for k, x in enumerate(texts * 3) for lang, source in (("en", "s"), ("en", None), (None, "s"), ("é", "s"))]
+    df = spark.createDataFrame(rows, DOCS).repartition(3, F.rand(1))
+    n, docs = Counter(), Counter()
+    for _, x, lang, source in rows:
+        found = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (x or "").translate(LOW))
+        n.update((lang or "", source or "", t) for t in found)
+        docs.update((lang or "", source or "", t) for t in set(found))
+    got = divergence.term_counts(df, piece).collect()
+    assert sorted(map(tuple, got)) == sorted((*k, c, docs[k]) for k, c in n.items())
+
+
+def test_pieces_are_bounded():
+    import pyarrow as pa
+
+    texts = [b"x" * k for k in (3, 0, 9, 1, 1, 8, 0, 0, 30, 0, 2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a:b], pa.binary())], names=["t"]) for a, b in ((0, 4), (4, 4), (4, 9), (9, 11))]
+    pieces = [p.column(0).to_pylist() for p in divergence._pieces(batches, 10)]
+    assert [x for p in pieces for x in p] == texts and all(pieces)
+    assert all(sum(map(len, p)) <= 10 or len(p) == 1 for p in pieces)
+    assert len(pieces) <= 6 and list(divergence._pieces([], 10)) == []
